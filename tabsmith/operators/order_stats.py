@@ -16,38 +16,33 @@ from tabsmith.operators.slices import SLICE, broadcast_if_small, fit_slicer, joi
 RULES = ("linear", "midpoint", "floor", "low", "high")
 
 
-def _ranks(rule: str, n: Column, p: float) -> tuple[Column, Column, Column]:
-    """Lower rank, upper rank and weight of the upper value."""
+def _ranks(rule: str, p: float) -> tuple[str, str, str]:
+    """SQL for the lower rank, the upper rank and the weight of the upper value, over column n."""
     # 1e-9 guards products such as 0.07 * 100 against binary noise.
-    zero = F.lit(0.0)
+    p = f"{float(p)!r}D"
     if rule == "linear":
-        h = (n - 1) * F.lit(p)
-        lo = F.floor(h + 1e-9)
-        return lo, F.ceil(h - 1e-9), F.greatest(h - lo, zero)
+        lo = f"floor((n - 1) * {p} + 1e-9D)"
+        return lo, f"ceil((n - 1) * {p} - 1e-9D)", f"greatest((n - 1) * {p} - {lo}, 0D)"
     if rule == "floor":
-        k = F.least(F.floor(n * F.lit(p) + 1e-9), n - 1)
-        return k, k, zero
+        k = f"least(floor(n * {p} + 1e-9D), n - 1)"
+        return k, k, "0D"
     if rule == "low":
-        k = F.floor(F.lit(p) * (n - 1) + 1e-9)
-        return k, k, zero
+        k = f"floor({p} * (n - 1) + 1e-9D)"
+        return k, k, "0D"
     if rule == "high":
-        k = F.ceil(F.lit(p) * (n - 1) - 1e-9)
-        return k, k, zero
+        k = f"ceil({p} * (n - 1) - 1e-9D)"
+        return k, k, "0D"
     if rule == "midpoint":
         # The k-th element for fractional k = n*p; for whole k the mean of k and k+1 when n is
         # even, else element k+1 (1-based).
-        k = n * F.lit(p)
-        whole = F.abs(k - F.round(k)) < 1e-9
-        up = F.ceil(k - 1e-9) - 1
-        at = F.round(k).cast("long")
-        even = n % 2 == 0
-        lo = F.when(whole, F.when(even, at - 1).otherwise(at)).otherwise(up)
-        hi = F.when(whole, at).otherwise(up)
-        cap = n - 1
+        whole = f"abs(n * {p} - round(n * {p})) < 1e-9D"
+        at, up = f"cast(round(n * {p}) as bigint)", f"ceil(n * {p} - 1e-9D) - 1"
+        lo = f"CASE WHEN {whole} THEN {at} - CASE WHEN n % 2 = 0 THEN 1 ELSE 0 END ELSE {up} END"
+        hi = f"CASE WHEN {whole} THEN {at} ELSE {up} END"
         return (
-            F.greatest(F.least(lo, cap), F.lit(0)),
-            F.greatest(F.least(hi, cap), F.lit(0)),
-            F.when(whole & even, 0.5).otherwise(0.0),
+            f"greatest(least({lo}, n - 1), 0)",
+            f"greatest(least({hi}, n - 1), 0)",
+            f"CASE WHEN {whole} AND n % 2 = 0 THEN 0.5D ELSE 0D END",
         )
     raise ValueError(f"unknown rule {rule}; one of {RULES}")
 
@@ -89,32 +84,45 @@ def quantile_table(
         .withColumn("_before", before)
         .withColumn("n", F.sum("_c").over(w))
     )
-    ranks = {k: _ranks(rule, F.col("n"), p) for k, (p, rule) in picks.items()}
-    wanted = F.array(*[r.cast("long") for lo, hi, _ in ranks.values() for r in (lo, hi)])
-    holding = counted.withColumn("_ranks", wanted).where(
-        F.exists("_ranks", lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_c")))
+    ranks = {k: _ranks(rule, p) for k, (p, rule) in picks.items()}
+    texts = dict.fromkeys(f"cast({r} as bigint)" for lo, hi, _ in ranks.values() for r in (lo, hi))
+    wanted = F.expr(f"array({', '.join(texts)})")
+    here = F.filter(
+        F.array_distinct("_ranks"),
+        lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_c")),
     )
-    holding = broadcast_if_small(holding.select(*by, SLICE, "_before", "n"))
-    near = join_null_safe(sliced, holding, [*by, SLICE])
-    runs = near.groupBy(*by, SLICE, "_before", "n", "value").agg(F.count(F.lit(1)).alias("_c"))
-    last = F.col("_before") + F.sum("_c").over(
+    holding = (
+        counted.withColumn("_ranks", wanted)
+        .withColumn("_ranks", here)
+        .where(F.size("_ranks") > 0)
+        .select(*by, SLICE, "_before", "n", "_ranks")
+    )
+    holding = broadcast_if_small(holding)
+    near = join_null_safe(sliced, holding.select(*by, SLICE), [*by, SLICE])
+    runs = near.groupBy(*by, SLICE, "value").agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(
         Window.partitionBy(*by, SLICE).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     )
-    ends = runs.withColumn("_end", last).withColumn("_start", last - F.col("_c"))
+    ends = join_null_safe(runs.withColumn("_upto", upto), holding, [*by, SLICE])
+    end = F.col("_before") + F.col("_upto")
+    inside = F.filter("_ranks", lambda r: (r >= end - F.col("_c")) & (r < end))
+    hits = ends.select(*by, "n", "value", F.explode(inside).alias("_rank"))
+    # At most two entries per pick and group.
+    found = hits.groupBy(*by, "n").agg(
+        F.map_from_entries(F.collect_list(F.struct("_rank", "value"))).alias("_at")
+    )
 
-    def value_at(rank: Column) -> Column:
-        inside = (rank >= F.col("_start")) & (rank < F.col("_end"))
-        return F.max(F.when(inside, F.col("value")))
+    def blended(lo: str, hi: str, weight: str) -> Column:
+        low = f"element_at(_at, cast({lo} as bigint))"
+        if lo == hi:
+            return F.expr(low)
+        return F.expr(f"{low} + {weight} * (element_at(_at, cast({hi} as bigint)) - {low})")
 
-    outs = []
-    for k, (lo, hi, _) in ranks.items():
-        outs += [value_at(lo).alias(f"_{k}_lo"), value_at(hi).alias(f"_{k}_hi")]
-    found = ends.groupBy(*by, "n").agg(*outs)
-    blended = [
-        (F.col(f"_{k}_lo") + wt * (F.col(f"_{k}_hi") - F.col(f"_{k}_lo"))).alias(k)
-        for k, (_, _, wt) in ranks.items()
-    ]
-    return found.select(*by, F.col("n").cast("long").alias("n"), *blended)
+    return found.select(
+        *by,
+        F.col("n").cast("long").alias("n"),
+        *[blended(*r).alias(k) for k, r in ranks.items()],
+    )
 
 
 def quantile_values(
@@ -161,11 +169,3 @@ def rank_table(df: DataFrame, value: str, group: list[str] = ()) -> DataFrame:
     """Distinct values with their count, dense start rank and tie-averaged rank."""
     t = cumulative_counts(df, value, {"n": F.count(F.lit(1))}, group)
     return t.withColumn("avg_rank", F.col("n_before") + (F.col("n") + 1) / 2.0)
-
-
-def with_average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Attach the tie-averaged rank of a column; NULL values get a NULL rank."""
-    ranks = rank_table(df, value).select(
-        F.col(f"`{value}`").alias("_v"), F.col("avg_rank").alias(name)
-    )
-    return df.join(ranks, F.col(f"`{value}`") == F.col("_v"), "left").drop("_v")

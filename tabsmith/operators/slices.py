@@ -49,19 +49,24 @@ class Slicer:
         return out.drop("_axis")
 
 
-def _tree(c: Column, cuts: list[float], base: int) -> Column:
+def cut_index(name: str, cuts: list, base: int = 0) -> str:
+    """SQL text: number of cut points at or below a column, as a balanced CASE (binary search).
+
+    One text instead of many column calls keeps plan building fast.
+    """
     if not cuts:
-        return F.lit(base)
+        return str(base)
     mid = len(cuts) // 2
-    return F.when(c < cuts[mid], _tree(c, cuts[:mid], base)).otherwise(
-        _tree(c, cuts[mid + 1 :], base + mid + 1)
-    )
+    cut = f"{cuts[mid]!r}D" if isinstance(cuts[mid], float) else f"{cuts[mid]}L"
+    low = cut_index(name, cuts[:mid], base)
+    high = cut_index(name, cuts[mid + 1 :], base + mid + 1)
+    return f"CASE WHEN {name} < {cut} THEN {low} ELSE {high} END"
 
 
 def _cut(df: DataFrame, name: str, cuts: list[float], out: str) -> DataFrame:
     """Number of cut points at or below the value: binary search, compiled for short lists."""
     if len(cuts) <= 64:
-        return df.withColumn(out, _tree(F.col(name), cuts, 0).cast("int"))
+        return df.withColumn(out, F.expr(f"cast({cut_index(name, cuts)} as int)"))
     splits = [-math.inf, *cuts, math.inf]
     cutter = Bucketizer(splits=splits, inputCol=name, outputCol="_cut", handleInvalid="keep")
     return cutter.transform(df).withColumn(out, F.col("_cut").cast("int")).drop("_cut")
@@ -141,12 +146,17 @@ def running_offsets(sliced: DataFrame, keys: list[str], name: str) -> DataFrame:
 
 
 def with_position(
-    df: DataFrame, keys: list[str], order: list[str], name: str = "rn"
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    name: str = "rn",
+    base: DataFrame | None = None,
 ) -> DataFrame:
     """Row number (from 1) per key in the given order, exact, with no single-task key.
 
     The order columns must identify a row within its key. The first must be a number, date or
-    timestamp; rows without it are left out.
+    timestamp; rows without it are left out. `base` is a cheaper frame with the same rows of
+    those columns, for the slice counts.
     """
     if not order:
         raise ValueError("an explicit order is required")
@@ -158,11 +168,12 @@ def with_position(
             tie = order_axis(df, order[1])
         except TypeError:
             tie = None
-    slicer = fit_slicer(src, axis, tie)
+    plain = src if base is None else base.where(F.col(f"`{order[0]}`").isNotNull())
+    slicer = fit_slicer(plain, axis, tie)
     sliced = slicer.add(src, axis, tie)
     by = [*keys, SLICE]
     local = F.row_number().over(Window.partitionBy(*by).orderBy(*[F.col(f"`{o}`") for o in order]))
-    offsets = running_offsets(sliced, keys, "_before")
+    offsets = running_offsets(slicer.add(plain, axis, tie), keys, "_before")
     numbered = sliced.withColumn("_local", local)
     joined = join_null_safe(numbered, offsets, by)
     return joined.withColumn(name, (F.col("_local") + F.col("_before")).cast("long")).drop(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("preparation", "shaping", "measures")
+MODULES = ("preparation", "shaping", "measures", "statistics")
 
 
 def _load():

@@ -72,6 +72,7 @@ def query(name: str, sql: str | None = None):
 
 def t_two_sided_sql(t: str, df: str) -> str:
     """Two-sided t p-value by Simpson's rule over the density, as correlated SQL."""
+    df = f"CAST({df} AS DOUBLE)"
     dens = (
         f"exp(lgamma((({df}) + 1) / 2.0) - lgamma(({df}) / 2.0)) / sqrt(({df}) * pi())"
         f" * pow(1 + pow(abs({t}) * s.i / 4000.0, 2) / ({df}), -(({df}) + 1) / 2.0)"
