@@ -197,7 +197,8 @@ def with_history(
     ordered window and returns the columns to add.
     """
     chunk = max(chunk, reach + 1)
-    placed = with_position(df, keys, order, position)
+    # A frame that already carries the position is not numbered again.
+    placed = df if position in df.columns else with_position(df, keys, order, position)
     at = F.col(position) - 1
     home = F.floor(at / chunk).cast("long")
     lent = F.when(at % chunk >= chunk - reach, F.array(home, home + 1)).otherwise(F.array(home))

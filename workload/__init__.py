@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("preparation", "shaping", "measures", "statistics")
+MODULES = ("preparation", "shaping", "measures", "statistics", "modelling", "streams")
 
 
 def _load():
