@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
 def is_text(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, (T.StringType, T.CharType, T.VarcharType))
 
@@ -43,11 +46,21 @@ def number(df: DataFrame, name: str) -> Column:
             return F.when(~F.isnan(d) & (F.abs(d) != float("inf")), d)
         return d
     if is_text(df, name):
+        # A failed parse is costly, so only cells that look like a number are cast.
         d = F.expr(f"try_cast(`{name}` as double)")
-        return F.when(~F.isnan(d) & (F.abs(d) != float("inf")), d)
+        parsed = F.when(c.rlike(NUMBER_PATTERN), d)
+        return F.when(F.abs(parsed) != float("inf"), parsed)
     return F.lit(None).cast("double")
 
 
+def numbers(df: DataFrame, columns: list[str], keep: list[str] = ()) -> DataFrame:
+    """Only the given columns, converted by `number` once per row, beside those to keep.
+
+    Aggregates over the result refer to plain columns, which keeps generated code small.
+    """
+    return df.select(*keep, *[number(df, c).alias(c) for c in dict.fromkeys(columns)])
+
+
 def round_half_up(c: Column) -> Column:
     """Nearest integer with halves going up, also below zero."""
     return F.floor(c + F.lit(0.5)).cast("double")

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabsmith.functions.scalars import is_numeric, number, present
+from tabsmith.functions.scalars import is_numeric, number, numbers, present
 from tabsmith.functions.tails import t_p_value
 from tabsmith.operators.order_stats import quantile_values
 
@@ -46,9 +46,8 @@ def corr_pearson(
     pairs = pairs_of(columns, focus)
     aggs = []
     for i, (a, b) in enumerate(pairs):
-        x, y = number(df, a), number(df, b)
-        aggs += [F.corr(x, y).alias(f"_{i}_r"), F.regr_count(y, x).alias(f"_{i}_n")]
-    out = _pair_rows(df.agg(*aggs), pairs, ["r", "n"])
+        aggs += [F.corr(a, b).alias(f"_{i}_r"), F.regr_count(b, a).alias(f"_{i}_n")]
+    out = _pair_rows(numbers(df, columns).agg(*aggs), pairs, ["r", "n"])
     out = out.withColumn("t", t_of_r(F.col("r"), F.col("n")))
     if p_values:
         out = out.withColumn("p", t_p_value(F.col("t"), (F.col("n") - 2).cast("double")))
@@ -58,10 +57,10 @@ def corr_pearson(
 def covariance(df: DataFrame, columns: list[str]) -> DataFrame:
     pairs = pairs_of(columns)
     aggs = [
-        F.covar_samp(number(df, a), number(df, b)).alias(f"_{i}_cov")
+        F.covar_samp(a, b).alias(f"_{i}_cov")
         for i, (a, b) in enumerate(pairs)
     ]
-    return _pair_rows(df.agg(*aggs), pairs, ["cov"])
+    return _pair_rows(numbers(df, columns).agg(*aggs), pairs, ["cov"])
 
 
 def corr_spearman(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -111,7 +110,7 @@ def weighted_corr(df: DataFrame, x: str, y: str, w: str) -> DataFrame:
 
 def corr_bicor(df: DataFrame, columns: list[str]) -> DataFrame:
     """Biweight midcorrelation per pair over rows complete in all columns."""
-    full = df.select(*[number(df, c).alias(c) for c in columns]).dropna()
+    full = numbers(df, columns).dropna()
     med = quantile_values(full, columns, {"m": (0.5, "linear")})
     dev = full.select(*[F.abs(F.col(c) - F.lit(med[c]["m"])).alias(c) for c in columns])
     mad = quantile_values(dev, columns, {"m": (0.5, "linear")})
@@ -126,7 +125,7 @@ def corr_bicor(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def corr_winsor(df: DataFrame, columns: list[str], alpha: float = 0.05) -> DataFrame:
     """Pearson after clamping each column at its alpha tails."""
-    full = df.select(*[number(df, c).alias(c) for c in columns]).dropna()
+    full = numbers(df, columns).dropna()
     q = quantile_values(full, columns, {"lo": (alpha, "low"), "hi": (1 - alpha, "high")})
     clamped = full.select(
         *[F.greatest(F.lit(q[c]["lo"]), F.least(F.lit(q[c]["hi"]), F.col(c))).alias(c) for c in columns]
@@ -261,7 +260,7 @@ def corr_threshold(df: DataFrame, columns: list[str], threshold: float = 0.8) ->
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, int]:
     """k x k matrix over rows complete in all columns, and their number."""
-    full = df.select(*[number(df, c).alias(c) for c in columns]).dropna()
+    full = numbers(df, columns).dropna()
     pairs = pairs_of(columns)
     row = full.agg(
         F.count(F.lit(1)).alias("n"), *[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]

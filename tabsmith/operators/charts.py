@@ -20,12 +20,12 @@ def descriptive(df: DataFrame, columns: list[str]) -> DataFrame:
         df,
         columns,
         {
-            "mean": lambda c: F.avg(number(df, c)),
-            "sd": lambda c: F.stddev_pop(number(df, c)),
-            "sd_sample": lambda c: F.stddev_samp(number(df, c)),
-            "min": lambda c: F.min(number(df, c)),
-            "max": lambda c: F.max(number(df, c)),
-            "missing_rate": lambda c: missing_rate(df, c),
+            "mean": lambda x, p: F.avg(x),
+            "sd": lambda x, p: F.stddev_pop(x),
+            "sd_sample": lambda x, p: F.stddev_samp(x),
+            "min": lambda x, p: F.min(x),
+            "max": lambda x, p: F.max(x),
+            "missing_rate": missing_rate,
         },
     )
     q = quantile_table(
@@ -41,9 +41,9 @@ def skew_kurt(df: DataFrame, columns: list[str]) -> DataFrame:
         df,
         columns,
         {
-            "n": lambda c: F.count(number(df, c)),
-            "g1": lambda c: F.skewness(number(df, c)),
-            "g2": lambda c: F.kurtosis(number(df, c)),
+            "n": lambda x, p: F.count(x),
+            "g1": lambda x, p: F.skewness(x),
+            "g2": lambda x, p: F.kurtosis(x),
         },
     )
     n = F.col("n").cast("double")
@@ -173,7 +173,7 @@ def chart_sort(df: DataFrame, measure: str, ascending: bool, tie: list[str]) ->
 def radar_max(df: DataFrame, measures: list[str]) -> DataFrame:
     """Axis limits: 1.2 times the maximum, blanks counting as zero."""
     return per_column(
-        df, measures, {"axis_max": lambda c: F.max(F.coalesce(number(df, c), F.lit(0.0))) * 1.2}
+        df, measures, {"axis_max": lambda x, p: F.max(F.coalesce(x, F.lit(0.0))) * 1.2}
     )
 
 

@@ -218,8 +218,8 @@ def reject_counts(df: DataFrame, columns: list[str]) -> DataFrame:
         df,
         columns,
         {
-            "parsed": lambda c: F.count(number(df, c)),
-            "rejected": lambda c: F.count_if(present(df, c).isNotNull() & number(df, c).isNull()),
+            "parsed": lambda x, p: F.count(x),
+            "rejected": lambda x, p: F.count_if(p.isNotNull() & x.isNull()),
         },
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabsmith.functions.scalars import (
-    all_of, any_of, is_numeric, is_temporal, is_text, number, present,
+    any_of, is_numeric, is_temporal, is_text, number, numbers, present,
 )
 from tabsmith.operators.order_stats import quantile_table
 
@@ -24,10 +24,18 @@ ROLE_KEYWORDS = {
 def per_column(df: DataFrame, columns: list[str], measures: dict[str, callable]) -> DataFrame:
     """One aggregate over all columns, turned to one row per column.
 
-    Each measure maps a column name to an aggregate expression.
+    Each measure maps (number, cell) of a column to an aggregate expression. The conversion runs
+    once per row, before the aggregate.
     """
-    aggs = [fn(c).alias(f"_{i}_{m}") for i, c in enumerate(columns) for m, fn in measures.items()]
-    wide = df.agg(*aggs)
+    cells = []
+    for i, c in enumerate(columns):
+        cells += [number(df, c).alias(f"x{i}"), present(df, c).alias(f"p{i}")]
+    aggs = [
+        fn(F.col(f"x{i}"), F.col(f"p{i}")).alias(f"_{i}_{m}")
+        for i in range(len(columns))
+        for m, fn in measures.items()
+    ]
+    wide = df.select(*cells).agg(*aggs)
     rows = F.array(
         *[
             F.struct(
@@ -39,22 +47,20 @@ def per_column(df: DataFrame, columns: list[str], measures: dict[str, callable])
     return wide.select(F.explode(rows).alias("r")).select("r.*")
 
 
-def missing_rate(df: DataFrame, c: str) -> Column:
-    return F.coalesce(
-        F.try_divide(F.count_if(present(df, c).isNull()), F.count(F.lit(1))), F.lit(0.0)
-    )
+def missing_rate(x: Column, p: Column) -> Column:
+    return F.coalesce(F.try_divide(F.count_if(p.isNull()), F.count(F.lit(1))), F.lit(0.0))
 
 
-def numeric_share(df: DataFrame, c: str) -> Column:
+def numeric_share(x: Column, p: Column) -> Column:
     """Share of all cells that parse as a number."""
-    return F.coalesce(F.try_divide(F.count(number(df, c)), F.count(F.lit(1))), F.lit(0.0))
+    return F.coalesce(F.try_divide(F.count(x), F.count(F.lit(1))), F.lit(0.0))
 
 
 def infer_schema(df: DataFrame, columns: list[str] | None = None, threshold: float = 0.7):
     """Per column: numeric when more than `threshold` of the cells parse, and the missing rate."""
     columns = columns or df.columns
     t = per_column(
-        df, columns, {"share": lambda c: numeric_share(df, c), "missing": lambda c: missing_rate(df, c)}
+        df, columns, {"share": numeric_share, "missing": missing_rate}
     )
     role = F.when(F.col("share") > threshold, "numeric").otherwise("categorical")
     return t.select("column", role.alias("type"), F.col("missing").alias("missing_rate"))
@@ -68,28 +74,35 @@ def _name_matches(keywords: tuple[str, ...]) -> Column:
 
 
 def tag_columns(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Role tags per column from its content (one scan) and its name."""
+    """Role tags per column from its content (one scan per kind of storage type) and its name."""
     columns = columns or df.columns
 
-    def time_share(c: str) -> Column:
-        if is_temporal(df, c):
-            ok = present(df, c).isNotNull()
-        elif is_text(df, c):
-            ok = F.try_to_timestamp(present(df, c)).isNotNull()
-        else:
-            ok = F.lit(False)
-        return F.coalesce(F.try_divide(F.count_if(ok), F.count(present(df, c))), F.lit(0.0))
-
-    t = per_column(
-        df,
-        columns,
-        {
-            "numeric_share": lambda c: numeric_share(df, c),
-            "time_share": time_share,
-            "distinct_count": lambda c: F.approx_count_distinct(present(df, c), 0.02),
-            "n": lambda c: F.count(present(df, c)),
-        },
-    )
+    kinds = {"time": [], "text": [], "other": []}
+    for c in columns:
+        kinds["time" if is_temporal(df, c) else "text" if is_text(df, c) else "other"].append(c)
+    in_time = {
+        "time": lambda p: p.isNotNull(),
+        "text": lambda p: F.try_to_timestamp(p).isNotNull(),
+        "other": lambda p: F.lit(False),
+    }
+    t = None
+    for kind, chosen in kinds.items():
+        if not chosen:
+            continue
+        test = in_time[kind]
+        part = per_column(
+            df,
+            chosen,
+            {
+                "numeric_share": numeric_share,
+                "time_share": lambda x, p: F.coalesce(
+                    F.try_divide(F.count_if(test(p)), F.count(p)), F.lit(0.0)
+                ),
+                "distinct_count": lambda x, p: F.approx_count_distinct(p, 0.02),
+                "n": lambda x, p: F.count(p),
+            },
+        )
+        t = part if t is None else t.unionByName(part)
     is_time = (F.col("time_share") > 0.7) | (_name_matches(ROLE_KEYWORDS["time"]) & (F.col("numeric_share") <= 0.7))
     value_type = (
         F.when(F.col("time_share") > 0.7, "datetime")
@@ -122,22 +135,17 @@ def normalize_frame(df: DataFrame, drop_duplicates: bool = True) -> DataFrame:
 
 
 def _moments(df: DataFrame, columns: list[str]) -> DataFrame:
-    text = {c: not is_numeric(df, c) and not is_text(df, c) for c in columns}
-
-    def num(c: str) -> Column:
-        return F.lit(None).cast("double") if text[c] else number(df, c)
-
     return per_column(
         df,
         columns,
         {
-            "row_count": lambda c: F.count(F.lit(1)),
-            "null_count": lambda c: F.count_if(present(df, c).isNull()),
-            "count": lambda c: F.count(num(c)),
-            "mean": lambda c: F.avg(num(c)),
-            "std": lambda c: F.stddev_samp(num(c)),
-            "min": lambda c: F.min(num(c)),
-            "max": lambda c: F.max(num(c)),
+            "row_count": lambda x, p: F.count(F.lit(1)),
+            "null_count": lambda x, p: F.count_if(p.isNull()),
+            "count": lambda x, p: F.count(x),
+            "mean": lambda x, p: F.avg(x),
+            "std": lambda x, p: F.stddev_samp(x),
+            "min": lambda x, p: F.min(x),
+            "max": lambda x, p: F.max(x),
         },
     )
 
@@ -175,22 +183,22 @@ def profile_approx(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     """The profile in a single scan with sketches for distinct counts and quartiles."""
     columns = columns or df.columns
 
-    def quartile(p: float):
-        return lambda c: F.percentile_approx(number(df, c), p, 10_000)
-
-    base = {
-        "row_count": lambda c: F.count(F.lit(1)),
-        "null_count": lambda c: F.count_if(present(df, c).isNull()),
-        "unique_count": lambda c: F.approx_count_distinct(present(df, c), 0.02),
-        "mean": lambda c: F.avg(number(df, c)),
-        "std": lambda c: F.stddev_samp(number(df, c)),
-        "min": lambda c: F.min(number(df, c)),
-        "q1": quartile(0.25),
-        "median": quartile(0.5),
-        "q3": quartile(0.75),
-        "max": lambda c: F.max(number(df, c)),
-    }
-    return per_column(df, columns, base)
+    t = per_column(
+        df,
+        columns,
+        {
+            "row_count": lambda x, p: F.count(F.lit(1)),
+            "null_count": lambda x, p: F.count_if(p.isNull()),
+            "unique_count": lambda x, p: F.approx_count_distinct(p, 0.02),
+            "mean": lambda x, p: F.avg(x),
+            "std": lambda x, p: F.stddev_samp(x),
+            "min": lambda x, p: F.min(x),
+            "_q": lambda x, p: F.percentile_approx(x, [0.25, 0.5, 0.75], 2_000),
+            "max": lambda x, p: F.max(x),
+        },
+    )
+    quartiles = {n: F.get("_q", F.lit(i)) for i, n in enumerate(("q1", "median", "q3"))}
+    return t.withColumns(quartiles).drop("_q")
 
 
 def quality_table(df: DataFrame, columns: list[str] | None = None, share: float = 0.7) -> DataFrame:
@@ -200,11 +208,11 @@ def quality_table(df: DataFrame, columns: list[str] | None = None, share: float
         df,
         columns,
         {
-            "share": lambda c: F.try_divide(F.count(number(df, c)), F.count(present(df, c))),
-            "total": lambda c: F.count(F.lit(1)),
-            "missing": lambda c: F.count_if(present(df, c).isNull()),
-            "min": lambda c: F.min(number(df, c)),
-            "max": lambda c: F.max(number(df, c)),
+            "share": lambda x, p: F.try_divide(F.count(x), F.count(p)),
+            "total": lambda x, p: F.count(F.lit(1)),
+            "missing": lambda x, p: F.count_if(p.isNull()),
+            "min": lambda x, p: F.min(x),
+            "max": lambda x, p: F.max(x),
         },
     ).join(F.broadcast(distinct_counts(df, columns, blanks=False)), "column", "left")
     pct = F.coalesce(F.try_divide(F.col("missing") * 100.0, F.col("total")), F.lit(0.0))
@@ -224,27 +232,32 @@ def quality_table(df: DataFrame, columns: list[str] | None = None, share: float
 
 def outlier_count_3sigma(df: DataFrame, columns: list[str], k: float = 3.0) -> DataFrame:
     """Cells further than k sample standard deviations from the column mean."""
-    fit = df.agg(
-        *[F.avg(number(df, c)).alias(f"m{i}") for i, c in enumerate(columns)],
-        *[F.stddev_samp(number(df, c)).alias(f"s{i}") for i, c in enumerate(columns)],
+    typed = numbers(df, columns)
+    fit = typed.agg(
+        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)],
+        *[F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(columns)],
     )
-    scored = df.withColumn("_fit", fit.select(F.struct("*")).scalar())
-    index = {c: i for i, c in enumerate(columns)}
-
-    def far(c: str) -> Column:
-        i = index[c]
-        return F.count_if(
-            F.abs(number(df, c) - F.col(f"_fit.m{i}")) > F.lit(k) * F.col(f"_fit.s{i}")
+    scored = typed.withColumn("_fit", fit.select(F.struct("*")).scalar())
+    far = [
+        F.abs(F.col(c) - F.col(f"_fit.m{i}")) > F.lit(k) * F.col(f"_fit.s{i}")
+        for i, c in enumerate(columns)
+    ]
+    rows = [
+        F.struct(
+            F.lit(c).alias("column"), F.col(f"n{i}").alias("n"), F.col(f"o{i}").alias("outliers")
         )
-
-    return per_column(
-        scored, columns, {"n": lambda c: F.count(number(df, c)), "outliers": far}
+        for i, c in enumerate(columns)
+    ]
+    wide = scored.agg(
+        *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)],
+        *[F.count_if(f).alias(f"o{i}") for i, f in enumerate(far)],
     )
+    return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def health_score(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row: mean missing rate, outlier rate and the 0..100 score."""
-    miss = per_column(df, columns, {"missing": lambda c: missing_rate(df, c)}).agg(
+    miss = per_column(df, columns, {"missing": missing_rate}).agg(
         F.avg("missing").alias("avg_missing")
     )
     out = outlier_count_3sigma(df, columns).agg(
@@ -259,8 +272,8 @@ def health_score(df: DataFrame, columns: list[str]) -> DataFrame:
 def pair_corr_matrix(df: DataFrame, columns: list[str], digits: int = 3) -> DataFrame:
     """Long symmetric matrix of pairwise-complete Pearson correlations; 0 without variance."""
     pairs = list(combinations(columns, 2))
-    aggs = [F.corr(number(df, a), number(df, b)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]
-    wide = df.agg(*aggs)
+    aggs = [F.corr(a, b).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]
+    wide = numbers(df, columns).agg(*aggs)
     cells = [F.struct(F.lit(c).alias("a"), F.lit(c).alias("b"), F.lit(1.0).alias("r")) for c in columns]
     for i, (a, b) in enumerate(pairs):
         r = F.round(F.coalesce(F.when(~F.isnan(f"p{i}"), F.col(f"p{i}")), F.lit(0.0)), digits)
@@ -279,7 +292,7 @@ def fe_plan(
     """Feature plan: (item, name, detail) rows for fills, collinear pairs and dummy counts."""
     both = [*numeric, *categorical]
     fills = per_column(
-        df, both, {"missing": lambda c: F.count_if(present(df, c).isNull())}
+        df, both, {"missing": lambda x, p: F.count_if(p.isNull())}
     ).select(
         F.lit("fill").alias("item"),
         F.col("column").alias("name"),

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabsmith.functions.scalars import is_numeric, number, present
 from tabsmith.operators.encoding import bin_labels, case_chain, quantile_cuts
+from tabsmith.session import materialize
 
 JOINER = " & "
+SUBSET_ITEMS = 8
 
 
 def binned_items(
@@ -27,11 +31,12 @@ def binned_items(
     elif impute == "median":
         df = cleaning.fill_median(df, numeric)
     cuts = quantile_cuts(df, numeric, bins) if numeric else {}
+    df = df.withColumns({c: number(df, c) for c in numeric})
     new, labels = {}, {}
     for c in columns:
         if c in cuts:
             labels[c] = [f"{c}:{v}" for v in bin_labels(cuts[c])]
-            new[c] = case_chain(number(df, c), cuts[c], labels[c])
+            new[c] = case_chain(F.col(f"`{c}`"), cuts[c], labels[c])
         else:
             cell = present(df, c).cast("string")
             new[c] = F.when(cell.isNotNull(), F.concat(F.lit(f"{c}:"), cell))
@@ -47,9 +52,30 @@ def transactions(items: DataFrame, columns: list[str], keep: list[str] = ()) ->
 
 
 def frequent_itemsets(baskets: DataFrame, min_support: float = 0.05) -> DataFrame:
-    """Frequent itemsets as sorted arrays with their counts (distributed FP-growth)."""
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=1.0).fit(baskets)
-    return model.freqItemsets.select(F.array_sort("items").alias("items"), F.col("freq").alias("n"))
+    """Frequent itemsets as sorted arrays with their counts.
+
+    Binned rows repeat a lot, so equal baskets are counted first (partial counts before the
+    shuffle). Short baskets are then expanded to their subsets with those counts; baskets too long
+    for that go through FP-growth.
+    """
+    distinct = materialize(
+        baskets.groupBy(F.array_sort("items").alias("items")).agg(F.count(F.lit(1)).alias("c")), "baskets"
+    )
+    size = distinct.agg(F.sum("c").alias("n"), F.max(F.size("items")).alias("longest")).first()
+    if not size["n"]:
+        return distinct.select("items", F.col("c").alias("n"))
+    least = math.ceil(min_support * size["n"] - 1e-9)
+    if size["longest"] > SUBSET_ITEMS:
+        model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=1.0).fit(baskets)
+        return model.freqItemsets.select(F.array_sort("items").alias("items"), F.col("freq").alias("n"))
+    mask = F.explode(F.sequence(F.lit(1), F.expr("shiftleft(1, size(items)) - 1")))
+    subset = F.expr("filter(items, (v, i) -> (shiftright(_mask, i) & 1) = 1)")
+    return (
+        distinct.withColumn("_mask", mask)
+        .groupBy(subset.alias("items"))
+        .agg(F.sum("c").alias("n"))
+        .where(F.col("n") >= least)
+    )
 
 
 def _key(items: Column) -> Column:

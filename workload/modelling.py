@@ -12,6 +12,7 @@ from tabsmith.operators import (
 from tabsmith.session import materialize, scratch_path
 from workload.base import GAPPY, KEY_SQL, ROW_KEY, query, quantile_sql, t_two_sided_sql
 from workload.preparation import DERIVED, derived, rounded
+from workload.statistics import SHAPIRO_SQL
 
 # --- capability -----------------------------------------------------------------------------
 
@@ -76,10 +77,11 @@ def spc_sigma_level(t):
     return capability(t).select("event_type", "yield", "sigma_level")
 
 
-@query("spc_normality")
+@query("spc_normality", f"SELECT *, p > 0.05 AS is_normal FROM ({SHAPIRO_SQL})")
 def spc_normality(t):
     """Shapiro-Francia over the whole column; `is_normal` at p > 0.05."""
-    return hypothesis.shapiro_francia(t.events, "value").withColumn("is_normal", F.col("p") > 0.05)
+    w = rounded(hypothesis.shapiro_francia(t.events, "value"), 5, "w", "p")
+    return w.withColumn("is_normal", F.col("p") > 0.05)
 
 
 @query(
@@ -405,8 +407,8 @@ def ols_fit(t):
 
 def regression_data(t, scale="standard"):
     """Prepared train and test frames for the derived target."""
-    d = derived(t).where("y is not null").withColumn("label", F.col("y"))
-    train, test = features.split_holdout(d, ROW_KEY, 0.2)
+    d = derived(t).where("y is not null").select(*ROW_KEY, "l_quantity", "l_discount", "l_tax", "l_returnflag", F.col("y").alias("label"))
+    train, test = features.split_holdout(materialize(d, "rows"), ROW_KEY, 0.2)
     prep = features.fit_features(train, NUMS, ["l_returnflag"], scale=scale)
     done = [
         materialize(features.apply_features(prep, p, NUMS, ["l_returnflag"]).select(*ROW_KEY, "features", "label"), "model")

@@ -578,14 +578,14 @@ def coarse_quantile_sql(p: str) -> str:
     return f"CASE WHEN {p} < 0.5 THEN -{z} ELSE {z} END"
 
 
-@query(
-    "shapiro_francia",
-    f"""WITH r AS (SELECT v, row_number() OVER (ORDER BY v) AS i, count(*) OVER () AS n FROM (SELECT value AS v FROM events)),
+SHAPIRO_SQL = f"""WITH r AS (SELECT v, row_number() OVER (ORDER BY v) AS i, count(*) OVER () AS n FROM (SELECT value AS v FROM events)),
       m AS (SELECT v, n, {coarse_quantile_sql('((i - 0.375) / (n + 0.25))')} AS m FROM r),
       s AS (SELECT any_value(n) AS n, least(1, pow(sum(m * v), 2) / sum(m * m) / (var_pop(v) * count(*))) AS w FROM m),
       z AS (SELECT *, (ln(1 - w) - (-1.2725 + 1.0521 * ln(n))) / (1.0308 - 0.26763 * ln(n)) AS z FROM s)
-      SELECT n, round(w, 5) AS w, round({coarse_cdf_sql('-z')}, 5) AS p FROM z""",
-)
+      SELECT n, round(w, 5) AS w, round({coarse_cdf_sql('-z')}, 5) AS p FROM z"""
+
+
+@query("shapiro_francia", SHAPIRO_SQL)
 def shapiro_francia(t):
     return rounded(hypothesis.shapiro_francia(t.events, "value"), 5, "w", "p")
 
