@@ -87,10 +87,6 @@ def feature_names(model: PipelineModel, df: DataFrame, numeric: list[str], categ
     return [n.removeprefix("_i_").removeprefix("_h_").removeprefix("_c_") for n in names]
 
 
-def as_array(df: DataFrame, column: str = FEATURES) -> Column:
-    return vector_to_array(column)
-
-
 def bucket(key: list[str], parts: int, seed: int) -> Column:
     """Stable pseudo-random bucket of a row from its key; the same for any layout."""
     return F.pmod(F.xxhash64(*[F.col(k) for k in key], F.lit(seed)), F.lit(parts))

@@ -13,6 +13,7 @@ from tabsmith.operators.encoding import bin_labels, case_chain, quantile_cuts
 from tabsmith.session import materialize
 
 JOINER = " & "
+SEPARATOR = "\u0001"
 SUBSET_ITEMS = 8
 
 
@@ -43,35 +44,54 @@ def binned_items(
     return df.withColumns(new), labels
 
 
+def _at_least_two(columns: list[str]) -> Column:
+    filled = F.lit(0)
+    for c in columns:
+        filled = filled + F.col(f"`{c}`").isNotNull().cast("int")
+    return filled >= 2
+
+
+def _item_list(columns: list[str]) -> Column:
+    """Items of a row as an array; concat_ws leaves NULLs out and stays in generated code."""
+    return F.split(F.concat_ws(SEPARATOR, *[F.col(f"`{c}`") for c in columns]), SEPARATOR)
+
+
 def transactions(items: DataFrame, columns: list[str], keep: list[str] = ()) -> DataFrame:
     """Item list per row; missing items dropped; at least two items."""
-    t = items.select(
-        *keep, F.array_compact(F.array(*[F.col(f"`{c}`") for c in columns])).alias("items")
-    )
-    return t.where(F.size("items") >= 2)
+    return items.where(_at_least_two(columns)).select(*keep, _item_list(columns).alias("items"))
 
 
-def frequent_itemsets(baskets: DataFrame, min_support: float = 0.05) -> DataFrame:
-    """Frequent itemsets as sorted arrays with their counts.
+def count_baskets(items: DataFrame, columns: list[str]) -> DataFrame:
+    """Distinct baskets (sorted arrays) with their row counts `c`.
 
-    Binned rows repeat a lot, so equal baskets are counted first (partial counts before the
-    shuffle). Short baskets are then expanded to their subsets with those counts; baskets too long
-    for that go through FP-growth.
+    Binned rows repeat a lot, so rows are grouped on the plain token columns, partially in the map
+    tasks, and arrays are built for the distinct combinations only.
     """
-    distinct = materialize(
-        baskets.groupBy(F.array_sort("items").alias("items")).agg(F.count(F.lit(1)).alias("c")), "baskets"
-    )
-    size = distinct.agg(F.sum("c").alias("n"), F.max(F.size("items")).alias("longest")).first()
+    g = items.where(_at_least_two(columns)).groupBy(*columns).agg(F.count(F.lit(1)).alias("c"))
+    return materialize(g.select(F.array_sort(_item_list(columns)).alias("items"), "c"), "baskets")
+
+
+def frequent_itemsets(
+    counted: DataFrame, min_support: float = 0.05, baskets: DataFrame | None = None
+) -> DataFrame:
+    """Frequent itemsets as sorted arrays with their row counts.
+
+    Short baskets are expanded to their subsets with the counts of `count_baskets`. Baskets too
+    long for that go through FP-growth over the plain `baskets`.
+    """
+    size = counted.agg(F.sum("c").alias("n"), F.max(F.size("items")).alias("longest")).first()
     if not size["n"]:
-        return distinct.select("items", F.col("c").alias("n"))
+        return counted.select("items", F.col("c").alias("n"))
     least = math.ceil(min_support * size["n"] - 1e-9)
     if size["longest"] > SUBSET_ITEMS:
+        if baskets is None:
+            raise ValueError(f"baskets of more than {SUBSET_ITEMS} items need the plain baskets")
         model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=1.0).fit(baskets)
         return model.freqItemsets.select(F.array_sort("items").alias("items"), F.col("freq").alias("n"))
     mask = F.explode(F.sequence(F.lit(1), F.expr("shiftleft(1, size(items)) - 1")))
     subset = F.expr("filter(items, (v, i) -> (shiftright(_mask, i) & 1) = 1)")
     return (
-        distinct.withColumn("_mask", mask)
+        counted.withColumn("_mask", mask)
         .groupBy(subset.alias("items"))
         .agg(F.sum("c").alias("n"))
         .where(F.col("n") >= least)
@@ -83,7 +103,7 @@ def _key(items: Column) -> Column:
 
 
 def target_rules(
-    baskets: DataFrame, target: str, min_support: float = 0.05, min_confidence: float = 0.5,
+    counted: DataFrame, target: str, min_support: float = 0.05, min_confidence: float = 0.5,
     itemsets: DataFrame | None = None,
 ) -> DataFrame:
     """Rules X -> one target item with confidence and lift, trivial lifts removed.
@@ -91,8 +111,8 @@ def target_rules(
     Counts of the two sides are looked up in the itemset table, where every subset of a frequent
     set is present; the data is not read again.
     """
-    sets = itemsets if itemsets is not None else frequent_itemsets(baskets, min_support)
-    total = baskets.agg(F.count(F.lit(1)))
+    sets = itemsets if itemsets is not None else frequent_itemsets(counted, min_support)
+    total = counted.agg(F.sum("c"))
     prefix = f"{target}:"
     hit = F.filter("items", lambda i: i.startswith(F.lit(prefix)))
     pairs = sets.where((F.size("items") >= 2) & (F.size(hit) == 1)).select(

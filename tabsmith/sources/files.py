@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ENCODINGS = ("UTF-8", "GBK")
+STANDARD_CHARSETS = ("UTF-8", "US-ASCII", "ISO-8859-1", "UTF-16", "UTF-16BE", "UTF-16LE", "UTF-32")
 
 
 def has_invalid_utf8(spark: SparkSession, path: str) -> bool:
@@ -25,6 +26,9 @@ def scan_csv(
     """
     if encoding is None:
         encoding = ENCODINGS[1] if has_invalid_utf8(spark, path) else ENCODINGS[0]
+    if encoding.upper() not in STANDARD_CHARSETS:
+        # Spark limits CSV charsets to a short list unless the session allows all of Java's.
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     return (
         spark.read.option("header", True)
         .option("sep", delimiter)

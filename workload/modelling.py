@@ -165,6 +165,11 @@ def baskets(t, keep=()):
     return rules.transactions(items, [*RULE_COLS, "yield_"], keep), labels
 
 
+def counted_baskets(t):
+    items, labels = rules.binned_items(planted(t), [*RULE_COLS, "yield_"])
+    return rules.count_baskets(items, [*RULE_COLS, "yield_"]), labels
+
+
 @query(
     "transactions",
     f"SELECT {KEY_SQL}, concat_ws(' & ', a, b, c, d) AS items FROM {ITEMS_SQL} WHERE (a IS NOT NULL)::INT + (b IS NOT NULL)::INT + 1 + (d IS NOT NULL)::INT >= 2",
@@ -186,7 +191,7 @@ FREQ_SQL = f"(SELECT items, n FROM {SETS_SQL}, {TOTAL_BASKETS} WHERE n >= ceil({
 
 @query("frequent_itemsets", f"SELECT array_to_string(items, ' & ') AS itemset, n FROM {FREQ_SQL}")
 def frequent_itemsets(t):
-    b, _ = baskets(t)
+    b, _ = counted_baskets(t)
     f = rules.frequent_itemsets(b, MIN_SUPPORT)
     return f.select(F.array_join("items", " & ").alias("itemset"), "n")
 
@@ -198,7 +203,7 @@ RULES_SQL = f"""(WITH f AS {FREQ_SQL}, t AS {TOTAL_BASKETS}, p AS (SELECT list_f
 
 
 def all_rules(t):
-    b, labels = baskets(t)
+    b, labels = counted_baskets(t)
     return rules.target_rules(b, "yield_", MIN_SUPPORT, 0.4), labels["yield_"]
 
 
