@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabsmith.operators.order_stats import running_before
-from tabsmith.operators.slices import fit_slicer
+from tabsmith.operators.slices import fit_slicer, join_null_safe
 
 
 def oee(
@@ -58,12 +58,16 @@ def share_of_total(
 ) -> DataFrame:
     """Measure per key and its share of the total within each list of kept keys."""
     grouped = df.groupBy(*keys).agg(measure.alias("value"))
-    return grouped.withColumns(
-        {
-            name: F.try_divide(F.col("value"), F.sum("value").over(Window.partitionBy(*kept)))
-            for name, kept in shares.items()
-        }
-    )
+    out = grouped
+    for name, kept in shares.items():
+        # Totals are small aggregates joined back; a window would gather a total's rows in one task.
+        if kept:
+            totals = grouped.groupBy(*kept).agg(F.sum("value").alias("_total"))
+            placed = join_null_safe(out, totals, kept)
+        else:
+            placed = out.withColumn("_total", grouped.agg(F.sum("value")).scalar())
+        out = placed.withColumn(name, F.try_divide(F.col("value"), F.col("_total"))).drop("_total")
+    return out
 
 
 def prior_periods(df: DataFrame, time: str, measure: Column, back: dict[str, int]) -> DataFrame:

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from tabsmith.functions.scalars import order_axis
 
-MAX_SLICES = 1024
+FIRST_SLICES = 1024
+MAX_SLICES = 16_384
 ROWS_PER_SLICE = 500_000
 MIN_SLICES = 8
 SKETCH_SHARE = 0.02
@@ -78,25 +79,33 @@ def _sketch(name: str, parts: int) -> Column:
     return F.expr(f"percentile_approx({name}, array({fractions}), {4 * parts})")
 
 
+def _draw(df: DataFrame, axis: Column, tie: Column | None, parts: int, share: float):
+    drawn = F.rand(11) < share
+    cols = [axis.alias("_a"), F.when(drawn, axis).alias("_d")]
+    wanted = [F.count("_a").alias("n"), _sketch("_d", parts).alias("q")]
+    if tie is not None:
+        cols.append(F.when(drawn, tie).alias("_t"))
+        wanted.append(_sketch("_t", 64).alias("t"))
+    return df.select(*cols).agg(*wanted).first()
+
+
 def fit_slicer(
     df: DataFrame, axis: Column, tie: Column | None = None, least: int = MIN_SLICES
 ) -> Slicer:
     """One aggregate over a thin random sample of the axis plus an exact row count.
 
     Only cut points (at most MAX_SLICES) reach the driver. Sampling affects how even the slices
-    are, never a result.
+    are, never a result. A table too large for FIRST_SLICES is sketched again, more finely.
     """
-    drawn = F.rand(11) < SKETCH_SHARE
-    cols = [axis.alias("_a"), F.when(drawn, axis).alias("_d")]
-    wanted = [F.count("_a").alias("n"), _sketch("_d", MAX_SLICES).alias("q")]
-    if tie is not None:
-        cols.append(F.when(drawn, tie).alias("_t"))
-        wanted.append(_sketch("_t", 64).alias("t"))
-    row = df.select(*cols).agg(*wanted).first()
+    row = _draw(df, axis, tie, FIRST_SLICES, SKETCH_SHARE)
     if not row["q"]:
         return Slicer([])
     slices = min(MAX_SLICES, max(least, row["n"] // ROWS_PER_SLICE))
-    step = MAX_SLICES / slices
+    parts = FIRST_SLICES
+    if slices > FIRST_SLICES:
+        parts = slices
+        row = _draw(df, axis, tie, parts, min(SKETCH_SHARE, 2_000 * parts / row["n"]))
+    step = parts / slices
     picked = [row["q"][min(len(row["q"]) - 1, int(step * i) - 1)] for i in range(1, slices)]
     heavy = sorted({a for a, b in zip(picked, picked[1:]) if a == b})
     cuts = set(picked)

@@ -131,3 +131,14 @@ def test_average_ranks(layouts, many_slices):
     for df in layouts([(x,) for x in xs], "x double"):
         got = {r["x"]: r["avg_rank"] for r in order_stats.rank_table(df, "x").collect()}
         assert got == {1.0: 1.5, 2.0: 3.0, 3.0: 5.0}
+
+
+def test_large_tables_get_finer_cuts(spark, monkeypatch):
+    monkeypatch.setattr(slices, "FIRST_SLICES", 8)
+    monkeypatch.setattr(slices, "ROWS_PER_SLICE", 20)
+    monkeypatch.setattr(slices, "SKETCH_SHARE", 1.1)
+    df = spark.range(3000).withColumn("x", F.rand(1))
+    s = slices.fit_slicer(df, F.col("x"))
+    assert len(s.cuts) > 100
+    placed = slices.with_position(df, [], ["x"])
+    assert placed.orderBy("x").select("rn").limit(2000).agg(F.max("rn"), F.count_distinct("rn")).first()[:] == (2000, 2000)

@@ -45,15 +45,15 @@ def stream_quality_counts(t):
 @query(
     "stream_capability",
     """WITH w AS (SELECT event_type, value, date_trunc('day', ts) - CAST(k AS INTEGER) * INTERVAL 1 DAY AS start FROM events, range(0, 2) r(k))
-      SELECT strftime(start, '%Y-%m-%d') AS day, event_type, count(value) AS n, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS sd,
-      round(least(160 - avg(value), avg(value) + 40) / (3 * stddev_samp(value)), 4) AS ppk FROM w GROUP BY start, event_type""",
+      SELECT strftime(start, '%Y-%m-%d') AS day, event_type, count(value) AS n, round(avg(value), 9) AS mean, round(stddev_samp(value), 9) AS sd,
+      round(least(160 - avg(value), avg(value) + 40) / (3 * stddev_samp(value)), 9) AS ppk FROM w GROUP BY start, event_type""",
 )
 def stream_capability(t):
     src = stream_events(t).withColumn("ts", F.col("ts").cast("timestamp"))
     cap = quality.windowed_capability(src, "ts", "event_type", "value", -40.0, 160.0, "2 days", "1 day", "1 hour")
     out = quality.newest(quality.run_to_end(cap, "update"), ["start", "event_type"])
     return rounded(
-        out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", "mean", "sd", "ppk"), 4, "mean", "sd", "ppk"
+        out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", "mean", "sd", "ppk"), 9, "mean", "sd", "ppk"
     )
 
 
