@@ -14,6 +14,7 @@ from tabsmith.session import materialize
 
 JOINER = " & "
 SEPARATOR = "\u0001"
+FILLED = "_filled"
 SUBSET_ITEMS = 8
 
 
@@ -41,14 +42,12 @@ def binned_items(
         else:
             cell = present(df, c).cast("string")
             new[c] = F.when(cell.isNotNull(), F.concat(F.lit(f"{c}:"), cell))
-    return df.withColumns(new), labels
-
-
-def _at_least_two(columns: list[str]) -> Column:
+    # Counted on the cells, not on the tokens: a filter on tokens would be pushed below them and
+    # evaluate every bin expression twice.
     filled = F.lit(0)
     for c in columns:
-        filled = filled + F.col(f"`{c}`").isNotNull().cast("int")
-    return filled >= 2
+        filled = filled + (F.col(f"`{c}`") if c in cuts else present(df, c)).isNotNull().cast("int")
+    return df.withColumn(FILLED, filled).withColumns(new), labels
 
 
 def _item_list(columns: list[str]) -> Column:
@@ -58,7 +57,7 @@ def _item_list(columns: list[str]) -> Column:
 
 def transactions(items: DataFrame, columns: list[str], keep: list[str] = ()) -> DataFrame:
     """Item list per row; missing items dropped; at least two items."""
-    return items.where(_at_least_two(columns)).select(*keep, _item_list(columns).alias("items"))
+    return items.where(F.col(FILLED) >= 2).select(*keep, _item_list(columns).alias("items"))
 
 
 def count_baskets(items: DataFrame, columns: list[str]) -> DataFrame:
@@ -67,7 +66,7 @@ def count_baskets(items: DataFrame, columns: list[str]) -> DataFrame:
     Binned rows repeat a lot, so rows are grouped on the plain token columns, partially in the map
     tasks, and arrays are built for the distinct combinations only.
     """
-    g = items.where(_at_least_two(columns)).groupBy(*columns).agg(F.count(F.lit(1)).alias("c"))
+    g = items.where(F.col(FILLED) >= 2).groupBy(*columns).agg(F.count(F.lit(1)).alias("c"))
     return materialize(g.select(F.array_sort(_item_list(columns)).alias("items"), "c"), "baskets")
 
 
