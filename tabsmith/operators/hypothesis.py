@@ -8,10 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabsmith.functions.normal import (
-    coarse_cdf, coarse_quantile, norm_cdf, norm_quantile,
-)
-from tabsmith.functions.scalars import all_of, number, present
+from tabsmith.functions.normal import coarse_cdf, coarse_quantile, norm_quantile
+from tabsmith.functions.scalars import number, present
 from tabsmith.functions.tails import chi2_p_value, f_p_value, kolmogorov_p_value, t_p_value
 from tabsmith.operators.association import chi_statistics, correlation_matrix, partial_matrix
 from tabsmith.operators.order_stats import cumulative_counts

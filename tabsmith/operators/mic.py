@@ -7,7 +7,6 @@ a few thousand cells whatever the row count) and every grid is summed from those
 
 from __future__ import annotations
 
-import math
 from fractions import Fraction
 from itertools import combinations
 

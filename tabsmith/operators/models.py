@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.ml import Pipeline, PipelineModel, Transformer
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import (
     DecisionTreeClassifier, LogisticRegression, RandomForestClassifier,
 )
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tabsmith.functions.scalars import number
 from tabsmith.functions.tails import t_two_sided
 from tabsmith.operators import evaluation
-from tabsmith.operators.features import FEATURES, feature_names
+from tabsmith.operators.features import FEATURES
 
 SEED = 42
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabsmith.functions.normal import norm_cdf, norm_pdf, norm_quantile, norm_sf_abs
+from tabsmith.functions.normal import norm_pdf, norm_quantile, norm_sf_abs
 from tabsmith.functions.scalars import number
 from tabsmith.operators.charts import histogram
 from tabsmith.operators.slices import join_null_safe, with_history, with_position

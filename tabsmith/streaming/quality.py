@@ -32,7 +32,7 @@ def run_to_end(stream: DataFrame, mode: str, sink: Callable | None = None) -> Da
     def write(batch: DataFrame, batch_id: int) -> None:
         (sink(batch) if sink else batch).withColumn("_batch", F.lit(batch_id)).write.mode(
             "overwrite"
-        ).parquet(f"{out}/_part={batch_id}".replace("_part", "part"))
+        ).parquet(f"{out}/part={batch_id}")
 
     q = (
         stream.writeStream.outputMode(mode)

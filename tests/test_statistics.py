@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tabsmith.functions import normal, tails
@@ -114,7 +115,7 @@ def test_unseen_labels_survive_a_stored_transform(spark):
     train = spark.createDataFrame([(1.0, "a"), (2.0, "b"), (None, "a")], "x double, g string")
     new = spark.createDataFrame([(None, "zzz"), (5.0, None)], "x double, g string")
     model = features.fit_features(train, ["x"], ["g"], one_hot=False)
-    out = features.apply_features(model, new, ["x"], ["g"]).select(features.vector_to_array("features")).collect()
+    out = features.apply_features(model, new, ["x"], ["g"]).select(vector_to_array("features")).collect()
     assert out[0][0] == [1.5, 2.0] and out[1][0] == [5.0, 2.0]
 
 

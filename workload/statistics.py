@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabsmith.functions import normal
 from tabsmith.operators import association, charts, concordance, hypothesis, mic, relational
 from workload.base import (
     GAPPY, KEY_SQL, ROW_KEY, TEXTY, chi2_upper_sql, f_upper_sql, quantile_sql, query, t_two_sided_sql,
