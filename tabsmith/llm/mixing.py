@@ -22,7 +22,7 @@ from tabsmith.session import materialize
 #: Words of a block, slots of an output shard, rows whose offsets are summed in one window.
 BLOCK = 256
 SHARD_SLOTS = 1024
-WINDOW_ROWS = 20_000
+WINDOW_ROWS = 5000
 #: Slots that one row expands to at a time.
 CHUNK = 4096
 ROUNDS = 24
@@ -51,7 +51,7 @@ def word_count(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
-    """From (source, source_size) to the targets: number, source, source_size, target (double).
+    """From (source, source_size, rows) to the targets: number, source, source_size, target (double), rows.
 
     Sources in code-point order, NULL last, weigh as listed, repeating. Together they get `share`
     times all sizes; no target is above `most` times its source, and the excess goes to the others
@@ -75,7 +75,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, m
     open_weight = F.sum(F.when(~F.col("full"), F.col("weight"))).over(every)
     left = F.coalesce((F.col("budget") - spent) / open_weight, F.lit(0.0))
     return capped.select(
-        "number", "source", "source_size",
+        "number", "source", "source_size", "rows",
         F.when(F.col("full"), F.col("cap")).otherwise(F.least(F.col("cap"), left * F.col("weight"))).alias("target"),
     )
 
@@ -108,16 +108,17 @@ def mix(rows: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     sources are sources of their own. Reruns over the same rows agree; an empty table gives empty
     results. `rows` must be a stored table, as it is read more than once.
     """
-    targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
+    targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows")), weights, share, most)
     targets = materialize(targets, "targets")
     few = targets.count() <= FEW_SOURCES
     by_source = F.broadcast(targets) if few else targets
     rows = rows.join(by_source, rows["source"].eqNullSafe(by_source["source"]), "left").drop(by_source["source"])
 
-    slices = max(1, -(-rows.count() // WINDOW_ROWS))
+    # a source is cut into as many slices as its rows need, so that no window holds a hot source
+    slices = F.ceil(F.col("rows") / WINDOW_ROWS)
     placed = rows.filter("size > 0").select(
-        "number", "row_no", "size", F.xxhash64(F.lit(seed), "doc_id", "row_no").alias("order")
-    ).withColumn("slice", F.pmod("order", F.lit(slices)))
+        "number", "row_no", "size", F.xxhash64(F.lit(seed), "doc_id", "row_no").alias("order"), slices.alias("slices")
+    ).withColumn("slice", F.pmod("order", "slices"))
     slice_sizes = placed.groupBy("number", "slice").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("number").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = slice_sizes.select("number", "slice", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("base"))
@@ -149,8 +150,9 @@ def mix(rows: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     runs = runs.withColumn("base", F.coalesce(F.sum("slots").over(so_far), F.lit(0))).withColumn("all", F.sum("slots").over(Window.partitionBy()))
     chunks = runs.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / CHUNK))))
     low = F.col("chunk") * CHUNK
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slots = (
-        chunks.repartition("number", "pass", "chunk")
+        chunks.repartition(parts, "number", "pass", "chunk")
         .withColumn("k", F.explode(F.sequence(low, F.least(low + CHUNK, F.col("slots")) - 1)))
         .withColumn("seat", permuted(F.col("base") + F.col("k"), F.col("all"), F.lit(seed)))
         .select(
@@ -162,7 +164,7 @@ def mix(rows: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
         )
     )
     end = F.least(F.col("hi"), F.col("block") * block + F.col("room"))
-    pieces = slots.join(packed_rows, ["number", "block"]).filter(end > F.col("lo")).select(
+    pieces = slots.hint("merge").join(packed_rows, ["number", "block"]).filter(end > F.col("lo")).select(
         "shard", "seat", "number", "pass", "row_no", (F.col("lo") - F.col("offset")).alias("start"), (end - F.col("lo")).alias("words")
     )
     return Mix(rows, pieces)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tabsmith.llm import bpe, exact_dedup, mixing, simhash
+from tabsmith.llm import bpe, covertree, exact_dedup, langid, licenses, mixing, secret_scan, simhash, toxicity, wordpiece
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -24,9 +25,45 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file on the driver."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op1_token_counts")
+def op1(spark: SparkSession, folder: str, pieces: str | None = None) -> DataFrame:
+    return wordpiece.token_counts(
+        table(spark, folder, "documents"), wordpiece.read_pieces(pieces or vocabulary("piece_bpe_32k.model"))
+    )
+
+
 @query("op2_mix_sources")
-def _(spark, folder):
-    return mixing.mix_sizes(table(spark, folder, "documents")).taken()
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_sizes(table(spark, folder, "documents"), weights=(3, 1, 2), share=1.5, most=2.0).taken()
+
+
+@query(
+    "op3_exact_top_k",
+    """WITH v AS (
+      SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+      WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+    SELECT q.vec_id AS query_id, CAST(row_number() OVER best AS INTEGER) AS rank, d.vec_id,
+      CAST(list_sum(list_transform(list_zip(q.e, d.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+    FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0
+    WINDOW best AS (PARTITION BY q.vec_id
+      ORDER BY list_sum(list_transform(list_zip(q.e, d.e), lambda z: z[1] * z[2])) DESC, d.vec_id)
+    QUALIFY row_number() OVER best <= 5""",
+)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return covertree.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query("op4_license_scan", licenses.oracle())
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
 
 
 @query(
@@ -36,18 +73,48 @@ def _(spark, folder):
     FROM (SELECT doc_id, sha256(coalesce(text, '')) AS digest FROM documents)
     WINDOW g AS (PARTITION BY digest)""",
 )
-def _(spark, folder):
+def op5(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.annotate(table(spark, folder, "documents"))
 
 
 @query("op6_byte_bpe")
-def _(spark, folder):
+def op6(spark: SparkSession, folder: str, ranks: str | None = None) -> DataFrame:
     import public_tokenizers
 
-    ranks = bpe.read_ranks(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return bpe.round_trip(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
+    read = bpe.read_ranks(spark, ranks or vocabulary("byte_bpe_multi_50k.tiktoken"))
+    return bpe.round_trip(table(spark, folder, "documents"), read, public_tokenizers.PATTERN)
 
 
 @query("op7_simhash")
-def _(spark, folder):
-    return simhash.near_duplicates(table(spark, folder, "documents"))
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"), shingle=3, radius=3)
+
+
+def crc_left(modulus: int, rest: int):
+    """Rows whose crc32 of doc_id as text leaves `rest`; false for a NULL id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == rest, F.lit(False))
+
+
+@query("op8_language_id")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = langid.fit(docs.filter(~crc_left(4, 2)))
+    found = langid.predict(docs, model)
+    return found.select("doc_id", crc_left(4, 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("op9_secret_scan")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return secret_scan.scan(docs, secret_scan.fit(docs))
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    net = toxicity.fit(docs, table(spark, folder, "labels"))
+    found = toxicity.score(docs, net)
+    return found.select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
