@@ -12,7 +12,6 @@ round first finds every text's highest window under the present weights and then
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,10 +19,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabsmith.llm.common import column, map_batches
+from tabsmith.llm.common import column, map_batches, packed, unpacked
 
 #: Labelled rows used for training at most.
-SAMPLE = 8000
+SAMPLE = 5000
 #: Words of a window and between the beginnings of two.
 WINDOW = 32
 STRIDE = 16
@@ -174,13 +173,22 @@ def windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin + (np.cumsum(sizes) - sizes)[of], n
 
 
-def _window_ids(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word ids by window, which of them are real, and windows of each text."""
-    begins, n = windows(sizes)
-    at = begins[:, None] + np.arange(WINDOW)
-    real = at < np.repeat(np.cumsum(sizes), n)[:, None]
-    padded = np.concatenate([flat, np.zeros(1, flat.dtype)])
-    return padded[np.where(real, at, len(flat))], real, n
+class Windows:
+    """All windows over a run of texts' word ids, handed out by number so that few are held at a time."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray):
+        self.flat = np.concatenate([flat, np.zeros(1, flat.dtype)])
+        self.begins, self.n = windows(sizes)
+        self.ends = np.repeat(np.cumsum(sizes), self.n)
+
+    def __len__(self) -> int:
+        return len(self.begins)
+
+    def at(self, which: np.ndarray | slice) -> tuple[np.ndarray, np.ndarray]:
+        """Word ids of these windows, and which places hold a word."""
+        place = self.begins[which][:, None] + np.arange(WINDOW)
+        real = place < self.ends[which][:, None]
+        return self.flat[np.where(real, place, len(self.flat) - 1)], real
 
 
 class Scorer:
@@ -213,14 +221,14 @@ class Scorer:
     def logits(self, texts: list[list[str]]) -> np.ndarray:
         """Highest window logit of each text."""
         flat = [t for words in texts for t in words]
-        ids, real, n = _window_ids(self.ids_of(flat), np.array([len(t) for t in texts], np.int64))
-        out = np.empty(len(ids), np.float32)
-        full = real.all(axis=1)
+        every = Windows(self.ids_of(flat), np.array([len(t) for t in texts], np.int64))
+        out = np.empty(len(every), np.float32)
+        full = every.begins + WINDOW <= every.ends
         for which, masked in ((np.flatnonzero(full), False), (np.flatnonzero(~full), True)):
             for i in range(0, len(which), TOGETHER):
-                at = which[i : i + TOGETHER]
-                out[at] = self.net.forward(self.table, ids[at], real[at].astype(np.float32) if masked else None)
-        return np.maximum.reduceat(out, np.cumsum(n) - n) if len(n) else out
+                ids, real = every.at(which[i : i + TOGETHER])
+                out[which[i : i + TOGETHER]] = self.net.forward(self.table, ids, real.astype(np.float32) if masked else None)
+        return np.maximum.reduceat(out, np.cumsum(every.n) - every.n) if len(out) else out
 
     def score(self, texts: list[str]) -> np.ndarray:
         """Probabilities, some texts at a time; very long texts go in parts that overlap by a window."""
@@ -251,21 +259,12 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(self.net.scale * best + self.net.shift, -30, 30)))
 
 
-def leans(texts: list[set[str]], toxic: np.ndarray) -> dict[str, float]:
-    """Log odds of the label among the texts that hold a word, less those of all texts, drawn towards 0."""
-    seen, bad = Counter(), Counter()
-    for own, label in zip(texts, toxic):
-        seen.update(own)
-        if label:
-            bad.update(own)
-    rate = min(max(float(np.mean(toxic)) if len(toxic) else 0.5, 0.001), 0.999)
-    base = np.log(rate / (1 - rate))
-    found = {}
-    for w, n in seen.items():
-        if n >= LEAN_TEXTS:
-            odds = (bad[w] + DOUBT * rate) / (n - bad[w] + DOUBT * (1 - rate))
-            found[w] = float(np.clip((np.log(odds) - base) / 2, -2, 4))
-    return found
+def leans(seen: np.ndarray, bad: np.ndarray, rate: float) -> np.ndarray:
+    """Log odds of the label among `seen` texts that hold a word (`bad` of them toxic), less those of all
+    texts (`rate`), drawn towards 0."""
+    rate = min(max(rate, 0.001), 0.999)
+    odds = np.log((bad + DOUBT * rate) / (seen - bad + DOUBT * (1 - rate))) - np.log(rate / (1 - rate))
+    return np.where(seen >= LEAN_TEXTS, np.clip(odds / 2, -2, 4), 0).astype(np.float32)
 
 
 def train(texts: list[str], toxic: list[int], sample: int = SAMPLE) -> Network:
@@ -276,62 +275,73 @@ def train(texts: list[str], toxic: list[int], sample: int = SAMPLE) -> Network:
     its own label never speaks for it; afterwards they come from all.
     """
     once = dict(zip(texts[:sample], toxic[:sample]))
-    tokens = [[w.strip(_ENDS) for w in t.lower().split()] for t in once]
     y = np.array(list(once.values()), np.float32)
+    number: dict[str, int] = {"": 0}
+    ids, held = [], []
+    for text in once:
+        own = np.fromiter((number.setdefault(w.strip(_ENDS), len(number)) for w in text.lower().split()), np.int32)
+        ids.append(own)
+        held.append(np.unique(own[own > 0]))
+    names, v = list(number), len(number)
     rest = np.arange(len(y)) % 5 == 4 if len(y) >= 50 else np.zeros(len(y), bool)
     half = np.where(rest, 2, np.arange(len(y)) % 2)
-    sets = [set(t) - {""} for t in tokens]
-    own = [leans([s for s, k in zip(sets, half) if k in use], y[np.isin(half, use)]) for use in ((1,), (0,), (0, 1))]
-    seen = Counter(w for s, out in zip(sets, rest) if not out for w in s)
-    words = [w for w, n in sorted(seen.items(), key=lambda x: (-x[1], x[0])) if n >= LEAST_TEXTS][:WORDS]
-    net = Network.fresh(words, leans(sets, y))
+
+    def counts(of: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        every = [np.zeros(0, np.int32), *[held[i] for i in np.flatnonzero(of)]]
+        bad = [np.zeros(0, np.int32), *[held[i] for i in np.flatnonzero(of & (y > 0))]]
+        return tuple(np.bincount(np.concatenate(x), minlength=v).astype(np.float32) for x in (every, bad)) + (float(y[of].mean()) if of.any() else 0.5,)
+
+    by_half = np.stack([leans(*counts(half == 1)), leans(*counts(half == 0)), leans(*counts(half != 2))])
+    seen, all_leans = counts(half != 2)[0], leans(*counts(half >= 0))
+    common = np.flatnonzero(seen >= LEAST_TEXTS)
+    common = common[np.lexsort((common, -seen[common]))][:WORDS]
+    net = Network.fresh([names[i] for i in common], {names[i]: float(all_leans[i]) for i in np.flatnonzero(all_leans)})
     if not len(y) or y.min() == y.max():
         return net
-    names = sorted({(w, k) for t, k in zip(tokens, half) for w in t} | {("", 0)})
-    index = {x: i for i, x in enumerate(names)}
-    lean = np.array([own[k].get(w, 0.0) for w, k in names], np.float32)
-    plain = [w for w, _ in names]
-    ids, real, n = _window_ids(
-        np.array([index[w, k] for t, k in zip(tokens, half.tolist()) for w in t], np.int64), np.array([len(t) for t in tokens], np.int64)
-    )
-    first = np.cumsum(n) - n
-    moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
+    # a text's words are numbered apart by the half it is in, whose leans they take
+    flat = np.concatenate([own + v * k for own, k in zip(ids, half.astype(np.int32))])
+    every = Windows(flat, np.array([len(x) for x in ids], np.int64))
+    lean, of = by_half.ravel(), np.repeat(np.arange(len(y)), every.n)
+    first = np.cumsum(every.n) - every.n
+    moment = {k: (np.zeros_like(w), np.zeros_like(w)) for k, w in net.p.items()}
     rng, step = np.random.default_rng(11), 0
     fit = np.flatnonzero(~rest)
     judge = np.flatnonzero(rest) if rest.any() else fit
     best = (np.inf, net.p, None)
 
+    def given(which) -> tuple:
+        words, real = every.at(which)
+        used, local = np.unique(words, return_inverse=True)
+        made = net.inputs([names[i % v] for i in used.tolist()], lean[used])
+        return made, net.project(made[0]), local.reshape(words.shape), real.astype(np.float32)
+
     def highest() -> tuple[np.ndarray, np.ndarray]:
-        table = net.project(net.inputs(plain, lean)[0])
-        logits = np.concatenate([net.forward(table, ids[i : i + TOGETHER], real[i : i + TOGETHER].astype(np.float32)) for i in range(0, len(ids), TOGETHER)])
+        parts = []
+        for i in range(0, len(every), TOGETHER):
+            _, table, local, real = given(slice(i, i + TOGETHER))
+            parts.append(net.forward(table, local, real))
+        logits = np.concatenate(parts)
         top = np.maximum.reduceat(logits, first)
-        hit = np.flatnonzero(logits == np.repeat(top, n))
-        _, one = np.unique(np.repeat(np.arange(len(n)), n)[hit], return_index=True)
-        return hit[one], top
-
-    pick, _ = highest()
-    # at first a text's window is the one with the strongest leans
-    strong = np.where(real, lean[ids], -9).max(axis=1)
-    if strong.max() > 0:
-        order = np.lexsort((strong, np.repeat(np.arange(len(n)), n)))
-        pick = order[np.cumsum(n) - 1]
+        hit = np.flatnonzero(logits == top[of])
+        return hit[np.unique(of[hit], return_index=True)[1]], top
+
+    # at first a text's window is the one with the strongest lean
+    strong = np.concatenate([np.where(r, lean[w], -9).max(axis=1) for w, r in (every.at(slice(i, i + TOGETHER)) for i in range(0, len(every), TOGETHER))])
+    pick = np.lexsort((strong, of))[np.cumsum(every.n) - 1]
     batches = max(1, len(fit) // BATCH)
     for _ in range(ROUNDS):
         for _ in range(max(EPOCHS, -(-STEPS // (ROUNDS * batches)))):
             for part in np.array_split(rng.permutation(fit), batches):
                 step += 1
-                chosen = ids[pick[part]]
-                used, local = np.unique(chosen, return_inverse=True)
-                local, mask = local.reshape(chosen.shape), real[pick[part]].astype(np.float32)
-                x, rows, grams, count = net.inputs([plain[i] for i in used], lean[used])
-                table, keep = net.project(x), []
+                made, table, local, mask = given(pick[part])
+                keep: list = []
                 logits = net.forward(table, local, mask, keep)
                 slope = (1 / (1 + np.exp(-logits)) - y[part]) / len(part)
-                _update(net, net.backward(table, local, mask, keep, slope.astype(np.float32)), (x, rows, grams, count), moment, step)
+                _update(net, net.backward(table, local, mask, keep, slope.astype(np.float32)), made, moment, step)
         pick, top = highest()
         loss = np.logaddexp(0, np.where(y[judge] > 0, -top[judge], top[judge])).mean()
         if loss < best[0]:
-            best = (loss, {k: v.copy() for k, v in net.p.items()}, top)
+            best = (loss, {k: w.copy() for k, w in net.p.items()}, top)
     _, net.p, top = best
     if rest.any() and top is not None:
         net.scale, net.shift = _logistic(top[rest].astype(np.float64), y[rest])
@@ -405,15 +415,16 @@ def score(docs: DataFrame, net: Network, doc_id: str = "doc_id", text: str = "te
     return map_batches(narrow, "doc_id long, score double", make)
 
 
-def scored(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
-    """`docs` as rows of struct `row` beside `score`, in one pass; for filtering by score."""
+def below(docs: DataFrame, net: Network, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `docs` whose text scores below the threshold, unchanged, in one pass."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     @F.pandas_udf("double")
-    def of(texts: pd.Series) -> pd.Series:
+    def score_of(texts: pd.Series) -> pd.Series:
         return pd.Series(_worker(shared).score(["" if t is None else t for t in texts]), dtype="float64")
 
-    return docs.select(F.struct(*[column(docs, c) for c in docs.columns]).alias("row"), of(column(docs, text)).alias("score"))
+    rows = packed(docs, score=score_of(column(docs, text)))
+    return unpacked(rows.filter(F.col("score") < threshold), docs)
 
 
 _BUILT: list = []
