@@ -319,8 +319,8 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], doc_id: str = "doc_id",
     return map_batches(narrow, "doc_id long, text string", make)
 
 
-def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encode, decode and digest in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256.
+def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """Encode, decode and digest in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256, and on demand the ids.
 
     Digests are lowercase hex: of the decimal ids joined by commas, and of the bytes the ids decode to.
     Repeated rows give repeated results, an empty table none.
@@ -331,21 +331,24 @@ def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: s
         encoder, names, machine = _worker(shared)
 
         def run(cols):
-            n, coded, back = [], [], []
+            n, coded, back, kept = [], [], [], []
             for text in cols["text"]:
                 ids = encoder.encode(text)
                 n.append(len(ids))
+                if with_ids:
+                    kept.append(ids)
                 coded.append(sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
                 digest = sha256()
                 for i in range(0, len(ids), 65_536):
                     digest.update(machine.feed(ids[i : i + 65_536]).encode())
                 machine.close()
                 back.append(digest.hexdigest())
-            return {"doc_id": cols["doc_id"], "n_tokens": n, "ids_sha256": coded, "decoded_sha256": back}
+            return {"doc_id": cols["doc_id"], "n_tokens": n, "ids_sha256": coded, "decoded_sha256": back, "ids": kept}
 
         return run
 
-    return map_batches(_narrow(docs, doc_id, text), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", make)
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return map_batches(_narrow(docs, doc_id, text), schema, make)
 
 
 def _narrow(docs: DataFrame, doc_id: str, text: str) -> DataFrame:

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -218,6 +219,16 @@ def link_fingerprints(nodes: DataFrame, radius: int = RADIUS, roomy: int = ROOMY
     return links.unionByName(_links(inner, ["at", "cut", "key"], radius))
 
 
+def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """From (doc_id, fp) to (fp, root, component_id): the component's least fingerprint and least doc_id."""
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    roots = components(link_fingerprints(nodes.select("fp"), radius)).select(F.col("node").alias("fp"), "root")
+    tied = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    tied = materialize(tied, "roots")
+    least = tied.groupBy("root").agg(F.min("least").alias("component_id"))
+    return tied.join(least, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -226,12 +237,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     and link like any other. Repeated rows are kept. An empty table gives no rows.
     """
     prints = materialize(fingerprints(docs, doc_id, text, shingle), "fingerprints")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(link_fingerprints(nodes.select("fp"), radius)).select(F.col("node").alias("fp"), "root")
-    tied = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    tied = materialize(tied, "roots")
-    least = tied.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = tied.join(least, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select(
+    return prints.join(classes(prints, radius), "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The rows of `docs` that stay: of each component the row with the least doc_id, unchanged.
+
+    Rows without an id give way to rows with one; where an id occurs more than once in a component, one
+    of its rows stays. The rows are stored once with their fingerprints, as both joins need them; all
+    but the least of a component are dropped before the few that share an id are reduced to one.
+    """
+
+    @F.pandas_udf("long")
+    def print_of(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
+
+    rows = packed(docs, doc_id=column(docs, doc_id).cast("long"), fp=print_of(column(docs, text).cast("binary")))
+    rows = materialize(rows, "printed")
+    found = rows.join(classes(rows.select("doc_id", "fp"), radius), "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return unpacked(found.groupBy("root").agg(F.first("row").alias("row")), docs)
