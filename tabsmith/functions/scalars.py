@@ -87,9 +87,11 @@ def order_axis(df: DataFrame, name: str) -> Column:
         return c.cast("double")
     if isinstance(dt, T.DateType):
         return F.unix_date(c).cast("double")
-    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        day = F.unix_date(F.to_date(c)).cast("double")
-        return day * 86400.0 + F.hour(c) * 3600.0 + F.minute(c) * 60.0 + F.second(c)
+    if isinstance(dt, T.TimestampType):
+        # the instant, not the clock: the hour that a time zone repeats must not go back
+        return F.unix_micros(c).cast("double") / 1e6
+    if isinstance(dt, T.TimestampNTZType):
+        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{name}`)").cast("double") / 1e6
     raise TypeError(f"cannot slice on column {name} of type {dt.simpleString()}")
 
 

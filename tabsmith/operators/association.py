@@ -284,8 +284,8 @@ def partial_matrix(corr: np.ndarray) -> np.ndarray:
     return out
 
 
-def partial_corr(df: DataFrame, columns: list[str], top: int = 20) -> DataFrame:
-    """Strongest partial-correlation edges with the degree of their end nodes."""
+def partial_corr(df: DataFrame, columns: list[str], top: int | None = 20) -> DataFrame:
+    """Strongest partial-correlation edges (None as `top`: all) with the degree of their end nodes."""
     rho = partial_matrix(correlation_matrix(df, columns)[0])
     edges = [
         (columns[i], columns[j], float(rho[i, j]))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tabsmith.functions.scalars import number, present
 from tabsmith.operators.order_stats import melt, quantile_table
 from tabsmith.operators.profiling import missing_rate, per_column
+from tabsmith.operators.slices import broadcast_if_small, join_null_safe
 
 FIVE = {
     "q1": (0.25, "floor"), "median": (0.5, "floor"), "q3": (0.75, "floor"),
@@ -103,7 +104,7 @@ def histogram(df: DataFrame, column: str, bins: int = 20, group: list[str] = ())
     src = df.select(*keys, x.alias("_x")).where(F.col("_x").isNotNull())
     if keys:
         lim = src.groupBy(*keys).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
-        placed = src.join(lim, keys)
+        placed = join_null_safe(src, broadcast_if_small(lim), keys)
     else:
         lim = src.agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
         fit = lim.select(F.struct("*")).scalar()
@@ -115,7 +116,7 @@ def histogram(df: DataFrame, column: str, bins: int = 20, group: list[str] = ())
     frame = lim.select(
         *keys, "_lo", width.alias("_w"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
     )
-    return frame.join(counts, [*keys, "bin"], "left").select(
+    return join_null_safe(frame, counts, [*keys, "bin"], "left").select(
         *keys, "bin", (F.col("_lo") + (F.col("bin") + 0.5) * F.col("_w")).alias("mid"),
         F.coalesce("n", F.lit(0)).alias("n"),
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabsmith.functions.scalars import number, present
 from tabsmith.operators.order_stats import quantile_values
-from tabsmith.operators.slices import SLICE, fit_slicer, order_axis, running_offsets
+from tabsmith.operators.slices import SLICE, broadcast_if_small, fit_slicer, order_axis, running_offsets
 
 MAX_LEVELS = 100
 
@@ -41,7 +41,7 @@ def label_encode(df: DataFrame, columns: list[str], order: str) -> DataFrame:
     for c in columns:
         codes = label_map(df, c, order).withColumnRenamed("value", "_lv").withColumnRenamed("code", "_lc")
         out = (
-            out.join(codes, F.col(f"`{c}`") == F.col("_lv"), "left")
+            out.join(broadcast_if_small(codes), F.col(f"`{c}`") == F.col("_lv"), "left")
             .drop("_lv", c)
             .withColumnRenamed("_lc", c)
         )
@@ -65,14 +65,15 @@ def levels_of(df: DataFrame, column: str, max_levels: int = MAX_LEVELS) -> list[
 def one_hot(df: DataFrame, columns: list[str], max_levels: int = MAX_LEVELS) -> DataFrame:
     """Dummy columns `<column>_<level>`, all levels kept.
 
-    A column with more than `max_levels` levels stays as it is.
+    A column with more than `max_levels` levels is an error: so many dummy columns need a higher limit,
+    given on purpose, or label codes.
     """
     new = {}
     replaced = []
     for c in columns:
         levels = levels_of(df, c, max_levels)
         if levels is None:
-            continue
+            raise ValueError(f"column {c!r} has more than {max_levels} levels")
         replaced.append(c)
         for v in levels:
             hit = F.col(f"`{c}`").cast("string") == F.lit(v)

@@ -32,10 +32,11 @@ def oee(
 def pareto(df: DataFrame, category: str, measure: Column) -> DataFrame:
     """Totals per category and the share of all totals at least as large; ties share.
 
-    Equal totals are counted once before the running sum, which runs in slices of the totals.
+    Equal totals are counted once before the running sum, which runs in slices of the totals. A
+    category without a total has no share.
     """
     totals = df.groupBy(category).agg(measure.alias("total"))
-    levels = totals.groupBy("total").agg(F.sum("total").alias("s"))
+    levels = totals.where(F.col("total").isNotNull()).groupBy("total").agg(F.sum("total").alias("s"))
     down = levels.withColumn("_neg", -F.col("total"))
     slicer = fit_slicer(down, F.col("_neg").cast("double"))
     run = running_before(down, "_neg", ["s"], [], slicer)
@@ -44,7 +45,7 @@ def pareto(df: DataFrame, category: str, measure: Column) -> DataFrame:
         F.col("total").alias("_t"),
         F.try_divide(F.col("s_before") + F.col("s"), grand.scalar()).alias("cumulative_share"),
     )
-    return totals.join(share, F.col("total") == F.col("_t")).select(category, "total", "cumulative_share")
+    return totals.join(share, F.col("total") == F.col("_t"), "left").select(category, "total", "cumulative_share")
 
 
 def filtered_sums(df: DataFrame, keys: list[str], value: str, filters: dict[str, Column]) -> DataFrame:
@@ -120,9 +121,10 @@ def top_n_with_ties(df: DataFrame, by: str, n: int) -> DataFrame:
 def rank_all(df: DataFrame, by: str) -> DataFrame:
     """rank, dense rank and running total in descending order, for any number of rows.
 
-    Distinct values are counted first; ranks come from sliced running sums.
+    Distinct values are counted first; ranks come from sliced running sums. Rows without a value
+    rank last.
     """
-    levels = df.groupBy(by).agg(
+    levels = df.where(F.col(by).isNotNull()).groupBy(by).agg(
         F.count(F.lit(1)).alias("c"), F.sum(by).alias("s"), F.lit(1).alias("d")
     )
     down = levels.withColumn("_neg", -F.col(by))
@@ -134,7 +136,13 @@ def rank_all(df: DataFrame, by: str) -> DataFrame:
         (F.col("d_before") + 1).cast("long").alias("dense"),
         (F.col("s_before") + F.col("s")).alias("running"),
     )
-    return df.join(ranks, F.col(by) == F.col("_v")).drop("_v")
+    last = levels.agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("d"), F.sum("s").alias("s")).select(
+        F.lit(None).cast(df.schema[by].dataType).alias("_v"),
+        (F.coalesce("c", F.lit(0)) + 1).cast("long").alias("rnk"),
+        (F.col("d") + 1).cast("long").alias("dense"),
+        F.col("s").alias("running"),
+    )
+    return df.join(ranks.unionByName(last), F.col(by).eqNullSafe(F.col("_v"))).drop("_v")
 
 
 def level_grid(a: DataFrame, a_column: str, b: DataFrame, b_column: str) -> DataFrame:

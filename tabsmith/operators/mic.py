@@ -129,11 +129,11 @@ def relation_type(mic: Column, nonlinearity: Column) -> Column:
     )
 
 
-def mic_relation_type(pairs: DataFrame, top: int = 15) -> DataFrame:
-    """Pairs with clear nonlinearity, strongest first, with their class."""
-    return (
+def mic_relation_type(pairs: DataFrame, top: int | None = 15) -> DataFrame:
+    """Pairs with clear nonlinearity, strongest first, with their class; None as `top` returns all."""
+    out = (
         pairs.where("nonlinearity > 0.05")
         .withColumn("relation", relation_type(F.col("mic"), F.col("nonlinearity")))
         .orderBy(F.desc("nonlinearity"), "a", "b")
-        .limit(top)
     )
+    return out if top is None else out.limit(top)

@@ -276,12 +276,17 @@ def leaf_stats(scored: DataFrame, target: str = "label", leaf: str = "leaf") ->
 
 
 def joint_rules(
-    df: DataFrame, names: list[str], depth: int = 3, higher_better: bool = True, top: int = 15,
+    df: DataFrame, names: list[str], depth: int = 3, higher_better: bool = True, top: int | None = 15,
     min_support: int = 5,
 ) -> DataFrame:
-    """Rules of a regression tree with support, mean and effect against the overall mean, over all rows."""
+    """Rules of a regression tree with support, mean and effect against the overall mean, over all rows.
+
+    The strongest `top`; None returns all.
+    """
+    if not 2 <= depth <= 5:
+        raise ValueError("the depth of joint rules is 2 to 5")
     tree = DecisionTreeRegressor(
-        featuresCol=FEATURES, labelCol="label", maxDepth=min(max(depth, 2), 5), seed=SEED, leafCol="leaf"
+        featuresCol=FEATURES, labelCol="label", maxDepth=depth, seed=SEED, leafCol="leaf"
     ).fit(df)
     rules = df.sparkSession.createDataFrame(tree_rules(tree, names), "leaf int, rule string")
     stats = leaf_stats(tree.transform(df))
@@ -289,13 +294,13 @@ def joint_rules(
     t = stats.join(F.broadcast(rules), "leaf").withColumn("_m", overall)
     effect = F.col("mean_value") - F.col("_m")
     good = (effect > 0) if higher_better else (effect < 0)
-    return (
+    out = (
         t.where((F.col("samples") >= min_support) & (F.abs(effect) >= 0.01 * F.abs(F.col("_m"))))
         .select("rule", "mean_value", "samples", effect.alias("effect"),
                 F.when(good, "favourable").otherwise("unfavourable").alias("direction"))
         .orderBy(F.desc(F.abs("effect")), "rule")
-        .limit(top)
     )
+    return out if top is None else out.limit(top)
 
 
 def save_model(model: PipelineModel, path: str) -> None:

@@ -7,36 +7,49 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabsmith.functions.scalars import all_of, is_text, number
+from tabsmith.functions.scalars import all_of, is_numeric, is_text, number
 
 # Functions a formula may use.
 FORMULA_FUNCTIONS = {
     "abs", "ceil", "coalesce", "cos", "exp", "floor", "greatest", "least", "ln", "log10",
     "pow", "round", "sign", "sin", "sqrt", "tan", "try_divide",
 }
-_TOKEN = re.compile(r"\s*(?:(\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+)|([A-Za-z_]\w*)|(`[^`]+`)|([-+*/%(),]|\*\*))")
+_TOKEN = re.compile(r"\s*(?:(\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+)|([A-Za-z_]\w*)|(`[^`]+`)|(\*\*|[-+*/%(),]))")
 
 
-def check_formula(df: DataFrame, formula: str) -> str:
-    """Allow numbers, column names, arithmetic and the listed functions; division never fails."""
+def formula_tokens(df: DataFrame, formula: str) -> list[str]:
+    """Tokens of a formula: numbers, column names (quoted in the result), arithmetic and the listed functions.
+
+    `**` is refused: the functions hold pow.
+    """
     at, out = 0, []
     names = {c.lower() for c in df.columns}
     text = formula.strip()
     while at < len(text):
         m = _TOKEN.match(text, at)
-        if not m:
+        if not m or m.group(4) == "**":
             raise ValueError(f"unexpected character in formula at {text[at:]!r}")
         num, word, quoted, sign = m.groups()
         if word is not None:
-            follows = text[m.end():].lstrip()[:1]
-            allowed = word.lower() in FORMULA_FUNCTIONS if follows == "(" else word.lower() in names
-            if not allowed:
+            if text[m.end():].lstrip()[:1] == "(":
+                if word.lower() not in FORMULA_FUNCTIONS:
+                    raise ValueError(f"unknown name in formula: {word}")
+                out.append(word)
+            elif word.lower() in names:
+                out.append(f"`{word}`")
+            else:
                 raise ValueError(f"unknown name in formula: {word}")
         elif quoted is not None and quoted.strip("`").lower() not in names:
             raise ValueError(f"unknown column in formula: {quoted}")
-        out.append(m.group(0))
+        else:
+            out.append(num or quoted or sign)
         at = m.end()
-    return "".join(out)
+    return out
+
+
+def check_formula(df: DataFrame, formula: str) -> str:
+    """The formula as SQL text, or ValueError."""
+    return " ".join(formula_tokens(df, formula))
 
 
 def add_column_expr(df: DataFrame, name: str, formula: str, strict: bool = False) -> DataFrame:
@@ -44,42 +57,40 @@ def add_column_expr(df: DataFrame, name: str, formula: str, strict: bool = False
 
     A division by zero is NULL; with `strict` it is an error.
     """
-    checked = check_formula(df, formula)
+    tokens = formula_tokens(df, formula)
     if not strict:
-        checked = _guard_division(checked)
-    return df.withColumn(name, F.expr(checked).cast("double"))
+        tokens = _guard_division(tokens)
+    return df.withColumn(name, F.expr(" ".join(tokens)).cast("double"))
 
 
-def _guard_division(text: str) -> str:
-    """Make the right operand of / NULL when it is zero."""
+def _guard_division(tokens: list[str]) -> list[str]:
+    """Make the right operand of / and % NULL when it is zero."""
     out, i = [], 0
-    while i < len(text):
-        if text[i] in "/%":
-            out.append(text[i])
-            j = _operand_end(text, i + 1)
-            out.append(f" nullif({_guard_division(text[i + 1:j])}, 0)")
-            i = j
-        else:
-            out.append(text[i])
-            i += 1
-    return "".join(out)
+    while i < len(tokens):
+        out.append(tokens[i])
+        i += 1
+        if out[-1] in ("/", "%"):
+            end = _operand_end(tokens, i)
+            out += ["nullif(", *_guard_division(tokens[i:end]), ", 0)"]
+            i = end
+    return out
 
 
-def _operand_end(text: str, start: int) -> int:
-    """End of the factor that begins at `start`: a signed name, number, call or bracket."""
-    i = start
-    while i < len(text) and text[i] in " -+":
+def _operand_end(tokens: list[str], i: int) -> int:
+    """End of the factor that begins at token i: signs, then a name, number, call or bracket."""
+    while i < len(tokens) and tokens[i] in ("-", "+"):
         i += 1
-    while i < len(text) and (text[i].isalnum() or text[i] in "_.`"):
+    if i + 1 < len(tokens) and tokens[i] != "(" and tokens[i + 1] == "(":
         i += 1
-    if i < len(text) and text[i] == "(":
+    if i < len(tokens) and tokens[i] == "(":
         depth = 0
-        while i < len(text):
-            depth += (text[i] == "(") - (text[i] == ")")
+        while i < len(tokens):
+            depth += (tokens[i] == "(") - (tokens[i] == ")")
             i += 1
             if depth == 0:
                 break
-    return i
+        return i
+    return i + 1
 
 
 def derive_expr(df: DataFrame, lines: str) -> tuple[DataFrame, list[str]]:
@@ -161,17 +172,17 @@ def join(
 ) -> DataFrame:
     """Equi-join with 1:N expansion; on a name clash the left column wins.
 
-    Keys of unlike types compare as text. Spark chooses the join strategy at run time, including
-    the splitting of skewed keys.
+    Numeric keys of any two types compare as numbers. Against a text key a number is written as text,
+    whole ones without decimals; other unlike types compare as text. Spark chooses the join strategy
+    at run time, including the splitting of skewed keys.
     """
     if how not in JOIN_KINDS:
         raise ValueError(f"unknown join kind {how!r}")
     kind = JOIN_KINDS[how]
     lk, rk = left[left_key], right[right_key]
     if left.schema[left_key].dataType != right.schema[right_key].dataType:
-        numeric = left.schema[left_key].dataType.typeName() in ("integer", "long", "short", "byte")
-        if not (numeric and right.schema[right_key].dataType.typeName() in ("integer", "long", "short", "byte")):
-            lk, rk = lk.cast("string"), rk.cast("string")
+        if not (is_numeric(left, left_key) and is_numeric(right, right_key)):
+            lk, rk = _key_text(left, left_key), _key_text(right, right_key)
     joined = left.join(right, lk == rk, kind)
     if kind in ("left_anti", "left_semi"):
         return joined
@@ -185,6 +196,15 @@ def join(
     return joined.select(*[left[c] for c in left.columns], *keep)
 
 
+def _key_text(df: DataFrame, name: str) -> Column:
+    """A key as text; whole numbers are written without decimals or exponent."""
+    c = df[name]
+    if not is_numeric(df, name):
+        return c.cast("string")
+    whole = (c == F.floor(c)) & (F.abs(c) < 1e15)
+    return F.when(whole, c.cast("long").cast("string")).otherwise(c.cast("string"))
+
+
 def append(*frames: DataFrame) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:

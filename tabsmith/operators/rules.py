@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +14,6 @@ from tabsmith.session import materialize
 JOINER = " & "
 SEPARATOR = "\u0001"
 FILLED = "_filled"
-SUBSET_ITEMS = 8
 
 
 def binned_items(
@@ -66,35 +64,40 @@ def count_baskets(items: DataFrame, columns: list[str]) -> DataFrame:
     Binned rows repeat a lot, so rows are grouped on the plain token columns, partially in the map
     tasks, and arrays are built for the distinct combinations only.
     """
-    g = items.where(F.col(FILLED) >= 2).groupBy(*columns).agg(F.count(F.lit(1)).alias("c"))
-    return materialize(g.select(F.array_sort(_item_list(columns)).alias("items"), "c"), "baskets")
+    g = items.where(F.col(FILLED) >= 2).groupBy(*[F.col(f"`{c}`") for c in columns]).agg(F.count(F.lit(1)).alias("_rows"))
+    return materialize(g.select(F.array_sort(_item_list(columns)).alias("items"), F.col("_rows").alias("c")), "baskets")
 
 
-def frequent_itemsets(
-    counted: DataFrame, min_support: float = 0.05, baskets: DataFrame | None = None
-) -> DataFrame:
-    """Frequent itemsets as sorted arrays with their row counts.
+def frequent_itemsets(counted: DataFrame, min_support: float = 0.05) -> DataFrame:
+    """Frequent itemsets as sorted arrays with their row counts, for baskets of any length.
 
-    Short baskets are expanded to their subsets with the counts of `count_baskets`. Baskets too
-    long for that go through FP-growth over the plain `baskets`.
+    Level by level: a row is a frequent prefix and the items after it in a basket, with the basket's
+    count. Prefixes grow by one item, are counted, and only frequent ones go on; since every subset of
+    a frequent set is frequent, each set is reached along its own prefixes. Equal rows are summed first.
     """
-    size = counted.agg(F.sum("c").alias("n"), F.max(F.size("items")).alias("longest")).first()
-    if not size["n"]:
+    total = counted.agg(F.sum("c")).first()[0]
+    if not total:
         return counted.select("items", F.col("c").alias("n"))
-    least = math.ceil(min_support * size["n"] - 1e-9)
-    if size["longest"] > SUBSET_ITEMS:
-        if baskets is None:
-            raise ValueError(f"baskets of more than {SUBSET_ITEMS} items need the plain baskets")
-        model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=1.0).fit(baskets)
-        return model.freqItemsets.select(F.array_sort("items").alias("items"), F.col("freq").alias("n"))
-    mask = F.explode(F.sequence(F.lit(1), F.expr("shiftleft(1, size(items)) - 1")))
-    subset = F.expr("filter(items, (v, i) -> (shiftright(_mask, i) & 1) = 1)")
-    return (
-        counted.withColumn("_mask", mask)
-        .groupBy(subset.alias("items"))
-        .agg(F.sum("c").alias("n"))
-        .where(F.col("n") >= least)
-    )
+    least = math.ceil(min_support * total - 1e-9)
+    single = counted.select(F.explode("items").alias("item"), "c").groupBy("item").agg(F.sum("c").alias("n"))
+    known = single.where(F.col("n") >= least).agg(F.collect_set("item")).scalar()  # few: width / support at most
+    rows = counted.select(F.array().cast("array<string>").alias("prefix"), F.array_intersect("items", known).alias("rest"), "c")
+    found = None
+    while True:
+        grown = (
+            rows.groupBy("prefix", "rest").agg(F.sum("c").alias("c"))
+            .select("prefix", "rest", "c", F.posexplode("rest").alias("_at", "_item"))
+            .select(
+                F.concat("prefix", F.array("_item")).alias("prefix"),
+                F.slice("rest", F.col("_at") + 2, F.size("rest")).alias("rest"), "c",
+            )
+        )
+        grown = materialize(grown, "prefixes")
+        level = materialize(grown.groupBy("prefix").agg(F.sum("c").alias("n")).where(F.col("n") >= least), "itemsets")
+        found = level if found is None else found.unionByName(level)
+        rows = grown.where(F.size("rest") > 0).join(level.select("prefix"), "prefix", "left_semi")
+        if level.isEmpty() or rows.isEmpty():
+            return found.select(F.col("prefix").alias("items"), "n")
 
 
 def _key(items: Column) -> Column:
@@ -119,11 +122,11 @@ def target_rules(
         F.get(hit, F.lit(0)).alias("rhs"),
         F.col("n").alias("count_xy"),
     )
-    sides = sets.select(_key(F.col("items")).alias("_k"), "n")
+    ones = sets.where(F.size("items") == 1).select(F.get("items", F.lit(0)).alias("rhs"), F.col("n").alias("count_y"))
     joined = (
-        pairs.withColumn("_x", _key(F.col("lhs")))
-        .join(sides.withColumnsRenamed({"_k": "_x", "n": "count_x"}), "_x")
-        .join(sides.withColumnsRenamed({"_k": "rhs", "n": "count_y"}), "rhs")
+        pairs.join(sets.select(F.col("items").alias("lhs"), F.col("n").alias("count_x")), "lhs")
+        .join(ones, "rhs")
+        .withColumn("_x", _key(F.col("lhs")))
         .withColumn("total", total.scalar())
     )
     confidence = F.col("count_xy") / F.col("count_x")
@@ -137,8 +140,10 @@ def target_rules(
     )
 
 
-def top_rules(rules: DataFrame, n: int = 30) -> DataFrame:
-    return rules.orderBy(F.desc("lift"), F.desc("confidence"), "lhs", "rhs").limit(n)
+def top_rules(rules: DataFrame, n: int | None = 30) -> DataFrame:
+    """The strongest rules; None as `n` returns all."""
+    ordered = rules.orderBy(F.desc("lift"), F.desc("confidence"), "lhs", "rhs")
+    return ordered if n is None else ordered.limit(n)
 
 
 def rule_sides(target_labels: list[str], higher_better: bool = True) -> tuple[str, str]:

@@ -41,13 +41,13 @@ class Slicer:
         return len(self.tie_cuts) + 1 if self.heavy else 1
 
     def add(self, df: DataFrame, axis: Column, tie: Column | None = None) -> DataFrame:
-        """Add the slice number; `axis` must not be NULL."""
+        """Add the slice number; rows without `axis` form the first slice, -1."""
         out = _cut(df.withColumn("_axis", axis), "_axis", self.cuts, SLICE)
         if self.heavy and tie is not None:
             out = _cut(out.withColumn("_tie", tie), "_tie", self.tie_cuts, "_sub")
             sub = F.when(F.col("_axis").isin(self.heavy), F.col("_sub")).otherwise(F.lit(0))
             out = out.withColumn(SLICE, F.col(SLICE) * self.width + sub).drop("_tie", "_sub")
-        return out.drop("_axis")
+        return out.withColumn(SLICE, F.when(F.col("_axis").isNull(), F.lit(-1)).otherwise(F.col(SLICE))).drop("_axis")
 
 
 def cut_index(name: str, cuts: list, base: int = 0) -> str:
@@ -164,12 +164,11 @@ def with_position(
     """Row number (from 1) per key in the given order, exact, with no single-task key.
 
     The order columns must identify a row within its key. The first must be a number, date or
-    timestamp; rows without it are left out. `base` is a cheaper frame with the same rows of
-    those columns, for the slice counts.
+    timestamp; rows without it come first, as in a window. `base` is a cheaper frame with the same
+    rows of those columns, for the slice counts.
     """
     if not order:
         raise ValueError("an explicit order is required")
-    src = df.where(F.col(f"`{order[0]}`").isNotNull())
     axis = order_axis(df, order[0])
     tie = None
     if len(order) > 1:
@@ -177,9 +176,9 @@ def with_position(
             tie = order_axis(df, order[1])
         except TypeError:
             tie = None
-    plain = src if base is None else base.where(F.col(f"`{order[0]}`").isNotNull())
+    plain = df if base is None else base
     slicer = fit_slicer(plain, axis, tie)
-    sliced = slicer.add(src, axis, tie)
+    sliced = slicer.add(df, axis, tie)
     by = [*keys, SLICE]
     local = F.row_number().over(Window.partitionBy(*by).orderBy(*[F.col(f"`{o}`") for o in order]))
     offsets = running_offsets(slicer.add(plain, axis, tie), keys, "_before")

@@ -16,7 +16,7 @@ def industrial_effect(
     focus: list[str] | None = None, test_size: float = 0.2, trees: int = 100, rule_depth: int = 3,
     higher_better: bool = True,
 ) -> dict[str, DataFrame]:
-    """Frames `metrics`, `importance`, `rules`, `pdp`, `warnings`, and all of them as `report`."""
+    """Partial dependence covers `focus`, or every input. Frames `metrics`, `importance`, `rules`, `pdp`, `warnings`, and all of them as `report`."""
     before = set(df.columns)
     df, problems = derive_expr(df, expressions)
     columns = [*columns, *[c for c in df.columns if c not in before]]
@@ -30,13 +30,13 @@ def industrial_effect(
     test = materialize(
         features.apply_features(prep, test, numeric, categorical).select("features", "label"), "test"
     )
-    model = models.rf_regression(trees, 6).fit(train)
+    model = models.rf_regression(trees).fit(train)
     metrics = models.evaluate_regression(model, train, test)
     scores = {r["part"]: r["r2"] for r in metrics.collect()}
     importance = models.importance_table(model, names, train)
     rules = models.joint_rules(train.unionByName(test), names, rule_depth, higher_better)
     pdp = None
-    for f in (focus or names[:1])[:5]:
+    for f in focus or names:
         one = models.pdp(model, train, names.index(f), f)
         pdp = one if pdp is None else pdp.unionByName(one)
     notes = [("skipped formula", p) for p in problems]

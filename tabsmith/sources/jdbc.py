@@ -21,7 +21,6 @@ PRESETS = {
     "30d": dt.timedelta(days=30),
 }
 SAMPLE_ROWS = {"1k": 1_000, "10k": 10_000}
-DEFAULT_ROWS = 100_000
 DRIVERS = {
     "mssql": ("jdbc:sqlserver://{host}:{port};databaseName={database}", 1433),
     "postgres": ("jdbc:postgresql://{host}:{port}/{database}", 5432),
@@ -69,13 +68,14 @@ def range_extract(
     start,
     end,
     columns: list[str] | None = None,
-    limit: int = DEFAULT_ROWS,
+    limit: int | None = None,
     tie: list[str] = (),
 ) -> DataFrame:
-    """Newest `limit` rows of a closed time range, chosen columns only."""
+    """All rows of a closed time range, or its newest `limit`; chosen columns only."""
     check_identifier(time_column)
     kept = df.where(F.col(time_column).between(F.lit(start), F.lit(end)))
-    kept = kept.orderBy(F.col(time_column).desc(), *tie).limit(limit)
+    if limit is not None:
+        kept = kept.orderBy(F.col(time_column).desc(), *tie).limit(limit)
     return kept.select(*[check_identifier(c) for c in columns]) if columns else kept
 
 
@@ -90,11 +90,16 @@ def range_preset(
     columns: list[str] | None = None,
     tie: list[str] = (),
 ) -> DataFrame:
-    """Range by preset back from `anchor`; an explicit start or end wins; one is mandatory."""
+    """Range by preset back from `anchor`; an explicit start or end wins; one is mandatory.
+
+    Only a named sample cuts the rows.
+    """
     if start is None:
         if preset not in PRESETS:
             raise ValueError("a time range is mandatory: give a preset or a start")
         start = anchor - PRESETS[preset]
     end = end or anchor
-    rows = SAMPLE_ROWS.get(sampling or "", DEFAULT_ROWS)
+    if sampling and sampling not in SAMPLE_ROWS:
+        raise ValueError(f"unknown sample {sampling!r}")
+    rows = SAMPLE_ROWS[sampling] if sampling else None
     return range_extract(df, time_column, start, end, columns, rows, tie)

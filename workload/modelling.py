@@ -453,7 +453,7 @@ def tree_result(t, est):
 
 @query("rf_regression")
 def rf_regression(t):
-    return tree_result(t, models.rf_regression(20, 6))
+    return tree_result(t, models.rf_regression())
 
 
 @query("gbt_regression_xgb")
@@ -469,28 +469,30 @@ def gbt_regression_lgbm(t):
 @query("cross_validate")
 def cross_validate(t):
     train, _, _ = regression_data(t)
-    return models.cross_validate(features.split_kfold(train, ROW_KEY, 3), models.ridge(1000, 1.0), "fold", 3)
+    return models.cross_validate(features.split_kfold(train, ROW_KEY, 3), models.ridge(train.count(), 1.0), "fold", 3)
 
 
 @query("auto_tune")
 def auto_tune(t):
     train, _, _ = regression_data(t)
-    folded = features.split_kfold(train, ROW_KEY, 3)
-    _, scores = models.auto_tune(folded, models.ridge(1000, 1.0), {"regParam": [0.0001, 0.01, 1.0]}, 3, fold="fold")
+    folded = features.split_kfold(train, ROW_KEY, 5)
+    n = train.count()
+    grid = {"regParam": [a / n for a in (0.01, 0.1, 1.0, 10.0, 100.0)]}
+    _, scores = models.auto_tune(folded, models.ridge(n, 1.0), grid, 5, fold="fold")
     return scores
 
 
 @query("replace_importance")
 def replace_importance(t):
     train, test, names = regression_data(t)
-    return models.replace_importance(models.ridge(1000, 1.0).fit(train), test, names)
+    return models.replace_importance(models.ridge(train.count(), 1.0).fit(train), test, names)
 
 
 @query("shap_importance")
 def shap_importance(t):
     """Model importance beside the replacement importance; exact tree SHAP is not built."""
     train, test, names = regression_data(t)
-    model = models.rf_regression(10, 5).fit(train)
+    model = models.rf_regression().fit(train)
     own = models.importance_table(model, names, train).withColumnRenamed("importance", "model_importance")
     return models.replace_importance(model, test, names).join(own, "feature")
 
@@ -498,14 +500,14 @@ def shap_importance(t):
 @query("pdp")
 def pdp(t):
     train, test, names = regression_data(t)
-    return models.pdp(models.rf_regression(10, 5).fit(train), test, names.index("l_quantity"), "l_quantity", 20)
+    return models.pdp(models.rf_regression().fit(train), test, names.index("l_quantity"), "l_quantity", 20)
 
 
 @query("batch_score")
 def batch_score(t):
     d = derived(t).where("y is not null").withColumn("label", F.col("y"))
     src = features.prepare(d, NUMS, ["l_returnflag"])
-    stages = [*features.feature_stages(NUMS, ["l_returnflag"], scale="standard"), models.ridge(1000, 1.0)]
+    stages = [*features.feature_stages(NUMS, ["l_returnflag"], scale="standard"), models.ridge(src.count(), 1.0)]
     path = scratch_path(t.spark, "model")
     models.save_model(Pipeline(stages=stages).fit(src), path)
     return models.batch_score(path, src).select(*ROW_KEY, "prediction")
@@ -557,14 +559,14 @@ def decision_tree(t):
 @query("rf_classification")
 def rf_classification(t):
     train, test, names = classification_data(t)
-    model = models.rf_classification(15, 5).fit(train)
+    model = models.rf_classification().fit(train)
     imp = models.importance_table(model, names, train).select(F.col("feature").alias("name"), F.col("importance").alias("value"))
     return class_metrics(model, test).unionByName(imp)
 
 
 def cluster_data(t):
-    v = t.embeddings.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(4)])
-    cols = [f"e{i}" for i in range(4)]
+    v = t.embeddings.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
+    cols = [f"e{i}" for i in range(64)]
     prep = features.fit_features(v, cols, [], scale="standard")
     return features.apply_features(prep, v, cols, []), cols
 
@@ -605,7 +607,7 @@ def industrial_effect(t):
     d = derived(t).where("y is not null")
     parts = report(
         d, "y", ["l_quantity", "l_discount", "l_tax"], ROW_KEY,
-        expressions="net = l_extendedprice * (1 - l_discount)", trees=10, rule_depth=3, focus=["l_quantity"],
+        expressions="net = l_extendedprice * (1 - l_discount)", rule_depth=3,
     )
     return parts["report"]
 
@@ -613,7 +615,7 @@ def industrial_effect(t):
 @query("mars")
 def mars_(t):
     d = derived(t).withColumn("bent", F.greatest(F.lit(0.0), F.col("l_quantity") - 20) * 2 + F.col("l_discount") * 50)
-    model = mars.fit(d, "bent", ["l_quantity", "l_discount", "l_tax"], max_terms=7, interaction=1, knots_per_feature=12)
+    model = mars.fit(d, "bent", ["l_quantity", "l_discount", "l_tax"])
     return mars.basis_table(model, d)
 
 

@@ -71,7 +71,7 @@ def scan_parquet(t):
 @query(
     "scan_jdbc",
     """SELECT o_orderkey, o_orderdate, o_totalprice FROM orders WHERE o_orderdate BETWEEN
-      TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-12-31' ORDER BY o_orderdate DESC, o_orderkey LIMIT 100000""",
+      TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-12-31'""",
 )
 def scan_jdbc(t):
     """The range planner of the database reader; no database is at hand, so it reads Parquet."""
@@ -273,41 +273,54 @@ def filter_range(t):
     ).select(*ROW_KEY)
 
 
-def half_customers(t):
-    return t.customer.where("c_acctbal > 0").select(F.col("c_custkey").cast("string").alias("ck"), "c_name", F.lit("x").alias("o_orderstatus"))
+def text_customers(t):
+    """All customers with text keys; every third key is moved out of range, so that it matches no order."""
+    key = F.col("c_custkey") + F.when(F.col("c_custkey") % 3 == 0, 10_000_000).otherwise(0)
+    return t.customer.select(key.cast("string").alias("ck"), "c_name", F.lit("x").alias("o_orderstatus"))
 
 
-HALF = "(SELECT CAST(c_custkey AS VARCHAR) AS ck, c_name FROM customer WHERE c_acctbal > 0)"
+CUSTOMERS = "(SELECT CAST(c_custkey + CASE WHEN c_custkey % 3 = 0 THEN 10000000 ELSE 0 END AS VARCHAR) AS ck, c_name FROM customer)"
 
 
-def small_orders(t):
-    return t.orders.where("o_orderdate < '1998-01-01'").select("o_orderkey", "o_custkey", "o_orderstatus")
+def order_keys(t):
+    return t.orders.select("o_orderkey", "o_custkey", "o_orderstatus")
 
 
-SMALL = "(SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01')"
-
-
-@query("join_inner", f"SELECT o_orderkey, o_custkey, o_orderstatus, ck, c_name FROM {SMALL} JOIN {HALF} ON CAST(o_custkey AS VARCHAR) = ck")
+@query("join_inner", f"SELECT o_orderkey, o_custkey, o_orderstatus, ck, c_name FROM orders JOIN {CUSTOMERS} ON CAST(o_custkey AS VARCHAR) = ck")
 def join_inner(t):
-    return relational.join(small_orders(t), half_customers(t), "o_custkey", "ck", "inner")
+    return relational.join(order_keys(t), text_customers(t), "o_custkey", "ck", "inner")
 
 
-@query("join_left", f"SELECT o_orderkey, o_custkey, o_orderstatus, ck, c_name FROM {SMALL} LEFT JOIN {HALF} ON CAST(o_custkey AS VARCHAR) = ck")
+@query("join_left", f"SELECT o_orderkey, o_custkey, o_orderstatus, ck, c_name FROM orders LEFT JOIN {CUSTOMERS} ON CAST(o_custkey AS VARCHAR) = ck")
 def join_left(t):
-    return relational.join(small_orders(t), half_customers(t), "o_custkey", "ck", "left")
+    return relational.join(order_keys(t), text_customers(t), "o_custkey", "ck", "left")
 
 
-@query("join_outer", f"SELECT o_orderkey::DOUBLE AS o_orderkey, o_custkey::DOUBLE AS o_custkey, coalesce(o_orderstatus, CASE WHEN ck IS NOT NULL THEN 'x' END) AS o_orderstatus, ck, c_name FROM {SMALL} FULL JOIN {HALF} ON CAST(o_custkey AS VARCHAR) = ck")
+@query("join_outer", f"SELECT o_orderkey::DOUBLE AS o_orderkey, o_custkey::DOUBLE AS o_custkey, coalesce(o_orderstatus, CASE WHEN ck IS NOT NULL THEN 'x' END) AS o_orderstatus, ck, c_name FROM orders FULL JOIN {CUSTOMERS} ON CAST(o_custkey AS VARCHAR) = ck")
 def join_outer(t):
-    out = relational.join(small_orders(t), half_customers(t), "o_custkey", "ck", "outer")
+    out = relational.join(order_keys(t), text_customers(t), "o_custkey", "ck", "outer")
     return out.withColumns({c: F.col(c).cast("double") for c in ("o_orderkey", "o_custkey")})
 
 
-@query("merge", f"SELECT o_orderkey, o_custkey, o_orderstatus, ck, c_name FROM {SMALL} JOIN {HALF} ON CAST(o_custkey AS VARCHAR) = ck")
+@query("join_unlike_numbers", "SELECT o_orderkey, c_custkey::DOUBLE AS ck, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
+def join_unlike_numbers(t):
+    """A whole-number key against the same key as a double."""
+    right = t.customer.select(F.col("c_custkey").cast("double").alias("ck"), "c_name")
+    return relational.join(t.orders.select("o_orderkey", "o_custkey"), right, "o_custkey", "ck").drop("o_custkey")
+
+
+@query("join_text_to_double", f"SELECT o_orderkey, ck, c_name FROM orders JOIN {CUSTOMERS} ON CAST(o_custkey AS VARCHAR) = ck")
+def join_text_to_double(t):
+    """A double key against text: whole doubles read as whole numbers."""
+    left = t.orders.select("o_orderkey", F.col("o_custkey").cast("double").alias("k"))
+    return relational.join(left, text_customers(t).drop("o_orderstatus"), "k", "ck").drop("k")
+
+
+@query("merge", f"SELECT o_orderkey, o_custkey, o_orderstatus, ck, c_name FROM orders JOIN {CUSTOMERS} ON CAST(o_custkey AS VARCHAR) = ck")
 def merge(t):
     return steps.run_steps(
-        small_orders(t),
-        [{"type": "merge", "right": half_customers(t), "left_key": "o_custkey", "right_key": "ck"}],
+        order_keys(t),
+        [{"type": "merge", "right": text_customers(t), "left_key": "o_custkey", "right_key": "ck"}],
     )
 
 
@@ -419,15 +432,15 @@ def pivot(t):
     "merge_kinds",
     "SELECT kind, count(*) AS n, count(o_orderkey) AS orders, count(ck) AS customers FROM ("
     + " UNION ALL ".join(
-        f"SELECT '{k}' AS kind, o_orderkey, ck FROM {SMALL} {j} JOIN {HALF} ON CAST(o_custkey AS VARCHAR) = ck"
+        f"SELECT '{k}' AS kind, o_orderkey, ck FROM orders {j} JOIN {CUSTOMERS} ON CAST(o_custkey AS VARCHAR) = ck"
         for k, j in (("inner", "INNER"), ("left", "LEFT"), ("right", "RIGHT"), ("full", "FULL"))
     )
-    + f" UNION ALL SELECT 'anti', o_orderkey, NULL FROM {SMALL} WHERE CAST(o_custkey AS VARCHAR) NOT IN (SELECT ck FROM {HALF})) GROUP BY kind",
+    + f" UNION ALL SELECT 'anti', o_orderkey, NULL FROM orders WHERE CAST(o_custkey AS VARCHAR) NOT IN (SELECT ck FROM {CUSTOMERS})) GROUP BY kind",
 )
 def merge_kinds(t):
     parts = []
     for kind in ("inner", "left", "right", "full", "anti"):
-        j = relational.join(small_orders(t), half_customers(t), "o_custkey", "ck", kind)
+        j = relational.join(order_keys(t), text_customers(t), "o_custkey", "ck", kind)
         ck = F.col("ck") if "ck" in j.columns else F.lit(None).cast("string")
         parts.append(
             j.withColumn("ck", ck).agg(

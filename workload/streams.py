@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tabsmith.operators import features, models
 from tabsmith.streaming import quality
+from tabsmith.session import materialize
 from workload.base import query
 from workload.preparation import rounded
 
@@ -14,6 +15,11 @@ def stream_events(t):
     return quality.read_files(t.spark, t.folder, "events.parquet", t.events.schema)
 
 
+def fixed_limits(t):
+    """The limits of the batch table, computed once and not again in every micro-batch."""
+    return materialize(quality.limits(t.events, "event_type", "value"), "limits")
+
+
 LIMITS = "(SELECT event_type, avg(value) AS m, avg(value) - 3 * stddev_samp(value) AS lo, avg(value) + 3 * stddev_samp(value) AS hi FROM events GROUP BY event_type)"
 
 
@@ -23,7 +29,7 @@ LIMITS = "(SELECT event_type, avg(value) AS m, avg(value) - 3 * stddev_samp(valu
       ORDER BY ts DESC, event_id LIMIT 50""",
 )
 def stream_quality_ledger(t):
-    rows = quality.ledger(stream_events(t), quality.limits(t.events, "event_type", "value"), "event_type", "value")
+    rows = quality.ledger(stream_events(t), fixed_limits(t), "event_type", "value")
     done = quality.run_to_end(rows, "append")
     newest = done.orderBy(F.desc("ts"), "event_id").limit(50)
     return rounded(newest.select("event_id", "event_type", "value", "deviation", "out_of_limits"), 4, "deviation")
@@ -36,7 +42,7 @@ def stream_quality_ledger(t):
 )
 def stream_quality_counts(t):
     src = stream_events(t).withColumn("ts", F.col("ts").cast("timestamp"))
-    rows = quality.ledger(src, quality.limits(t.events, "event_type", "value"), "event_type", "value")
+    rows = quality.ledger(src, fixed_limits(t), "event_type", "value")
     done = quality.run_to_end(quality.ledger_counts(rows, "ts", "event_type", "1 day", "1 hour"), "update")
     out = quality.newest(done, ["start", "event_type"])
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", "out")
@@ -64,7 +70,7 @@ def stream_score(t):
     def ready(df):
         return features.prepare(df.withColumn("label", F.col("value")).withColumn("hour", F.hour("ts").cast("double")), ["hour"], ["event_type"])
 
-    stages = [*features.feature_stages(["hour"], ["event_type"], scale="standard"), models.ridge(1000, 1.0)]
+    stages = [*features.feature_stages(["hour"], ["event_type"], scale="standard"), models.ridge(t.events.count(), 1.0)]
     model = Pipeline(stages=stages).fit(ready(t.events))
     scored = quality.score(ready(stream_events(t)), model).select("event_id", "prediction")
     return quality.run_to_end(scored, "append").drop("_batch")
