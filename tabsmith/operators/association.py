@@ -1,4 +1,4 @@
-"""Correlation and association measures. All pairs of a request share one aggregate."""
+"""Correlation and association measures. All numeric pairs of a request share one scan."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tabsmith.functions.scalars import is_numeric, number, numbers, present
 from tabsmith.functions.tails import t_p_value
 from tabsmith.operators.order_stats import quantile_values
+from tabsmith.operators.pairwise import pair_moments
 
 STRENGTH_CUTS = (0.1, 0.3, 0.5, 0.7)
 STRENGTH_NAMES = ("very weak", "weak", "moderate", "strong", "very strong")
@@ -43,11 +44,13 @@ def corr_pearson(
     df: DataFrame, columns: list[str], focus: str | None = None, p_values: bool = True
 ) -> DataFrame:
     """r, n, t and two-sided p over pairwise-complete rows, all pairs in one scan."""
-    pairs = pairs_of(columns, focus)
-    aggs = []
-    for i, (a, b) in enumerate(pairs):
-        aggs += [F.corr(a, b).alias(f"_{i}_r"), F.regr_count(b, a).alias(f"_{i}_n")]
-    out = _pair_rows(numbers(df, columns).agg(*aggs), pairs, ["r", "n"])
+    if focus:
+        pairs, aggs = pairs_of(columns, focus), []
+        for i, (a, b) in enumerate(pairs):
+            aggs += [F.corr(a, b).alias(f"_{i}_r"), F.regr_count(b, a).alias(f"_{i}_n")]
+        out = _pair_rows(numbers(df, columns).agg(*aggs), pairs, ["r", "n"])
+    else:
+        out = pair_moments(numbers(df, columns), columns).select("a", "b", "r", "n")
     out = out.withColumn("t", t_of_r(F.col("r"), F.col("n")))
     if p_values:
         out = out.withColumn("p", t_p_value(F.col("t"), (F.col("n") - 2).cast("double")))
@@ -55,12 +58,7 @@ def corr_pearson(
 
 
 def covariance(df: DataFrame, columns: list[str]) -> DataFrame:
-    pairs = pairs_of(columns)
-    aggs = [
-        F.covar_samp(a, b).alias(f"_{i}_cov")
-        for i, (a, b) in enumerate(pairs)
-    ]
-    return _pair_rows(numbers(df, columns).agg(*aggs), pairs, ["cov"])
+    return pair_moments(numbers(df, columns), columns).select("a", "b", "cov")
 
 
 def corr_spearman(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -261,15 +259,11 @@ def corr_threshold(df: DataFrame, columns: list[str], threshold: float = 0.8) ->
 def correlation_matrix(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, int]:
     """k x k matrix over rows complete in all columns, and their number."""
     full = numbers(df, columns).dropna()
-    pairs = pairs_of(columns)
-    row = full.agg(
-        F.count(F.lit(1)).alias("n"), *[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]
-    ).first()
-    m = np.eye(len(columns))
-    for i, (a, b) in enumerate(pairs):
-        j, k = columns.index(a), columns.index(b)
-        m[j, k] = m[k, j] = row[f"r{i}"] if row[f"r{i}"] is not None else 0.0
-    return m, row["n"]
+    m, n, at = np.eye(len(columns)), 0, {c: i for i, c in enumerate(columns)}
+    for row in pair_moments(full, columns).collect():  # k (k - 1) / 2 rows
+        n, j, k = row["n"], at[row["a"]], at[row["b"]]
+        m[j, k] = m[k, j] = row["r"] if row["r"] is not None else 0.0
+    return m, n
 
 
 def partial_matrix(corr: np.ndarray) -> np.ndarray:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from tabsmith.functions.scalars import (
     any_of, is_numeric, is_temporal, is_text, number, numbers, present,
 )
+from tabsmith.operators.pairwise import pair_moments
 from tabsmith.operators.order_stats import quantile_table
 
 # Name keywords per role.
@@ -271,15 +271,12 @@ def health_score(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def pair_corr_matrix(df: DataFrame, columns: list[str], digits: int = 3) -> DataFrame:
     """Long symmetric matrix of pairwise-complete Pearson correlations; 0 without variance."""
-    pairs = list(combinations(columns, 2))
-    aggs = [F.corr(a, b).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]
-    wide = numbers(df, columns).agg(*aggs)
-    cells = [F.struct(F.lit(c).alias("a"), F.lit(c).alias("b"), F.lit(1.0).alias("r")) for c in columns]
-    for i, (a, b) in enumerate(pairs):
-        r = F.round(F.coalesce(F.when(~F.isnan(f"p{i}"), F.col(f"p{i}")), F.lit(0.0)), digits)
-        cells.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r.alias("r")))
-        cells.append(F.struct(F.lit(b).alias("a"), F.lit(a).alias("b"), r.alias("r")))
-    return wide.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    r = F.round(F.coalesce(F.when(~F.isnan("r"), F.col("r")), F.lit(0.0)), digits).alias("r")
+    a, b = F.col("a"), F.col("b")
+    both = F.array(F.struct(a.alias("a"), b.alias("b"), r), F.struct(b.alias("a"), a.alias("b"), r))
+    pairs = pair_moments(numbers(df, columns), columns).select(F.explode(both).alias("c")).select("c.*")
+    diagonal = df.sparkSession.createDataFrame([(c, c, 1.0) for c in columns], "a string, b string, r double")
+    return diagonal.unionByName(pairs)
 
 
 def fe_plan(

@@ -78,3 +78,27 @@ def test_extract_is_whole_unless_a_sample_is_named(spark):
     df = spark.range(150_000).select("id", F.lit(day).alias("ts"))
     assert jdbc.range_preset(df, "ts", day, "1d").count() == 150_000
     assert jdbc.range_preset(df, "ts", day, "1d", sampling="1k", tie=["id"]).count() == 1000
+
+
+def test_five_hundred_columns_in_one_scan(spark):
+    import numpy as np
+
+    from tabsmith.operators import association
+    from tabsmith.operators.pairwise import pair_moments
+
+    names = [f"v{i}" for i in range(500)]
+    wide = spark.range(300).select(*[
+        F.when(F.xxhash64("id", F.lit(i)) % 7 != 0, F.xxhash64("id", F.lit(i % 50)) % 1000 + i * 1e4).cast("double").alias(n)
+        for i, n in enumerate(names)
+    ])
+    x = np.array(wide.toPandas(), dtype=float)
+    got = {(r["a"], r["b"]): r for r in pair_moments(wide, names).collect()}
+    assert len(got) == 500 * 499 // 2
+    for i, j in ((0, 1), (3, 53), (10, 499), (250, 300)):
+        ok = np.isfinite(x[:, i]) & np.isfinite(x[:, j])
+        row = got[names[i], names[j]]
+        assert row["n"] == ok.sum()
+        assert row["r"] == pytest.approx(np.corrcoef(x[ok, i], x[ok, j])[0, 1], abs=1e-9)
+        assert row["cov"] == pytest.approx(np.cov(x[ok, i], x[ok, j])[0, 1], rel=1e-7, abs=1e-5)
+    few = association.corr_pearson(wide, names[:4], p_values=False).collect()
+    assert all(abs(r["r"] - got[r["a"], r["b"]]["r"]) < 1e-9 and r["n"] == got[r["a"], r["b"]]["n"] for r in few)
