@@ -27,7 +27,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies keep the row with the smallest doc_id."""
+    """Of each group of near copies (five-word shingles, similarity about 0.8 or more) keep the smallest doc_id."""
     return simhash.dedup(docs)
 
 

@@ -12,6 +12,12 @@ linked pair together. Keys that many different fingerprints share are cut again,
 over the coordinates the key leaves free; then at most 2^16 different fingerprints can share one,
 whatever the data. Within a key, a breadth-first search emits a spanning forest of the
 links, never all pairs. Equal fingerprints are one node throughout.
+
+Three bits of 64 mean texts that are all but equal. For near copies in the sense of a Jaccard similarity
+of 0.8 over five-word shingles there are wide fingerprints of 256 bits: an angle that 0.8 stands for
+turns about 39 of them. No group of bits is sure to agree then, so keys sample bits, in as many tables
+as keep nineteen of twenty pairs of similarity 0.85; keys that very many share are met by a broadcast of one
+representative each, and what is not near it goes the ordinary way.
 """
 
 from __future__ import annotations
@@ -34,33 +40,66 @@ SHINGLE = 3
 #: Different fingerprints that may share a key before it is cut again.
 ROOMY = 2048
 SEED = 42
+#: Wide fingerprints: words of 64 bits, words of a shingle, bits that two near copies may differ in.
+LANES = 4
+WIDE_SHINGLE = 5
+WIDE_RADIUS = 42
+#: Chance that two texts of similarity 0.85 agree in a bit, and expected tables in which such a pair meets.
+AGREE = 0.871
+MEETINGS = 3.0
+#: Share of all cells above which a key may be heavy.
+SUPPORT = 1e-3
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """Fingerprint of one UTF-8 text: bit i is set if it is set in over half the shingle hashes.
+def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """XXH64 of every shingle of a UTF-8 text, repeats included.
 
     A-Z are lower-cased; words are runs without ASCII white space. Fewer words than a shingle give
-    one shingle of them all; no word (or NULL) gives zero. Repeated shingles count again.
+    one shingle of them all; no word (or NULL) gives none.
     """
     from xxhash import xxh64_intdigest as digest
 
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     if len(words) <= shingle:
-        return digest(line, SEED)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    ends = np.cumsum(sizes) - 1
-    starts = ends - sizes + 1
+        return np.array([digest(line, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([np.zeros(1, np.int64), ends[:-1] + 1])
     n = len(words) - shingle + 1
-    ones = np.zeros(64, np.int64)
-    for i in range(0, n, 1 << 16):
-        m = min(n, i + (1 << 16))
-        cuts = zip(starts[i:m].tolist(), ends[i + shingle - 1 : m + shingle - 1].tolist())
-        hashes = np.fromiter((digest(line[s:e], SEED) for s, e in cuts), np.uint64, m - i)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return sum(1 << i for i in np.flatnonzero(2 * ones > n).tolist())
+    cuts = zip(starts[:n].tolist(), ends[shingle - 1 :].tolist())
+    return np.fromiter((digest(line[s:e], SEED) for s, e in cuts), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bit i is set if it is set in over half the hashes; zero without hashes."""
+    n, ones = len(hashes), np.zeros(64, np.int64)
+    for i in range(0, n, 1 << 14):
+        bits = np.unpackbits(hashes[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        whole = len(bits) // 128 * 128  # sums of up to 128 fit in a byte
+        ones += bits[:whole].reshape(-1, 128, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+        ones += bits[whole:].sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
+
+
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    """Fingerprint of one text by majority over all its shingles' hashes."""
+    return majority(shingle_hashes(text, shingle))
+
+
+def wide_fingerprint(text: bytes | None, shingle: int = WIDE_SHINGLE) -> list[int]:
+    """LANES words by majority over the different shingles, each word from hashes mixed anew."""
+    hashes = np.unique(shingle_hashes(text, shingle))
+    out = []
+    for lane in range(LANES):
+        h = hashes + np.uint64(lane * 0x9E3779B97F4A7C15 % (1 << 64))
+        if lane:
+            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            h = h ^ (h >> np.uint64(31))
+        out.append(majority(h))
+    return out
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -77,15 +116,24 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     return map_batches(narrow, "doc_id long, fp long", make)
 
 
-def pivots(random: int = 16) -> np.ndarray:
-    """Reference fingerprints: zero, the single bits, and pseudorandom ones."""
-    singles = [1 << i for i in range(64)]
-    return np.array([0, *singles, *np.random.default_rng(SEED).integers(0, 2**63, random).tolist()], np.uint64)
+def pivots(lanes: int = 1, random: int = 16) -> np.ndarray:
+    """Reference fingerprints: zero, those with a single bit set, and pseudorandom ones."""
+    bits = 64 * lanes
+    out = np.zeros((1 + bits + random, lanes), np.uint64)
+    for i in range(bits):
+        out[1 + i, i // 64] = np.uint64(1) << np.uint64(i % 64)
+    out[1 + bits :] = np.random.default_rng(SEED).integers(0, 2**64, (random, lanes), dtype=np.uint64)
+    return out
+
 
+def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of fingerprints, the last axis being their words."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16)
 
-def distances(fps: np.ndarray, refs: np.ndarray) -> np.ndarray:
+
+def distances(prints: np.ndarray, refs: np.ndarray) -> np.ndarray:
     """Table of Hamming distances, one row per fingerprint and one column per pivot."""
-    return np.bitwise_count(fps[:, None] ^ refs[None, :]).astype(np.int16)
+    return hamming(prints[:, None, :], refs[None, :, :])
 
 
 def _groups(free: list[int], parts: int = 6) -> list[list[int]]:
@@ -113,87 +161,93 @@ def _keyed(nodes: DataFrame, masks: list[int], own: str = "at") -> DataFrame:
     return nodes.select("fp", F.explode(F.array(*cells)).alias("cell")).select("fp", "cell.*")
 
 
-def forest(fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of the links among different fingerprints, by breadth-first search.
+def forest(prints: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest of the links among different fingerprints (places of both ends), breadth first.
 
     Each step takes one fingerprint against those not reached yet: first the pseudorandom pivots'
     coordinates, then the true distance of the survivors.
     """
-    refs = pivots()[65:]
-    left, table = fps, distances(fps, refs)
+    table = distances(prints, pivots(prints.shape[1])[-16:])
+    left = np.arange(len(prints))
     a, b = [], []
-    queue: list[tuple[np.uint64, np.ndarray]] = []
+    queue: list[int] = []
     while len(left):
         if not queue:
-            queue.append((left[0], table[0]))
-            left, table = left[1:], table[1:]
-        here, row = queue.pop()
-        maybe = np.arange(len(left))
-        for k in range(min(4, table.shape[1])):
-            maybe = maybe[np.abs(table[maybe, k] - row[k]) <= radius]
+            queue.append(int(left[0]))
+            left = left[1:]
+        here = queue.pop()
+        maybe = left
+        for k in range(4):
+            maybe = maybe[np.abs(table[maybe, k] - table[here, k]) <= radius]
         if len(maybe):
-            maybe = maybe[(np.abs(table[maybe] - row) <= radius).all(axis=1)]
-        near = maybe[np.bitwise_count(left[maybe] ^ here) <= radius]
+            maybe = maybe[(np.abs(table[maybe] - table[here]) <= radius).all(axis=1)]
+        near = maybe[hamming(prints[maybe], prints[here]) <= radius]
         if len(near):
             a.append(np.full(len(near), here))
-            b.append(left[near])
-            queue.extend(zip(left[near], table[near]))
-            rest = np.ones(len(left), bool)
-            rest[near] = False
-            left, table = left[rest], table[rest]
-    none = np.zeros(0, np.uint64)
+            b.append(near)
+            queue.extend(near.tolist())
+            left = np.setdiff1d(left, near, assume_unique=True)
+    none = np.zeros(0, np.int64)
     return (np.concatenate(a) if a else none), (np.concatenate(b) if b else none)
 
 
-def _link_runs(keys: np.ndarray, fps: np.ndarray, radius: int, few: int = 8) -> tuple[np.ndarray, np.ndarray]:
+def _link_runs(keys: np.ndarray, prints: np.ndarray, radius: int, few: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """Links within runs of equal keys; rows come sorted by key. Long runs give spanning forests."""
     starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)]) if len(keys) else np.zeros(0, np.int64)
     sizes = np.diff(np.r_[starts, len(keys)])
-    refs, a, b = pivots()[65:], [], []
+    refs, a, b = pivots(prints.shape[1])[-16:], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for step in range(1, few):
-        of = starts[(sizes > step) & (sizes <= few)]
+        chosen = (sizes > step) & (sizes <= few)
+        of, n = starts[chosen], sizes[chosen] - step
         if not len(of):
             break
-        size = sizes[(sizes > step) & (sizes <= few)]
-        first = np.repeat(of, size - step) + np.concatenate([np.arange(s - step) for s in size])
-        x, y = fps[first], fps[first + step]
-        ok = (np.abs(distances(x, refs) - distances(y, refs)) <= radius).all(axis=1)
-        x, y = x[ok], y[ok]
-        ok = np.bitwise_count(x ^ y) <= radius
-        a.append(x[ok])
-        b.append(y[ok])
-    for s, n in zip(starts[sizes > few], sizes[sizes > few]):
-        x, y = forest(fps[s : s + n], radius)
+        x = np.repeat(of, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        ok = hamming(prints[x], prints[x + step])
+        x = x[(np.abs(distances(prints[x], refs) - distances(prints[x + step], refs)) <= radius).all(axis=1) & (ok <= radius)]
         a.append(x)
-        b.append(y)
-    none = np.zeros(0, np.uint64)
-    return (np.concatenate(a) if a else none), (np.concatenate(b) if b else none)
+        b.append(x + step)
+    for s, n in zip(starts[sizes > few], sizes[sizes > few]):
+        x, y = forest(prints[s : s + n], radius)
+        a.append(x + s)
+        b.append(y + s)
+    return prints[np.concatenate(a)], prints[np.concatenate(b)]
+
 
+def _links(cells: DataFrame, by: list[str], prints: list[str], radius: int, most: int = 1 << 16) -> DataFrame:
+    """Links (a, b) within equal `by`: structs of the print's words.
 
-def _links(cells: DataFrame, by: list[str], radius: int) -> DataFrame:
-    """Links (a, b) within equal `by`. A task reads its rows sorted and keeps one run at a time, which is bounded."""
-    n = len(by)
+    A task reads its rows sorted and keeps one run at a time. A run longer than `most` is taken in parts,
+    each beside the first fingerprints of the part before.
+    """
+    n, m = len(by), len(prints)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps = np.zeros((0, n), np.int64), np.zeros(0, np.uint64)
+        keys, rows = np.zeros((0, n), np.int64), np.zeros((0, m), np.uint64)
 
-        def flush(k, f):
-            x, y = _link_runs(k, f, radius)
-            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["a", "b"])
+        def flush(k, p):
+            ends = [pa.StructArray.from_arrays([pa.array(x[:, i].view(np.int64)) for i in range(m)], names=prints) for x in map(np.ascontiguousarray, _link_runs(k, p, radius))]
+            return pa.RecordBatch.from_arrays(ends, names=["a", "b"])
+
+        def columns(batch, at):
+            return np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in at], axis=1)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(n)], axis=1)
-            keys = np.concatenate([keys, new])
-            fps = np.concatenate([fps, batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)])
-            cut = np.flatnonzero((keys != keys[-1]).any(axis=1))
-            if len(cut):
-                yield flush(keys[: cut[-1] + 1], fps[: cut[-1] + 1])
-                keys, fps = keys[cut[-1] + 1 :], fps[cut[-1] + 1 :]
-        yield flush(keys, fps)
-
-    return cells.select(*by, "fp").repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a long, b long")
+            keys = np.concatenate([keys, columns(batch, range(n))])
+            rows = np.concatenate([rows, columns(batch, range(n, n + m)).view(np.uint64)])
+            done = np.flatnonzero((keys != keys[-1]).any(axis=1))
+            cut = done[-1] + 1 if len(done) else 0
+            if cut:
+                yield flush(keys[:cut], rows[:cut])
+                keys, rows = keys[cut:], rows[cut:]
+            if len(keys) > most:
+                yield flush(keys, rows)
+                keys, rows = keys[:256], rows[:256]
+        yield flush(keys, rows)
+
+    words = ", ".join(f"{p}: long" for p in prints)
+    return cells.select(*by, *prints).repartition(*by).sortWithinPartitions(*by).mapInArrow(run, f"a struct<{words}>, b struct<{words}>")
 
 
 def link_fingerprints(nodes: DataFrame, radius: int = RADIUS, roomy: int = ROOMY) -> DataFrame:
@@ -205,7 +259,8 @@ def link_fingerprints(nodes: DataFrame, radius: int = RADIUS, roomy: int = ROOMY
     sizes = cells.groupBy("at", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     sizes = materialize(sizes, "keys")
     full = sizes.filter(F.col("size") > roomy)
-    links = _links(cells.join(sizes.filter(F.col("size") <= roomy), ["at", "key"]), ["at", "key"], radius)
+    plain = lambda links: links.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    links = plain(_links(cells.join(sizes.filter(F.col("size") <= roomy), ["at", "key"]), ["at", "key"], ["fp"], radius))
     if full.isEmpty():
         return links
     again = spark.createDataFrame(
@@ -216,7 +271,34 @@ def link_fingerprints(nodes: DataFrame, radius: int = RADIUS, roomy: int = ROOMY
         .join(F.broadcast(again), "at")
         .select("at", "cut", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
     )
-    return links.unionByName(_links(inner, ["at", "cut", "key"], radius))
+    return links.unionByName(plain(_links(inner, ["at", "cut", "key"], ["fp"], radius)))
+
+
+def wide_links(nodes: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
+    """Links (a, b) among different wide fingerprints (columns l0, l1, ...) of at most `radius` differing bits."""
+    lanes = [f"l{i}" for i in range(LANES)]
+    bits = max(12, nodes.count().bit_length())
+    tables = -int(-MEETINGS // AGREE**bits)
+    rng, keys = np.random.default_rng(SEED), []
+    for t in range(tables):
+        masks = [0] * LANES
+        for bit in rng.choice(64 * LANES, bits, replace=False).tolist():
+            masks[bit // 64] |= 1 << (bit % 64)
+        keys.append(F.xxhash64(F.lit(t), *[F.col(c).bitwiseAND(F.lit(_signed(m))) for c, m in zip(lanes, masks)]))
+    cells = nodes.select(*lanes, F.explode(F.array(*keys)).alias("key"))
+    print_ = F.struct(*lanes)
+    maybe = cells.stat.freqItems(["key"], SUPPORT).select(F.explode("key_freqItems").alias("key")).distinct()
+    heavy = (
+        cells.join(F.broadcast(maybe), "key", "left_semi").groupBy("key")
+        .agg(F.min(print_).alias("rep"), F.count(F.lit(1)).alias("size")).filter(F.col("size") > ROOMY).select("key", "rep")
+    )
+    heavy = materialize(heavy, "heavy")  # at most 1/SUPPORT keys
+    marked = cells.join(F.broadcast(heavy), "key", "left")
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col("rep").getField(c))) for c in lanes), F.lit(0))
+    near = F.coalesce(apart <= radius, F.lit(False))
+    star = marked.filter(near & (apart > 0)).select(print_.alias("a"), F.col("rep").alias("b")).distinct()
+    rest = marked.filter(~near | (apart == 0)).select("key", *lanes)
+    return _links(rest, ["key"], lanes, radius).unionByName(star)
 
 
 def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -242,19 +324,35 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of `docs` that stay: of each component the row with the least doc_id, unchanged.
+def wide_classes(prints: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
+    """From (doc_id, l0, ...) to (l0, ..., root, component_id), as `classes` does."""
+    lanes = [f"l{i}" for i in range(LANES)]
+    nodes = materialize(prints.groupBy(*lanes).agg(F.min("doc_id").alias("least")), "nodes")
+    roots = components(wide_links(nodes.select(*lanes), radius)).select("node.*", "root")
+    tied = nodes.join(roots, lanes, "left").withColumn("root", F.coalesce("root", F.struct(*lanes)))
+    tied = materialize(tied, "roots")
+    least = tied.groupBy("root").agg(F.min("least").alias("component_id"))
+    return tied.join(least, "root").select(*lanes, "root", "component_id")
+
+
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs` that stay: of each group of near copies the row with the least doc_id, unchanged.
 
-    Rows without an id give way to rows with one; where an id occurs more than once in a component, one
-    of its rows stays. The rows are stored once with their fingerprints, as both joins need them; all
-    but the least of a component are dropped before the few that share an id are reduced to one.
+    Near copies are texts of about 0.8 Jaccard similarity or more over five-word shingles, by their wide
+    fingerprints; groups are what links join. Rows without an id give way to rows with one; where an id
+    occurs more than once in a group, one of its rows stays. Texts without words are one group. The rows
+    are stored once with their fingerprints, as both joins need them; all but the least of a group are
+    dropped before the few that share an id are reduced to one.
     """
+    lanes = [f"l{i}" for i in range(LANES)]
 
-    @F.pandas_udf("long")
-    def print_of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
+    @F.pandas_udf(", ".join(f"{c} long" for c in lanes))
+    def print_of(texts: pd.Series) -> pd.DataFrame:
+        words = np.array([wide_fingerprint(t) for t in texts], np.uint64).reshape(-1, LANES)
+        return pd.DataFrame(np.ascontiguousarray(words).view(np.int64), columns=lanes)
 
-    rows = packed(docs, doc_id=column(docs, doc_id).cast("long"), fp=print_of(column(docs, text).cast("binary")))
-    rows = materialize(rows, "printed")
-    found = rows.join(classes(rows.select("doc_id", "fp"), radius), "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    rows = packed(docs, doc_id=column(docs, doc_id).cast("long"), print=print_of(column(docs, text).cast("binary")))
+    rows = materialize(rows.select("row", "doc_id", "print.*"), "printed")
+    found = rows.join(wide_classes(rows.select("doc_id", *lanes)), lanes)
+    found = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     return unpacked(found.groupBy("root").agg(F.first("row").alias("row")), docs)
