@@ -24,12 +24,13 @@ from tabsmith.session import materialize
 
 #: Rows the groups are fitted on, rows of a group before it is cut, children of a node.
 SAMPLE = 4096
-GROUP = 96
+GROUP = 512
 CHILDREN = 12
 #: Rows of a data block, and queries that search one together.
 BLOCK = 4096
 QUERIES = 4096
-LEAF = 64
+LEAF = 512
+QUERY_LEAF = 64
 
 
 @dataclass
@@ -99,15 +100,15 @@ class Best:
     def worst(self, rows: np.ndarray) -> float:
         return float(self.score[rows, -1].min())
 
-    def offer(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
-        scores = np.where(self.query_ids[rows][:, None] == ids[None, :], -np.inf, scores)
-        for i, row in zip(rows, scores):
-            at = np.flatnonzero(row >= max(self.score[i, -1], np.finfo(float).min))
-            if not len(at):
-                continue
-            s, d = np.concatenate([self.score[i], row[at]]), np.concatenate([self.ids[i], ids[at]])
+    def offer(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, floor: np.ndarray) -> None:
+        """Take in the scores of these query rows; below `floor` none is looked at."""
+        least = np.maximum(np.maximum(self.score[rows, -1], floor), np.finfo(float).min)
+        good = (scores >= least[:, None]) & (self.query_ids[rows][:, None] != ids[None, :])
+        for i in np.flatnonzero(good.any(axis=1)):
+            row, at = rows[i], np.flatnonzero(good[i])
+            s, d = np.concatenate([self.score[row], scores[i, at]]), np.concatenate([self.ids[row], ids[at]])
             top = np.lexsort((d, -s))[: self.k]
-            self.score[i], self.ids[i] = s[top], d[top]
+            self.score[row], self.ids[row] = s[top], d[top]
 
 
 def search(queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, data: np.ndarray, data_ids: np.ndarray, k: int) -> Best:
@@ -116,13 +117,13 @@ def search(queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, data:
     if not len(queries) or not len(data):
         return best
     worst = lambda rows: max(best.worst(rows), float(floor[rows].min()))
-    stack = [(build(queries, LEAF // 2), build(data))]
+    stack = [(build(queries, QUERY_LEAF), build(data))]
     while stack:
         q, d = stack.pop()
         if float(bound(q.center, q.radius, d.center, d.radius)) < worst(q.rows):
             continue
         if not q.children and not d.children:
-            best.offer(q.rows, _products(queries[q.rows], data[d.rows]), data_ids[d.rows])
+            best.offer(q.rows, _products(queries[q.rows], data[d.rows]), data_ids[d.rows], floor[q.rows])
             continue
         split = bool(q.children) and (not d.children or q.radius > d.radius)
         pairs = [(c, d) for c in q.children] if split else [(q, c) for c in d.children]
