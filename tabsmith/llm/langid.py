@@ -174,7 +174,7 @@ class Scores(dict):
 def predict_one(scores: Scores, text: str | None) -> tuple[str, float]:
     """Language and score of one text: `und` and 0 without a letter or a model."""
     langs = scores.model.langs
-    if not text or not langs or not _LETTER(text):
+    if not text or not langs or not any(map(str.isalpha, text)):
         return "und", 0.0
     words = words_of(text) or [text.lower()[:WORD_CHARS]]
     mean = scores.of(words) * min(len(words), ENOUGH)
@@ -182,12 +182,6 @@ def predict_one(scores: Scores, text: str | None) -> tuple[str, float]:
     return langs[best], float(1 / np.exp(mean - mean[best]).sum())
 
 
-def _LETTER(text: str) -> bool:
-    import re
-
-    return re.search(r"[^\W\d_]", text) is not None
-
-
 def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id, lang_pred, score (0 to 1), from the text alone.
 

@@ -4,7 +4,7 @@ Candidates are all runs of secret-like characters of some length. For each, the
 and the characters around it: embedded characters, one convolution, maximum and mean over places, a
 hidden layer. It is trained on labelled findings: candidates that a pattern finds are positive, an
 equal share of the others negative. One part of the findings sets the probability scale (a logistic
-fit), another the threshold: the highest that still keeps the wanted recall. Candidates above it
+fit), another the threshold, which never costs more recall than wanted. Candidates above it
 that no pattern covers are added; what the patterns find always stays.
 """
 
@@ -42,9 +42,11 @@ HIDDEN = 16
 SAMPLE_TEXTS = 20_000
 SAMPLE = 3000
 EPOCHS = 6
+#: Steps of training at least, so that a small sample is gone through more often.
+STEPS = 400
 RECALL = 0.99
-#: No threshold lies below this probability.
-FLOOR = 0.9
+#: Probability that a threshold has at least, unless the recall needs a lower one.
+FLOOR = 0.5
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -127,8 +129,8 @@ class Network:
 def train(x: np.ndarray, y: np.ndarray, recall: float = RECALL) -> Network:
     """Fit on candidates with labels; without both labels the threshold admits nothing.
 
-    Of ten, seven train, one sets the scale and two the threshold: the highest that keeps `recall`
-    of their positives, but never below FLOOR.
+    Of ten, seven train, one sets the scale and two the threshold: FLOOR or more, halfway between the
+    positives and the bulk of the negatives, but never so high that `recall` of the positives is not kept.
     """
     net = Network.fresh()
     if len(y) < 20 or y.min() == y.max():
@@ -137,8 +139,9 @@ def train(x: np.ndarray, y: np.ndarray, recall: float = RECALL) -> Network:
     order = rng.permutation(len(y))
     fit, scale, judge = np.split(order, [int(0.7 * len(y)), int(0.8 * len(y))])
     moment, step = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}, 0
-    for _ in range(EPOCHS):
-        for part in np.array_split(rng.permutation(fit), max(1, len(fit) // 64)):
+    batches = max(1, len(fit) // 64)
+    for _ in range(max(EPOCHS, -(-STEPS // batches))):
+        for part in np.array_split(rng.permutation(fit), batches):
             step += 1
             keep: list = []
             slope = ((1 / (1 + np.exp(-net.forward(x[part], keep))) - y[part]) / len(part)).astype(np.float32)
@@ -155,8 +158,14 @@ def train(x: np.ndarray, y: np.ndarray, recall: float = RECALL) -> Network:
         move = np.linalg.solve((a * (q * (1 - q))) @ a.T + 2 * np.eye(2), a @ (q - y[scale]) + 2 * (w - [1, 0]))
         w = w - np.clip(move, -0.5, 0.5)
     net.scale, net.shift = float(max(w[0], 0.1)), float(w[1])
-    good = np.sort(net.probability(x[judge][y[judge] > 0]))
-    net.threshold = max(FLOOR, float(good[int((1 - recall) * len(good))])) if len(good) else 1.1
+    p, bad = net.probability(x[judge]), y[judge] == 0
+    if bad.all():
+        return net
+    # at most this keeps the recall; halfway (in log odds) down to the bulk of the others leaves room for new contexts
+    most = float(np.quantile(p[~bad], 1 - recall, method="lower"))
+    others = float(np.quantile(p[bad], 0.99)) if bad.any() else 0.0
+    odds = [np.log(q / (1 - q)) for q in np.clip([most, others], 1e-9, 1 - 1e-9)]
+    net.threshold = min(most, max(FLOOR, float(1 / (1 + np.exp(-np.mean(odds))))))
     return net
 
 
