@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tabsmith.functions.scalars import number
 from tabsmith.operators.models import gram, unpack
 from tabsmith.operators.slices import broadcast_if_small, join_null_safe, with_history
+from tabsmith.session import materialize
 
 
 def difference(df: DataFrame, keys: list[str], value: str, order: list[str], d: int) -> DataFrame:
@@ -73,7 +74,8 @@ def fit(
 
     Parameters: const, ar, ma, sigma2, aic, bic and the number of fitted rows.
     """
-    z = difference(df, keys, value, order, d).where("z is not null")
+    # numbered and differenced once, lagged once: everything later reads the stored rows
+    z = materialize(difference(df, keys, value, order, d).where("z is not null"), "series")
     long_order = max(p, q) + 8 if q else 0
     if q:
         specs = {f"l{i}": ("z", i) for i in range(1, long_order + 1)}
@@ -84,7 +86,7 @@ def fit(
         z = lagged.withColumn("e", F.col("z") - _apply("_b", list(specs))).drop("_b", *specs)
     specs = {f"z{i}": ("z", i) for i in range(1, p + 1)}
     specs |= {f"e{i}": ("e", i) for i in range(1, q + 1)}
-    rows = _lags(z, keys, specs) if specs else z
+    rows = materialize(_lags(z, keys, specs), "lags") if specs else z
     xs = list(specs)
     g = gram(rows.dropna(subset=["z", *xs]), xs, "z", keys)
     solved = _solve_rows(g, keys, p + q + 1)

@@ -12,6 +12,7 @@ from tabsmith.functions.scalars import is_numeric, number, numbers, present
 from tabsmith.functions.tails import t_p_value
 from tabsmith.operators.order_stats import quantile_values
 from tabsmith.operators.pairwise import pair_moments
+from tabsmith.session import materialize
 
 STRENGTH_CUTS = (0.1, 0.3, 0.5, 0.7)
 STRENGTH_NAMES = ("very weak", "weak", "moderate", "strong", "very strong")
@@ -69,7 +70,7 @@ def corr_spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     both = df.select(number(df, a).alias("x"), number(df, b).alias("y")).where(
         "x is not null and y is not null"
     )
-    points = both.groupBy("x", "y").agg(F.count(F.lit(1)).alias("w"))
+    points = materialize(both.groupBy("x", "y").agg(F.count(F.lit(1)).alias("w")), "points")
     ranked = weighted_ranks(weighted_ranks(points, "x", "rx"), "y", "ry")
     return weighted_corr(ranked, "rx", "ry", "w").select(
         F.lit(a).alias("a"), F.lit(b).alias("b"), F.col("r"), F.col("n")

@@ -9,6 +9,7 @@ from tabsmith.functions.scalars import number, present
 from tabsmith.operators.order_stats import melt, quantile_table
 from tabsmith.operators.profiling import missing_rate, per_column
 from tabsmith.operators.slices import broadcast_if_small, join_null_safe
+from tabsmith.session import materialize
 
 FIVE = {
     "q1": (0.25, "floor"), "median": (0.5, "floor"), "q3": (0.75, "floor"),
@@ -64,7 +65,7 @@ def five_numbers(
 def boxplot(df: DataFrame, columns: list[str], k: float = 1.5) -> DataFrame:
     """Five numbers, the fences' violations counted per column."""
     picks = {"q1": (0.25, "midpoint"), "median": (0.5, "linear"), "q3": (0.75, "midpoint")}
-    five = five_numbers(df, columns, picks=picks)
+    five = materialize(five_numbers(df, columns, picks=picks), "five")  # a row a column, for the result and the fences
     out = boxplot_outliers(df, columns, k, five).groupBy("column").agg(
         F.count(F.lit(1)).alias("outliers")
     )

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tabsmith.functions.scalars import number
 from tabsmith.operators.order_stats import quantile_values
+from tabsmith.session import materialize
 
 RIDGE = 1e-8
 MIN_GAIN = 1e-6
@@ -153,7 +154,7 @@ def fit(
     penalty: float = 3.0, knots_per_feature: int = 20,
 ) -> Mars:
     """Forward selection of hinge pairs, then backward pruning by GCV."""
-    data = df.select(*[number(df, c).alias(c) for c in [*features, target]]).dropna()
+    data = materialize(df.select(*[number(df, c).alias(c) for c in [*features, target]]).dropna(), "mars")
     grid = knots(data, features, knots_per_feature)
     model = Mars(features)
     terms = model.terms

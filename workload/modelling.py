@@ -413,13 +413,11 @@ def ols_fit(t):
 def regression_data(t, scale="standard"):
     """Prepared train and test frames for the derived target."""
     d = derived(t).where("y is not null").select(*ROW_KEY, "l_quantity", "l_discount", "l_tax", "l_returnflag", F.col("y").alias("label"))
-    train, test = features.split_holdout(materialize(d, "rows"), ROW_KEY, 0.2)
+    train, _ = features.split_holdout(d, ROW_KEY, 0.2)
     prep = features.fit_features(train, NUMS, ["l_returnflag"], scale=scale)
-    done = [
-        materialize(features.apply_features(prep, p, NUMS, ["l_returnflag"]).select(*ROW_KEY, "features", "label"), "model")
-        for p in (train, test)
-    ]
-    return done[0], done[1], features.feature_names(prep, train, NUMS, ["l_returnflag"])
+    names = features.feature_names(prep, train, NUMS, ["l_returnflag"])
+    ready = materialize(features.apply_features(prep, d, NUMS, ["l_returnflag"]).select(*ROW_KEY, "features", "label"), "model")
+    return *features.split_holdout(ready, ROW_KEY, 0.2), names
 
 
 def fit_and_evaluate(t, build):
