@@ -187,7 +187,7 @@ def heatmap_range(df: DataFrame, measure: str) -> DataFrame:
 
 def scatter_sample(df: DataFrame, key: list[str], columns: list[str], n: int = 500, seed: int = 42):
     """n pseudo-random rows, the same for any layout: a distributed top-k on a key hash."""
-    h = F.xxhash64(*[F.col(k) for k in key], F.lit(seed))
+    h = F.md5(F.concat_ws("|", *[F.col(f"`{k}`").cast("string") for k in key], F.lit(str(seed))).cast("binary"))
     return df.select(*key, *columns).orderBy(h, *key).limit(n)
 
 

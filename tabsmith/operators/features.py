@@ -87,8 +87,9 @@ def feature_names(model: PipelineModel, df: DataFrame, numeric: list[str], categ
 
 
 def bucket(key: list[str], parts: int, seed: int) -> Column:
-    """Stable pseudo-random bucket of a row from its key; the same for any layout."""
-    return F.pmod(F.xxhash64(*[F.col(k) for k in key], F.lit(seed)), F.lit(parts))
+    """Stable pseudo-random bucket of a row from its key; the same for any layout, and in any engine with MD5."""
+    text = F.concat_ws("|", *[F.col(f"`{k}`").cast("string") for k in key], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") % parts
 
 
 def split_holdout(df: DataFrame, key: list[str], test_size: float = 0.2, seed: int = 42):

@@ -348,28 +348,58 @@ def dedupe_before_fit(t):
     return features.dedupe_before_fit(t.gappy_lineitem, ["l_quantity", "l_discount", "l_returnflag"])
 
 
-@query("split_holdout")
+SPLIT_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+BUCKET = f"('0x' || substr(md5(concat_ws('|', {', '.join(SPLIT_KEY)}, 42)), 1, 8))::BIGINT"
+
+
+@query("split_holdout", f"SELECT {KEY_SQL}, CASE WHEN {BUCKET} % 10000 >= 2000 THEN 'train' ELSE 'test' END AS part FROM lineitem")
 def split_holdout(t):
-    train, test = features.split_holdout(t.lineitem, ROW_KEY, 0.2)
-    return train.agg(F.count(F.lit(1)).alias("train")).withColumn("test", test.agg(F.count(F.lit(1))).scalar())
+    train, test = features.split_holdout(t.lineitem.select(*ROW_KEY), SPLIT_KEY, 0.2)
+    return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
 
 
-@query("split_kfold")
+@query("split_kfold", f"SELECT {KEY_SQL}, CAST({BUCKET} % 5 AS INTEGER) AS fold FROM lineitem")
 def split_kfold(t):
-    return features.split_kfold(t.lineitem, ROW_KEY, 5).groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+    return features.split_kfold(t.lineitem.select(*ROW_KEY), SPLIT_KEY, 5)
 
 
 NUMS, CATS = ["l_quantity", "l_discount", "l_tax"], ["l_returnflag", "l_linestatus"]
 
 
-@query("feature_pipeline")
+def codes_sql(column: str, source: str) -> str:
+    """Codes 0, 1, ... of the levels, the most frequent first, ties in order."""
+    return f"(SELECT {column} AS v, row_number() OVER (ORDER BY count(*) DESC, {column}) - 1 AS k FROM {source} GROUP BY {column})"
+
+
+def slots(df, n: int):
+    """The vector as n rounded columns f0, f1, ..."""
+    xs = vector_to_array("features")
+    return df.select(*ROW_KEY, *[(F.round(xs[i], 6) + 0.0).alias(f"f{i}") for i in range(n)])
+
+
+RAW_FEATURES = f"""(SELECT {KEY_SQL}, coalesce(l_quantity, (SELECT avg(l_quantity) FROM {GAPPY})) AS x0, coalesce(l_discount, (SELECT avg(l_discount) FROM {GAPPY})) AS x1,
+  coalesce(l_tax, (SELECT avg(l_tax) FROM {GAPPY})) AS x2, CAST(r.k = 0 AS DOUBLE) AS x3, CAST(r.k = 1 AS DOUBLE) AS x4, CAST(r.k = 2 AS DOUBLE) AS x5, CAST(s.k = 0 AS DOUBLE) AS x7, CAST(s.k = 1 AS DOUBLE) AS x8
+  FROM {GAPPY} g JOIN {codes_sql('l_returnflag', GAPPY)} r ON g.l_returnflag = r.v JOIN {codes_sql('l_linestatus', GAPPY)} s ON g.l_linestatus = s.v)"""
+SCALED = ", ".join("0.0 AS f%d" % i if i in (6, 9) else f"round((x{i} - avg(x{i}) OVER ()) / stddev_samp(x{i}) OVER (), 6) + 0.0 AS f{i}" for i in range(10))
+
+
+@query("feature_pipeline", f"SELECT {KEY_SQL}, {SCALED} FROM {RAW_FEATURES}")
 def feature_pipeline(t):
+    """Slots 6 and 9 stand for labels not seen in training."""
     model = features.fit_features(t.gappy_lineitem, NUMS, CATS, scale="standard")
     out = features.apply_features(model, t.gappy_lineitem, NUMS, CATS)
-    return out.select(*ROW_KEY, vector_to_array("features").alias("features"))
+    return slots(out, 10)
+
 
+SEEN = f"(SELECT * FROM {GAPPY} WHERE l_returnflag <> 'R')"
 
-@query("transform_stored")
+
+@query(
+    "transform_stored",
+    f"""SELECT {KEY_SQL}, round(coalesce(l_quantity, (SELECT avg(l_quantity) FROM {SEEN})), 6) AS f0, round(coalesce(l_discount, (SELECT avg(l_discount) FROM {SEEN})), 6) AS f1,
+      round(coalesce(l_tax, (SELECT avg(l_tax) FROM {SEEN})), 6) AS f2, CAST(coalesce(r.k, (SELECT count(DISTINCT l_returnflag) FROM {SEEN})) AS DOUBLE) AS f3, CAST(s.k AS DOUBLE) AS f4
+      FROM {GAPPY} g LEFT JOIN {codes_sql('l_returnflag', SEEN)} r ON g.l_returnflag = r.v JOIN {codes_sql('l_linestatus', SEEN)} s ON g.l_linestatus = s.v""",
+)
 def transform_stored(t):
     """A stored pipeline applied to rows with labels it has never seen."""
     from pyspark.ml import PipelineModel
@@ -378,7 +408,7 @@ def transform_stored(t):
     path = scratch_path(t.spark, "pipeline")
     features.fit_features(seen, NUMS, CATS, one_hot=False).write().save(path)
     out = features.apply_features(PipelineModel.load(path), t.gappy_lineitem, NUMS, CATS)
-    return out.select(*ROW_KEY, vector_to_array("features").alias("features"))
+    return slots(out, 5)
 
 
 # --- models ---------------------------------------------------------------------------------
@@ -413,11 +443,11 @@ def ols_fit(t):
 def regression_data(t, scale="standard"):
     """Prepared train and test frames for the derived target."""
     d = derived(t).where("y is not null").select(*ROW_KEY, "l_quantity", "l_discount", "l_tax", "l_returnflag", F.col("y").alias("label"))
-    train, _ = features.split_holdout(d, ROW_KEY, 0.2)
+    train, _ = features.split_holdout(d, SPLIT_KEY, 0.2)
     prep = features.fit_features(train, NUMS, ["l_returnflag"], scale=scale)
     names = features.feature_names(prep, train, NUMS, ["l_returnflag"])
     ready = materialize(features.apply_features(prep, d, NUMS, ["l_returnflag"]).select(*ROW_KEY, "features", "label"), "model")
-    return *features.split_holdout(ready, ROW_KEY, 0.2), names
+    return *features.split_holdout(ready, SPLIT_KEY, 0.2), names
 
 
 def fit_and_evaluate(t, build):
@@ -467,13 +497,13 @@ def gbt_regression_lgbm(t):
 @query("cross_validate")
 def cross_validate(t):
     train, _, _ = regression_data(t)
-    return models.cross_validate(features.split_kfold(train, ROW_KEY, 3), models.ridge(train.count(), 1.0), "fold", 3)
+    return models.cross_validate(features.split_kfold(train, SPLIT_KEY, 3), models.ridge(train.count(), 1.0), "fold", 3)
 
 
 @query("auto_tune")
 def auto_tune(t):
     train, _, _ = regression_data(t)
-    folded = features.split_kfold(train, ROW_KEY, 5)
+    folded = features.split_kfold(train, SPLIT_KEY, 5)
     n = train.count()
     grid = {"regParam": [a / n for a in (0.01, 0.1, 1.0, 10.0, 100.0)]}
     _, scores = models.auto_tune(folded, models.ridge(n, 1.0), grid, 5, fold="fold")

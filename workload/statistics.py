@@ -19,6 +19,9 @@ def q(c: str, p: float, rule: str) -> str:
     return quantile_sql(c, p, rule)
 
 
+SAMPLE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
 @query(
     "descriptive",
     union_columns(
@@ -140,9 +143,10 @@ def chart_heatmap_range(t):
     return charts.heatmap_range(t.events, "value")
 
 
-@query("scatter_sample")
+@query("scatter_sample", f"""SELECT {', '.join(SAMPLE_KEY)}, l_quantity FROM lineitem
+  ORDER BY md5(concat_ws('|', {', '.join(SAMPLE_KEY)}, 42)), {', '.join(SAMPLE_KEY)} LIMIT 500""")
 def scatter_sample(t):
-    return charts.scatter_sample(t.lineitem, ROW_KEY, ["l_quantity"], 500)
+    return charts.scatter_sample(t.lineitem, SAMPLE_KEY, ["l_quantity"], 500)
 
 
 @query(
