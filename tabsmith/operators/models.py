@@ -169,6 +169,17 @@ def cross_validate(df: DataFrame, estimator, fold: str, k: int) -> DataFrame:
     return parts
 
 
+def cross_validate_classes(df: DataFrame, estimator, fold: str, k: int) -> DataFrame:
+    """Precision, recall, F1 and support per class and the accuracy of each held-out fold."""
+    parts = None
+    for i in range(k):
+        model = estimator.fit(df.where(F.col(fold) != i))
+        m = evaluation.metrics_classification(model.transform(df.where(F.col(fold) == i)), "label", "prediction")
+        m = m.withColumn("fold", F.lit(i))
+        parts = m if parts is None else parts.unionByName(m)
+    return parts
+
+
 def auto_tune(df: DataFrame, estimator, grid: dict, folds: int = 3, parallelism: int = 4, fold: str = ""):
     """Grid search by cross-validated R2 over all rows; returns (best model, score table)."""
     builder = ParamGridBuilder()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,9 +11,10 @@ ENCODINGS = ("UTF-8", "GBK")
 STANDARD_CHARSETS = ("UTF-8", "US-ASCII", "ISO-8859-1", "UTF-16", "UTF-16BE", "UTF-16LE", "UTF-32")
 
 
-def has_invalid_utf8(spark: SparkSession, path: str) -> bool:
-    """Whether any line holds bytes that are not UTF-8 (a distributed check that stops early)."""
-    return not spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).isEmpty()
+def invalid_utf8_files(spark: SparkSession, path: str) -> list[str]:
+    """Files with a line that is not UTF-8; names only reach the driver."""
+    bad = spark.read.text(path).where(~F.is_valid_utf8("value")).select("_metadata.file_path").distinct()
+    return [r[0] for r in bad.collect()]
 
 
 def scan_csv(
@@ -19,13 +22,28 @@ def scan_csv(
     path: str,
     delimiter: str = ",",
     encoding: str | None = None,
+    quoted_newlines: bool = False,
 ) -> DataFrame:
     """Header CSV with every cell as text; blank lines are skipped.
 
-    Without an explicit encoding, files that are not valid UTF-8 are read as GBK.
+    Without an explicit encoding, each file that is not valid UTF-8 is read as GBK, the others as UTF-8.
+    `quoted_newlines` reads line breaks inside quotes; a file is then read by one task.
     """
     if encoding is None:
-        encoding = ENCODINGS[1] if has_invalid_utf8(spark, path) else ENCODINGS[0]
+        bad = invalid_utf8_files(spark, path)
+        plain = {_slashes(f) for f in bad}
+        good = [f for f in spark.read.text(path).inputFiles() if _slashes(f) not in plain] if bad else [path]
+        parts = [_read_csv(spark, p, delimiter, e, quoted_newlines) for p, e in ((good, ENCODINGS[0]), (bad, ENCODINGS[1])) if p]
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
+    return _read_csv(spark, path, delimiter, encoding, quoted_newlines)
+
+
+def _slashes(uri: str) -> str:
+    """A file name for comparison: file:/x and file:///x are the same."""
+    return re.sub(r"^(\w+):/+", r"\1:/", uri)
+
+
+def _read_csv(spark: SparkSession, path: str | list[str], delimiter: str, encoding: str, quoted_newlines: bool) -> DataFrame:
     if encoding.upper() not in STANDARD_CHARSETS:
         # Spark limits CSV charsets to a short list unless the session allows all of Java's.
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
@@ -35,6 +53,7 @@ def scan_csv(
         .option("encoding", encoding)
         .option("escape", '"')
         .option("inferSchema", False)
+        .option("multiLine", quoted_newlines)
         .csv(path)
     )
 

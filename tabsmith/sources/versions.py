@@ -27,9 +27,9 @@ class VersionStore:
         return self.spark.read.schema(CATALOG_SCHEMA).parquet(self._catalog_path)
 
     def save(self, df: DataFrame, name: str) -> int:
-        """Write the next version (1 for a new name) and record it."""
+        """Write the next version (1 for a new name) and record it. Of two writers each gets a number of its own."""
         known = self.catalog().where(F.col("name") == name).agg(F.max("version")).first()[0]
-        version = (known or 0) + 1
+        version = self._claim(name, (known or 0) + 1)
         path = f"{self.root}/{name}/version={version}"
         df.write.parquet(path)
         rows = self.spark.read.parquet(path).count()
@@ -39,6 +39,20 @@ class VersionStore:
         entry.write.mode("append").parquet(self._catalog_path)
         return version
 
+    def _claim(self, name: str, version: int) -> int:
+        """The first free version from here on; the claim file is created by one writer only."""
+        jvm = self.spark._jvm
+        while True:
+            claim = jvm.org.apache.hadoop.fs.Path(f"{self.root}/_claims/{name}-{version}")
+            fs = claim.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            try:
+                if fs.createNewFile(claim):
+                    return version
+            except Exception:  # some stores raise where others say false
+                if not fs.exists(claim):
+                    raise
+            version += 1
+
     def latest(self, name: str) -> DataFrame:
         row = latest_version(self.catalog().where(F.col("name") == name), "name", "version", "path").first()
         if row is None:

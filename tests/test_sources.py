@@ -10,7 +10,7 @@ from tabsmith.sources import files, jdbc, versions
 def test_gbk_files_are_recognised(spark, tmp_path):
     (tmp_path / "g.csv").write_bytes("名称,值\n温度,1\n\n压力,2\n".encode("gbk"))
     (tmp_path / "u.csv").write_text("名称,值\n温度,1\n", encoding="utf-8")
-    assert files.has_invalid_utf8(spark, str(tmp_path / "g.csv"))
+    assert len(files.invalid_utf8_files(spark, str(tmp_path))) == 1
     g = files.scan_csv(spark, str(tmp_path / "g.csv"))
     assert g.columns == ["名称", "值"] and [r["名称"] for r in g.collect()] == ["温度", "压力"]
     assert files.scan_csv(spark, str(tmp_path / "u.csv")).first()["名称"] == "温度"
@@ -49,3 +49,21 @@ def test_versions_count_up_and_latest_wins(spark, tmp_path):
     assert store.latest("a").count() == 2 and store.catalog().count() == 3
     with pytest.raises(KeyError):
         store.latest("zzz")
+
+
+def test_a_folder_of_two_encodings_and_quoted_line_breaks(spark, tmp_path):
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    (folder / "a.csv").write_bytes("id,name\n1,größe\n".encode())
+    (folder / "b.csv").write_bytes("id,name\n2,温度\n".encode("gbk"))
+    got = {r["id"]: r["name"] for r in files.scan_csv(spark, str(folder)).collect()}
+    assert got == {"1": "größe", "2": "温度"}
+    df = spark.createDataFrame([("1", 'two\nlines "quoted"'), ("2", "plain")], "id string, name string")
+    files.sink_csv(df, str(tmp_path / "out"))
+    back = files.scan_csv(spark, str(tmp_path / "out"), quoted_newlines=True)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_two_writers_get_their_own_versions(spark, tmp_path):
+    a, b = (versions.VersionStore(spark, str(tmp_path)) for _ in range(2))
+    assert a._claim("x", 1) == 1 and b._claim("x", 1) == 2

@@ -576,6 +576,21 @@ def logistic(t):
     return class_metrics(model, test).unionByName(area).unionByName(coef)
 
 
+@query(
+    "cross_validate_classes",
+    """SELECT CAST(('0x' || substr(md5(concat_ws('|', o_orderkey, 42)), 1, 8))::BIGINT % 3 AS INTEGER) AS fold,
+      CAST(o_totalprice > 250000 AS DOUBLE) AS class, count(*) AS support, true AS good FROM orders GROUP BY ALL""",
+)
+def cross_validate_classes(t):
+    """Folds and supports exactly; a class that one cut on the price decides must be found nearly always."""
+    o = t.orders.withColumn("label", (F.col("o_totalprice") > 250000).cast("double"))
+    prep = features.fit_features(o, ["o_totalprice"], [], scale="standard")
+    ready = features.apply_features(prep, o, ["o_totalprice"], []).select("o_orderkey", "features", "label")
+    folded = materialize(features.split_kfold(ready, ["o_orderkey"], 3), "folds")
+    m = models.cross_validate_classes(folded, models.decision_tree(4), "fold", 3)
+    return m.select("fold", "class", "support", (F.col("f1") > 0.95).alias("good"))
+
+
 @query("decision_tree")
 def decision_tree(t):
     train, test, names = classification_data(t)
@@ -640,11 +655,16 @@ def industrial_effect(t):
     return parts["report"]
 
 
-@query("mars")
+@query(
+    "mars",
+    """SELECT 'max(0, l_quantity - 20.000)' AS basis, 'l_quantity > 20.000' AS rule, 2.0::DOUBLE AS coefficient
+      UNION ALL SELECT 'max(0, l_discount - 0.000)', 'l_discount > 0.000', 50.0::DOUBLE""",
+)
 def mars_(t):
+    """The fit must find the planted hinges and slopes, and nothing else."""
     d = derived(t).withColumn("bent", F.greatest(F.lit(0.0), F.col("l_quantity") - 20) * 2 + F.col("l_discount") * 50)
     model = mars.fit(d, "bent", ["l_quantity", "l_discount", "l_tax"])
-    return mars.basis_table(model, d)
+    return mars.basis_table(model, d).withColumn("coefficient", F.round("coefficient", 3))
 
 
 @query("arima")
