@@ -463,35 +463,48 @@ def coefs_and_metrics(t, build):
     return coef.unionByName(m.select(F.concat_ws("_", F.lit("r2"), "part").alias("name"), F.col("r2").alias("value")))
 
 
-@query("ridge")
+FACTS = f"""SELECT CASE WHEN {BUCKET} % 10000 >= 2000 THEN 'train' ELSE 'test' END AS part, count(*) AS n, true AS good, 'l_quantity' AS strongest
+  FROM {DERIVED} WHERE y IS NOT NULL GROUP BY 1"""
+
+
+def model_facts(t, build, least: float = 0.95):
+    """Rows scored in each part, whether R2 is above `least` there (the planted line explains about 98 %),
+    and the strongest input by the model's own account."""
+    model, m, names, train, _ = fit_and_evaluate(t, build)
+    table = models.importance_table if hasattr(model, "featureImportances") else models.coefficient_table
+    weight = "importance" if table is models.importance_table else "coefficient"
+    strongest = table(model, names, train).where(F.col("feature") != "intercept").orderBy(F.desc(F.abs(weight))).first()["feature"]
+    return m.select("part", "n", (F.col("r2") > least).alias("good"), F.lit(strongest).alias("strongest"))
+
+
+@query("ridge", FACTS)
 def ridge(t):
-    return coefs_and_metrics(t, lambda train: models.ridge(train.count(), 1.0))
+    return model_facts(t, lambda train: models.ridge(train.count(), 1.0))
 
 
-@query("lasso")
+@query("lasso", FACTS)
 def lasso(t):
-    return coefs_and_metrics(t, lambda train: models.lasso(0.5))
+    return model_facts(t, lambda train: models.lasso(0.5))
 
 
-def tree_result(t, est):
-    model, m, names, train, _ = fit_and_evaluate(t, lambda _: est)
-    imp = models.importance_table(model, names, train).select(F.col("feature").alias("name"), F.col("importance").alias("value"))
-    return imp.unionByName(m.select(F.concat_ws("_", F.lit("r2"), "part").alias("name"), F.col("r2").alias("value")))
+@query("ridge_coefficients")
+def ridge_coefficients(t):
+    return coefs_and_metrics(t, lambda train: models.ridge(train.count(), 1.0))
 
 
-@query("rf_regression")
+@query("rf_regression", FACTS)
 def rf_regression(t):
-    return tree_result(t, models.rf_regression())
+    return model_facts(t, lambda _: models.rf_regression(), 0.9)
 
 
-@query("gbt_regression_xgb")
+@query("gbt_regression_xgb", FACTS)
 def gbt_regression_xgb(t):
-    return tree_result(t, models.gbt_xgb_preset(10, 0.3, 4))
+    return model_facts(t, lambda _: models.gbt_xgb_preset(), 0.9)
 
 
-@query("gbt_regression_lgbm")
+@query("gbt_regression_lgbm", FACTS)
 def gbt_regression_lgbm(t):
-    return tree_result(t, models.gbt_lgbm_preset(10, 0.3, 15))
+    return model_facts(t, lambda _: models.gbt_lgbm_preset(), 0.9)
 
 
 @query("cross_validate")
@@ -614,8 +627,21 @@ def cluster_data(t):
     return features.apply_features(prep, v, cols, []), cols
 
 
-@query("kmeans")
+@query("kmeans", "SELECT count(*) AS n, 3::BIGINT AS clusters, true AS nearest FROM embeddings")
 def kmeans(t):
+    """Rows over all clusters, their number, and whether every row is in the cluster of its nearest centre."""
+    d, _ = cluster_data(t)
+    model, assigned = models.kmeans(d, 3)
+    x, centres = vector_to_array("features"), [c.tolist() for c in model.clusterCenters()]
+    gaps = [F.aggregate(F.zip_with(x, F.array(*map(F.lit, c)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v) for c in centres]
+    own = F.get(F.array(*gaps), F.col("cluster"))
+    return assigned.agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("cluster").alias("clusters"), F.bool_and(own <= F.array_min(F.array(*gaps)) + 1e-9).alias("nearest")
+    )
+
+
+@query("cluster_centres")
+def cluster_centres(t):
     d, cols = cluster_data(t)
     _, assigned = models.kmeans(d, 3)
     return models.cluster_centres(assigned, cols)
@@ -633,13 +659,17 @@ def joint_rules(t):
     return models.joint_rules(train, names, 3)
 
 
-@query("leaf_stats")
+@query("leaf_stats", f"SELECT count(*) AS samples, round(avg(y), 4) AS mean_value FROM {DERIVED} WHERE y IS NOT NULL AND {BUCKET} % 10000 >= 2000")
 def leaf_stats(t):
+    """Over all leaves: their samples, and the mean that their means add up to, are those of the training rows."""
     from pyspark.ml.regression import DecisionTreeRegressor
 
     train, _, _ = regression_data(t)
     tree = DecisionTreeRegressor(featuresCol="features", labelCol="label", maxDepth=3, leafCol="leaf", seed=models.SEED)
-    return models.leaf_stats(tree.fit(train).transform(train))
+    leaves = models.leaf_stats(tree.fit(train).transform(train))
+    return leaves.agg(
+        F.sum("samples").alias("samples"), F.round(F.sum(F.col("samples") * F.col("mean_value")) / F.sum("samples"), 4).alias("mean_value")
+    )
 
 
 @query("industrial_effect")
