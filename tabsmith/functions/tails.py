@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 _TINY = 1e-300
 
 
-def _lentz(step, limit: int = 400) -> float:
+def _lentz(step, limit: int = 20_000) -> float:
     """Continued fraction b0 + a1/(b1 + a2/(b2 + ...)); step(k) gives (a_k, b_k)."""
     _, b0 = step(0)
     f = b0 if b0 != 0.0 else _TINY
@@ -29,8 +29,10 @@ def _lentz(step, limit: int = 400) -> float:
         c = c if c != 0.0 else _TINY
         f *= c * d
         if abs(c * d - 1.0) < 1e-15:
-            break
-    return f
+            return f
+    if abs(c * d - 1.0) < 1e-9:
+        return f
+    raise ArithmeticError("the continued fraction did not converge")
 
 
 def reg_inc_beta(x: float, a: float, b: float) -> float:
@@ -78,20 +80,31 @@ def reg_upper_gamma(s: float, x: float) -> float:
             return 0.0, x + 1.0 - s
         return -k * (k - s), x + 2 * k + 1.0 - s
 
-    return front / _lentz(step, 2000)
+    return front / _lentz(step)
+
+
+#: Above this many degrees of freedom the limiting distribution is closer than the gamma functions' rounding.
+LIMIT = 1e7
 
 
 def t_two_sided(t: float, df: float) -> float:
+    if df > LIMIT:
+        return math.erfc(abs(t) / math.sqrt(2.0))
     return reg_inc_beta(df / (df + t * t), df / 2.0, 0.5)
 
 
 def f_upper(f: float, d1: float, d2: float) -> float:
     if f <= 0.0:
         return 1.0
+    if d2 > LIMIT:
+        return chi2_upper(d1 * f, d1)
     return reg_inc_beta(d2 / (d2 + d1 * f), d2 / 2.0, d1 / 2.0)
 
 
 def chi2_upper(x: float, df: float) -> float:
+    if df > LIMIT:  # the cube root is nearly normal
+        z = ((x / df) ** (1.0 / 3.0) - (1.0 - 2.0 / (9.0 * df))) / math.sqrt(2.0 / (9.0 * df))
+        return 0.5 * math.erfc(z / math.sqrt(2.0))
     return reg_upper_gamma(df / 2.0, x / 2.0)
 
 

@@ -166,6 +166,7 @@ def shapiro_francia(df: DataFrame, column: str) -> DataFrame:
     # The scores sum to zero, so centring x leaves the product unchanged and is better behaved.
     w = F.least(F.lit(1.0), F.try_divide(F.col("_s.mx") * F.col("_s.mx") / F.col("_s.mm"), n * F.col("v")))
     w = F.when(F.col("v") > 0, w).otherwise(F.lit(1.0))
+    # Royston's published coefficients.
     mu = -1.2725 + 1.0521 * F.ln(n)
     sigma = 1.0308 - 0.26763 * F.ln(n)
     t = t.where(n >= 3).select("n", w.alias("w"), mu.alias("_m"), sigma.alias("_sd"))

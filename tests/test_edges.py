@@ -102,3 +102,11 @@ def test_five_hundred_columns_in_one_scan(spark):
         assert row["cov"] == pytest.approx(np.cov(x[ok, i], x[ok, j])[0, 1], rel=1e-7, abs=1e-5)
     few = association.corr_pearson(wide, names[:4], p_values=False).collect()
     assert all(abs(r["r"] - got[r["a"], r["b"]]["r"]) < 1e-9 and r["n"] == got[r["a"], r["b"]]["n"] for r in few)
+
+
+def test_tails_at_very_many_degrees_of_freedom():
+    from tabsmith.functions import tails
+
+    assert tails.t_two_sided(1.7, 1e11) == pytest.approx(0.0891309, abs=1e-7)
+    for low, high in ((tails.t_two_sided(1.7, 9.9e6), tails.t_two_sided(1.7, 1.1e7)), (tails.f_upper(2.0, 3, 9.9e6), tails.f_upper(2.0, 3, 1.1e7)), (tails.chi2_upper(9.9e6 + 5000, 9.9e6), tails.chi2_upper(9.9e6 + 5000, 9.9e6 + 1))):
+        assert low == pytest.approx(high, rel=2e-3)
