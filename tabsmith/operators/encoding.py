@@ -62,18 +62,20 @@ def levels_of(df: DataFrame, column: str, max_levels: int = MAX_LEVELS) -> list[
     return sorted(r["v"] for r in rows)
 
 
-def one_hot(df: DataFrame, columns: list[str], max_levels: int = MAX_LEVELS) -> DataFrame:
+def one_hot(df: DataFrame, columns: list[str], max_levels: int | None = None) -> DataFrame:
     """Dummy columns `<column>_<level>`, all levels kept.
 
-    A column with more than `max_levels` levels is an error: so many dummy columns need a higher limit,
-    given on purpose, or label codes.
+    A limit given on purpose leaves wider columns as they are. Without one, more than MAX_LEVELS levels
+    are an error: so many dummy columns need a limit of their own, or label codes.
     """
     new = {}
     replaced = []
     for c in columns:
-        levels = levels_of(df, c, max_levels)
+        levels = levels_of(df, c, max_levels or MAX_LEVELS)
+        if levels is None and max_levels is None:
+            raise ValueError(f"column {c!r} has more than {MAX_LEVELS} levels")
         if levels is None:
-            raise ValueError(f"column {c!r} has more than {max_levels} levels")
+            continue
         replaced.append(c)
         for v in levels:
             hit = F.col(f"`{c}`").cast("string") == F.lit(v)
