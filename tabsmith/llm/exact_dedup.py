@@ -35,8 +35,8 @@ def heavy_winners(rows: DataFrame, support: float = SUPPORT) -> DataFrame:
         .groupBy("digest")
         .agg(F.max("rank").alias("win"), F.count(F.lit(1)).alias("size"))
     )
-    total = rows.agg((F.count(F.lit(1)) * support).alias("least"))
-    return counted.join(F.broadcast(total), F.col("size") >= F.col("least")).select("digest", "win", "size")
+    least = rows.agg((F.count(F.lit(1)) * support).alias("least"))
+    return counted.filter(F.col("size") >= least.scalar()).select("digest", "win", "size")
 
 
 def annotate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", support: float = SUPPORT) -> DataFrame:
