@@ -9,15 +9,15 @@ The pairs to look at come from the same table. Differences of the coordinates to
 are the bits themselves; cut into six groups of coordinates, two fingerprints within three bits agree
 in at least three whole groups. Twenty keys, one per choice of three groups, therefore bring every
 linked pair together. Keys that many different fingerprints share are cut again, by the same rule,
-over the coordinates the key leaves free; then at most 2^16 different fingerprints can share one,
-whatever the data. Within a key, a breadth-first search emits a spanning forest of the
+over the coordinates the key leaves free; then at most 2^18 different fingerprints can share one,
+whatever the data, and those that over BLOCK share are taken by pairs of blocks. Within a key, a breadth-first search emits a spanning forest of the
 links, never all pairs. Equal fingerprints are one node throughout.
 
 Three bits of 64 mean texts that are all but equal. For near copies in the sense of a Jaccard similarity
 of 0.8 over five-word shingles there are wide fingerprints of 256 bits: an angle that 0.8 stands for
 turns about 39 of them. No group of bits is sure to agree then, so keys sample bits, in as many tables
-as keep nineteen of twenty pairs of similarity 0.85; keys that very many share are met by a broadcast of one
-representative each, and what is not near it goes the ordinary way.
+as keep nineteen of twenty pairs of similarity 0.85; keys that more than ROOMY share
+tie what is near to one representative each, and what is not near it meets all members by pairs of blocks.
 """
 
 from __future__ import annotations
@@ -47,8 +47,10 @@ WIDE_RADIUS = 42
 #: Chance that two texts of similarity 0.85 agree in a bit, and expected tables in which such a pair meets.
 AGREE = 0.871
 MEETINGS = 3.0
-#: Share of all cells above which a key may be heavy.
-SUPPORT = 1e-3
+#: Fingerprints of a block: a key that more share is taken by pairs of blocks.
+BLOCK = 4096
+#: Rows of a table of keys that may be broadcast.
+SMALL = 100_000
 
 
 def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
@@ -213,11 +215,10 @@ def _link_runs(keys: np.ndarray, prints: np.ndarray, radius: int, few: int = 8)
     return prints[np.concatenate(a)], prints[np.concatenate(b)]
 
 
-def _links(cells: DataFrame, by: list[str], prints: list[str], radius: int, most: int = 1 << 16) -> DataFrame:
+def _links(cells: DataFrame, by: list[str], prints: list[str], radius: int) -> DataFrame:
     """Links (a, b) within equal `by`: structs of the print's words.
 
-    A task reads its rows sorted and keeps one run at a time. A run longer than `most` is taken in parts,
-    each beside the first fingerprints of the part before.
+    A task reads its rows sorted and keeps one run at a time; callers see to it that runs are short.
     """
     n, m = len(by), len(prints)
 
@@ -241,15 +242,36 @@ def _links(cells: DataFrame, by: list[str], prints: list[str], radius: int, most
             if cut:
                 yield flush(keys[:cut], rows[:cut])
                 keys, rows = keys[cut:], rows[cut:]
-            if len(keys) > most:
-                yield flush(keys, rows)
-                keys, rows = keys[:256], rows[:256]
         yield flush(keys, rows)
 
     words = ", ".join(f"{p}: long" for p in prints)
     return cells.select(*by, *prints).repartition(*by).sortWithinPartitions(*by).mapInArrow(run, f"a struct<{words}>, b struct<{words}>")
 
 
+def _met(rows: DataFrame, keys: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """Join with a stored table of keys, broadcast if it is small."""
+    return rows.join(F.broadcast(keys) if keys.count() <= SMALL else keys, by, how)
+
+
+def _block_links(rows: DataFrame, by: list[str], prints: list[str], radius: int) -> DataFrame:
+    """Links within keys of any size, as `_links`; rows that are `settled` are joined already and need no links among themselves.
+
+    A key's open and settled rows are dealt to blocks by hash. Each pair of blocks, one of them open at least,
+    is searched as a run of its own, so that every pair of rows meets unless both are settled.
+    """
+    settled = F.col("settled")
+    sizes = rows.groupBy(*by).agg(F.count_if(~settled).alias("open"), F.count_if(settled).alias("done")).filter("open > 0")
+    sizes = sizes.select(*by, F.ceil(F.col("open") / BLOCK).alias("open"), F.ceil(F.col("done") / BLOCK).alias("done"))
+    rows = _met(rows, materialize(sizes, "blocks"), by)
+    first, blocks = F.when(settled, F.col("open")).otherwise(0), F.when(settled, F.col("done")).otherwise(F.col("open"))
+    own, other = F.col("own"), F.col("other")
+    rows = rows.withColumn("own", first + F.pmod(F.xxhash64(*prints), blocks))
+    last = F.when(settled, F.col("open") - 1).otherwise(F.col("open") + F.col("done") - 1)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    rows = rows.filter((own != other) | (F.col("open") + F.col("done") == 1))
+    return _links(rows.select(*by, F.least(own, other).alias("lo"), F.greatest(own, other).alias("hi"), *prints), [*by, "lo", "hi"], prints, radius)
+
+
 def link_fingerprints(nodes: DataFrame, radius: int = RADIUS, roomy: int = ROOMY) -> DataFrame:
     """Links (a, b) that join the same components as all pairs of different `fp` within `radius` bits (3 at most)."""
     if not 0 <= radius <= 3:
@@ -287,18 +309,16 @@ def wide_links(nodes: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
         keys.append(F.xxhash64(F.lit(t), *[F.col(c).bitwiseAND(F.lit(_signed(m))) for c, m in zip(lanes, masks)]))
     cells = nodes.select(*lanes, F.explode(F.array(*keys)).alias("key"))
     print_ = F.struct(*lanes)
-    maybe = cells.stat.freqItems(["key"], SUPPORT).select(F.explode("key_freqItems").alias("key")).distinct()
-    heavy = (
-        cells.join(F.broadcast(maybe), "key", "left_semi").groupBy("key")
-        .agg(F.min(print_).alias("rep"), F.count(F.lit(1)).alias("size")).filter(F.col("size") > ROOMY).select("key", "rep")
-    )
-    heavy = materialize(heavy, "heavy")  # at most 1/SUPPORT keys
-    marked = cells.join(F.broadcast(heavy), "key", "left")
+    full = materialize(cells.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > ROOMY).select("key"), "full")
+    if full.isEmpty():
+        return _links(cells, ["key"], lanes, radius)
+    heavy = materialize(_met(cells, full, ["key"]).groupBy("key").agg(F.min(print_).alias("rep")), "heavy")
     apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col("rep").getField(c))) for c in lanes), F.lit(0))
-    near = F.coalesce(apart <= radius, F.lit(False))
-    star = marked.filter(near & (apart > 0)).select(print_.alias("a"), F.col("rep").alias("b")).distinct()
-    rest = marked.filter(~near | (apart == 0)).select("key", *lanes)
-    return _links(rest, ["key"], lanes, radius).unionByName(star)
+    marked = _met(cells, heavy, ["key"]).select("key", *lanes, "rep", apart.alias("apart"))
+    star = marked.filter((F.col("apart") <= radius) & (F.col("apart") > 0)).select(print_.alias("a"), F.col("rep").alias("b")).distinct()
+    members = marked.select("key", *lanes, (F.col("apart") <= radius).alias("settled"))
+    rest = _met(cells, full, ["key"], "left_anti")
+    return _links(rest, ["key"], lanes, radius).unionByName(star).unionByName(_block_links(members, ["key"], lanes, radius))
 
 
 def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:

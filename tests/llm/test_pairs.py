@@ -123,6 +123,27 @@ def test_hot_near_copies_by_representative(spark, monkeypatch):
     assert len(found) == 60 and len({tuple(x["root"]) for x in found}) == 1
 
 
+@pytest.mark.parametrize("block", [4096, 16])
+def test_wide_spread_of_a_hot_key_loses_no_link(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "ROOMY", 5)
+    monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
+    monkeypatch.setattr(simhash, "MEETINGS", 1e-9)  # one table, whose bits all share
+    same = set(np.random.default_rng(simhash.SEED).choice(256, 12, replace=False).tolist())
+    r, free = random.Random(9), [b for b in range(256) if b not in same]
+    flip = lambda x, n: x ^ sum(1 << b for b in r.sample(free, n))
+    base = r.getrandbits(256) | 1 << 255  # not the least: it need not represent the key
+    prints = [flip(base, r.randint(15, 30)) for _ in range(50)]
+    prints += [flip(x, r.randint(30, 42)) for x in prints] + [flip(base, 120) for _ in range(30)]
+    prints += [flip(x, 40) for x in prints[-10:]]
+    lanes = [tuple(signed(x >> 64 * i & (2**64 - 1)) for i in range(4)) for x in prints]
+    nodes = spark.createDataFrame(lanes, "l0 long, l1 long, l2 long, l3 long")
+    roots = {tuple(x["node"]): tuple(x["root"]) for x in components.components(simhash.wide_links(nodes)).collect()}
+    got = [roots.get(x, x) for x in lanes]
+    want = groups(len(prints), lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 42)
+    assert len(set(want)) > 20
+    assert all((got[i] == got[j]) == (want[i] == want[j]) for i in range(len(prints)) for j in range(i))
+
+
 def test_components_of_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7), (3, 2), (None, 5), (200, 201), (201, 200)]
     got = {x["node"]: x["root"] for x in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
