@@ -291,9 +291,9 @@ def link_fingerprints(nodes: DataFrame, radius: int = RADIUS, roomy: int = ROOMY
     inner = (
         cells.join(full.select("at", "key"), ["at", "key"], "left_semi")
         .join(F.broadcast(again), "at")
-        .select("at", "cut", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
+        .select("at", "cut", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp", F.lit(False).alias("settled"))
     )
-    return links.unionByName(plain(_links(inner, ["at", "cut", "key"], ["fp"], radius)))
+    return links.unionByName(plain(_block_links(inner, ["at", "cut", "key"], ["fp"], radius)))
 
 
 def wide_links(nodes: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:

@@ -144,6 +144,19 @@ def test_wide_spread_of_a_hot_key_loses_no_link(spark, monkeypatch, block):
     assert all((got[i] == got[j]) == (want[i] == want[j]) for i in range(len(prints)) for j in range(i))
 
 
+@pytest.mark.parametrize("block", [3, 20])
+def test_no_link_is_lost_between_blocks_of_a_key(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    r = random.Random(10)
+    prints = sorted({sum(1 << b for b in r.sample(range(0, 64, 4), r.randint(0, 8))) for _ in range(90)})
+    rows = [(7, 1, signed(x), False) for x in prints]
+    links = simhash._block_links(spark.createDataFrame(rows, "at int, key long, fp long, settled boolean"), ["at", "key"], ["fp"], 3).collect()
+    roots = {x["node"]: x["root"] for x in components.components(spark.createDataFrame([(x["a"]["fp"], x["b"]["fp"]) for x in links], "a long, b long")).collect()}
+    got = [roots.get(signed(x), signed(x)) for x in prints]
+    want = groups(len(prints), lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 3)
+    assert all((got[i] == got[j]) == (want[i] == want[j]) for i in range(len(prints)) for j in range(i))
+
+
 def test_components_of_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7), (3, 2), (None, 5), (200, 201), (201, 200)]
     got = {x["node"]: x["root"] for x in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
