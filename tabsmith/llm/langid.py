@@ -76,13 +76,13 @@ def word_counts(docs: DataFrame, lang: str, text: str) -> DataFrame:
 
 
 def _top(counts: DataFrame, key: str, most: int, salts: int = 64) -> list[tuple[str, str, int]]:
-    """The most frequent keys of each language, ties by key: picked within salted parts, then among those."""
+    """Full counts, in every language, of the keys among the most frequent of one; ties by key: picked within salted parts, then among those."""
     order = [F.col("n").desc(), F.col(key)]
     parts = Window.partitionBy("lang", "part").orderBy(*order)
     whole = Window.partitionBy("lang").orderBy(*order)
     best = counts.withColumn("part", F.pmod(F.xxhash64(key), F.lit(salts))).withColumn("place", F.row_number().over(parts))
     best = best.filter(F.col("place") <= most).withColumn("place", F.row_number().over(whole)).filter(F.col("place") <= most)
-    return [tuple(r) for r in best.select("lang", key, "n").collect()]
+    return [tuple(r) for r in counts.join(best.select(key).distinct(), key).select("lang", key, "n").collect()]  # at most `most` keys a language, in each
 
 
 @dataclass

@@ -37,6 +37,14 @@ def test_languages(frames, odd_rows):
     assert langid.predict(frames([]), model).count() == 0
 
 
+def test_kept_keys_have_their_counts_in_every_language(frames):
+    rows = [(1, "ka " * 9 + "lo " * 5, "aa", "s"), (2, "che " * 9 + "ka " * 8, "bb", "s")]
+    model = langid.fit(frames(rows), words=1, grams=1)
+    assert sorted(model.words) == ["che", "ka"]
+    assert np.allclose(model.words["ka"], np.log([9 / 14, 8 / 17]))
+    assert np.allclose(model.words["che"], np.log([0.5 / 14, 9 / 17]))
+
+
 def test_backoff_covers_unseen_words():
     log = lambda *p: np.log(np.array(p))
     model = langid.Model(["x", "y"], {"known": log(0.9, 0.1)}, {" ab": log(0.8, 0.2), "c": log(0.1, 0.9), " ": log(0.5, 0.5)})
