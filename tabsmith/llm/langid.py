@@ -26,7 +26,7 @@ from tabsmith.session import materialize
 WORDS = 20_000
 GRAMS = 20_000
 LONGEST = 4
-#: Longer words are cut here before they are counted, and words a task counts before it passes counts on.
+#: Longer words are read as consecutive pieces of so many characters, and words a task counts before it passes counts on.
 WORD_CHARS = 24
 PENDING = 200_000
 #: Log price of each step to a shorter n-gram, and of a character never seen.
@@ -39,8 +39,11 @@ ENOUGH = 8
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-case words, without the punctuation and digits at their ends."""
-    return [w for w in (x.strip(_ENDS) for x in text.lower().split()) if w]
+    """Lower-case words, without the punctuation and digits at their ends; long ones in pieces of WORD_CHARS."""
+    words = [w for w in (x.strip(_ENDS) for x in text.lower().split()) if w]
+    if max(map(len, words), default=0) <= WORD_CHARS:
+        return words
+    return [w[i : i + WORD_CHARS] for w in words for i in range(0, len(w), WORD_CHARS)]
 
 
 _ENDS = "0123456789.,;:!?\"'()[]{}<>|*#$%&@^~`+=/\\_-–—…«»“”„‘’¿¡"
@@ -64,7 +67,7 @@ def word_counts(docs: DataFrame, lang: str, text: str) -> DataFrame:
                 by_lang.setdefault(batch.column(0)[i].as_py(), Counter()).update(words_of(batch.column(1)[i].as_py()))
             for lang, own in by_lang.items():
                 for word, n in own.items():
-                    key = (lang, word[:WORD_CHARS])
+                    key = (lang, word)
                     counts[key] = counts.get(key, 0) + n
             if len(counts) > PENDING:
                 yield rows(counts)
@@ -95,7 +98,7 @@ class Model:
 
     def unseen_word(self, word: str) -> np.ndarray:
         """Cover a word by the longest known n-grams from the left; each backoff costs a step."""
-        text, at = f" {word[:WORD_CHARS]} ", 0
+        text, at = f" {word} ", 0
         total, parts = np.zeros(len(self.langs)), 0
         while at < len(text):
             for size in range(min(LONGEST, len(text) - at), 0, -1):
@@ -148,8 +151,6 @@ class Scores(dict):
         self.rows = np.zeros((1024, max(1, len(model.langs))))
 
     def __missing__(self, word: str) -> int:
-        if len(word) > WORD_CHARS:
-            return self[word[:WORD_CHARS]]
         row = self.model.words.get(word)
         if row is None:
             row = self.model.unseen_word(word)
@@ -176,7 +177,7 @@ def predict_one(scores: Scores, text: str | None) -> tuple[str, float]:
     langs = scores.model.langs
     if not text or not langs or not any(map(str.isalpha, text)):
         return "und", 0.0
-    words = words_of(text) or [text.lower()[:WORD_CHARS]]
+    words = words_of(text)
     mean = scores.of(words) * min(len(words), ENOUGH)
     best = int(mean.argmax())
     return langs[best], float(1 / np.exp(mean - mean[best]).sum())

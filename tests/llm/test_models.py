@@ -45,6 +45,16 @@ def test_kept_keys_have_their_counts_in_every_language(frames):
     assert np.allclose(model.words["che"], np.log([0.5 / 14, 9 / 17]))
 
 
+def test_texts_without_spaces_are_read_to_their_end(frames):
+    start, one, two = "xyz" * 8, "kalomi" * 20, "cheunr" * 20
+    model = langid.fit(frames([(1, start + one, "aa", "s"), (2, start + two, "bb", "s")]))
+    assert all(w in model.words for w in langid.words_of(one))
+    texts = [(1, start + one, None, None), (2, start + two, None, None)]
+    got = {x["doc_id"]: x["lang_pred"] for x in langid.predict(frames(texts), model).collect()}
+    assert got == {1: "aa", 2: "bb"}
+    assert "".join(langid.words_of(start + one)) == start + one
+
+
 def test_backoff_covers_unseen_words():
     log = lambda *p: np.log(np.array(p))
     model = langid.Model(["x", "y"], {"known": log(0.9, 0.1)}, {" ab": log(0.8, 0.2), "c": log(0.1, 0.9), " ": log(0.5, 0.5)})
