@@ -12,6 +12,7 @@ round first finds every text's highest window under the present weights and then
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,15 +47,42 @@ RATE = 0.01
 DECAY = 0.02
 #: Tokens a Python worker remembers; windows that go through the network together.
 KEEP = 200_000
+#: Bytes of a token; longer ones are read in parts.
+TOKEN_BYTES = 64
 TOGETHER = 2048
 THRESHOLD = 0.7
 
 _ENDS = "0123456789.,;:!?\"'()[]{}<>|*#$%&@^~`+=/\\_-–—…«»“”„‘’¿¡"
 
 
+_JOINTS = re.compile(r"[.,;:!?|/\\_+=&~*-]+")
+
+
+def tokens(text: str) -> list[str]:
+    """Lower-case words between white space. Those over TOKEN_BYTES are taken apart at punctuation, and what is
+    still longer by length, each piece beginning with the last two characters of the one before, so that every
+    trigram is in one."""
+    words = text.lower().split()
+    if max(map(len, words), default=0) * 4 <= TOKEN_BYTES:
+        return words
+    out = []
+    for word in words:
+        if _bytes(word) <= TOKEN_BYTES:
+            out.append(word)
+            continue
+        for part in filter(None, _JOINTS.split(word)):
+            step = TOKEN_BYTES if part.isascii() else TOKEN_BYTES // 4
+            out += [part[i : i + step] for i in range(0, max(1, len(part) - 2), step - 2)]
+    return out
+
+
+def _bytes(word: str) -> int:
+    return len(word) if word.isascii() else len(word.encode("utf-8", "surrogatepass"))
+
+
 def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all words' byte trigrams (ends marked), and how many each word has."""
-    raw = [b"\x02" + w.encode("utf-8", "surrogatepass")[:64] + b"\x03" for w in words]
+    raw = [b"\x02" + w.encode("utf-8", "surrogatepass") + b"\x03" for w in words]
     flat = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint32)
     sizes = np.fromiter(map(len, raw), np.int64, len(raw))
     code = (flat[:-2] * np.uint32(65_599) + flat[1:-1]) * np.uint32(65_599) + flat[2:]
@@ -243,7 +271,7 @@ class Scorer:
 
         most = 1 << 17
         for text in texts:
-            words = text.lower().split()
+            words = tokens(text)
             cuts = [words] if len(words) <= most else [words[i : i + most + WINDOW] for i in range(0, len(words) - WINDOW, most)]
             parts.append(len(cuts))
             for cut in cuts:
@@ -279,7 +307,7 @@ def train(texts: list[str], toxic: list[int], sample: int = SAMPLE) -> Network:
     number: dict[str, int] = {"": 0}
     ids, held = [], []
     for text in once:
-        own = np.fromiter((number.setdefault(w.strip(_ENDS), len(number)) for w in text.lower().split()), np.int32)
+        own = np.fromiter((number.setdefault(w.strip(_ENDS), len(number)) for w in tokens(text)), np.int32)
         ids.append(own)
         held.append(np.unique(own[own > 0]))
     names, v = list(number), len(number)

@@ -179,6 +179,24 @@ def test_one_bad_word_anywhere_in_a_long_text_is_seen():
         assert scorer.score([text])[0] > max(0.7, base)
 
 
+def test_tokens_cover_long_words():
+    assert toxicity.tokens("A b-c " + "d" * 64) == ["a", "b-c", "d" * 64]
+    for word in ("abcdefghij" * 50, "日本語の文章で" * 40, "é" * 33):
+        pieces = toxicity.tokens(word)
+        assert all(len(p.encode()) <= toxicity.TOKEN_BYTES for p in pieces)
+        assert pieces[0] + "".join(p[2:] for p in pieces[1:]) == word
+    assert toxicity.tokens("x" * 60 + ".grumph-snork") == ["x" * 60, "grumph", "snork"]
+
+
+def test_bad_words_behind_the_start_of_a_long_token_are_seen():
+    rows, labels = toxic_rows()
+    net = toxicity.train([r[1] for r in rows], [y for _, y in labels])
+    scorer = toxicity.Scorer(net)
+    clean = "-".join(next(r[1] for r in rows if r[0] % 4 and len(r[1]) > 300).split()[:20])
+    bad = clean + ".grumph.snork.blarg"
+    assert scorer.score([bad])[0] > max(0.7, scorer.score([clean])[0])
+
+
 def test_windows_cover_and_overlap():
     sizes = np.array([0, 1, 31, 32, 33, 48, 49, 100])
     begins, n = toxicity.windows(sizes)
