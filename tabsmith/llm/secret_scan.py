@@ -1,7 +1,7 @@
 """Secret scans: exact patterns, and a character convolutional network over every candidate.
 
 Candidates are all runs of secret-like characters of some length. For each, the network sees the run
-and the characters around it: embedded characters, one convolution, maximum and mean over places, a
+(a long one in overlapping windows, of which the likeliest counts) and the characters around it: embedded characters, one convolution, maximum and mean over places, a
 hidden layer. It is trained on labelled findings: candidates that a pattern finds are positive, an
 equal share of the others negative. One part of the findings sets the probability scale (a logistic
 fit), another the threshold, which never costs more recall than wanted. Candidates above it
@@ -29,15 +29,20 @@ PATTERNS = [
 ]
 KINDS = {k: i for i, k in enumerate([*(p[0] for p in PATTERNS), "learned"])}
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: Characters seen: of the run itself, and before and after it.
+#: Characters seen: of the run itself, and before and after it. Longer runs are seen in windows, each so far from the last at most.
 RUN = 40
+STRIDE = 20
 BEFORE = 24
 AFTER = 8
 WIDTH = RUN + BEFORE + AFTER
 EMBED = 8
 KERNEL = 5
+#: Where a convolution's places begin and end: in the run, before it, and those that reach the last characters after it.
+PLACES = ((BEFORE, BEFORE + RUN), (0, BEFORE), (BEFORE + RUN, WIDTH - KERNEL + 1))
 FILTERS = 16
 HIDDEN = 16
+#: Characters of a finding that a window of a long run must hold to be one, or the whole finding.
+HELD = 16
 #: Texts, and candidates of either label, that training takes at most.
 SAMPLE_TEXTS = 20_000
 SAMPLE = 3000
@@ -84,17 +89,16 @@ class Network:
         draw = lambda *s: (rng.standard_normal(s) * np.sqrt(2 / s[0])).astype(np.float32)
         return Network({
             "char": (0.3 * rng.standard_normal((128, EMBED))).astype(np.float32), "conv": draw(KERNEL * EMBED, FILTERS),
-            "b1": np.zeros(FILTERS, np.float32), "hid": draw(4 * FILTERS, HIDDEN), "b2": np.zeros(HIDDEN, np.float32),
+            "b1": np.zeros(FILTERS, np.float32), "hid": draw(6 * FILTERS, HIDDEN), "b2": np.zeros(HIDDEN, np.float32),
             "out": draw(HIDDEN), "b3": np.zeros(1, np.float32),
         })
 
     def forward(self, x: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """Logits. Maximum and mean are taken over the run and over its surroundings apart."""
+        """Logits. Maximum and mean are taken over the run, what is before and what is after it apart."""
         p, n, steps = self.p, len(x), WIDTH - KERNEL + 1
         seen = np.lib.stride_tricks.sliding_window_view(p["char"][x], KERNEL, axis=1).transpose(0, 1, 3, 2).reshape(n * steps, -1)
         map_ = np.maximum(seen @ p["conv"] + p["b1"], 0).reshape(n, steps, FILTERS)
-        run, ctx = map_[:, BEFORE : BEFORE + RUN], map_[:, :BEFORE]
-        pooled = np.concatenate([run.max(axis=1), run.mean(axis=1), ctx.max(axis=1), ctx.mean(axis=1)], axis=1)
+        pooled = np.concatenate([f(map_[:, a:b], axis=1) for a, b in PLACES for f in (np.max, np.mean)], axis=1)
         hid = np.maximum(pooled @ p["hid"] + p["b2"], 0)
         if keep is not None:
             keep += [seen, map_, pooled, hid]
@@ -107,7 +111,7 @@ class Network:
         g["hid"], g["b2"] = pooled.T @ d_hid, d_hid.sum(axis=0)
         d_pool = d_hid @ p["hid"].T
         d_map = np.zeros_like(map_)
-        for i, (a, b) in enumerate(((BEFORE, BEFORE + RUN), (0, BEFORE))):
+        for i, (a, b) in enumerate(PLACES):
             part, d_max = map_[:, a:b], d_pool[:, 2 * i * FILTERS : (2 * i + 1) * FILTERS]
             top = part.argmax(axis=1)
             np.put_along_axis(d_map[:, a:b], top[:, None], np.take_along_axis(d_map[:, a:b], top[:, None], 1) + d_max[:, None], 1)
@@ -169,11 +173,37 @@ def train(x: np.ndarray, y: np.ndarray, recall: float = RECALL) -> Network:
     return net
 
 
+def windows(start: int, end: int) -> list[tuple[int, int]]:
+    """Overlapping windows of RUN characters over a run, the last up to its end; a short run is one."""
+    if end - start <= RUN:
+        return [(start, end)]
+    return [(s, s + RUN) for s in [*range(start, end - RUN, STRIDE), end - RUN]]
+
+
+def candidates(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]], list[int]]:
+    """Candidates of a text, all their windows, and how many windows each has."""
+    spans = [m.span() for m in CANDIDATE.finditer(text)]
+    every = [windows(*span) for span in spans]
+    return spans, [w for ws in every for w in ws], [len(ws) for ws in every]
+
+
 def labelled(text: str) -> tuple[list[tuple[int, int]], list[int]]:
-    """Candidates of a text, and whether a pattern's finding covers them."""
+    """Windows of the candidates of a text, and whether they hold a pattern's finding, or enough of one.
+
+    Where a candidate is one window, any touch counts.
+    """
     base = base_spans(text)
-    spans = [m.span() for m in CANDIDATE.finditer(text)]
-    return spans, [int(any(s < e2 and s2 < e for s2, e2, _ in base)) for s, e in spans]
+    begins, reach = [b[0] for b in base], np.maximum.accumulate([b[1] for b in base]).tolist() if base else []
+    _, every, counts = candidates(text)
+    labels = []
+    for (s, e), n in zip(every, [n for n in counts for _ in range(n)]):
+        k, yes = bisect_right(begins, e - 1), 0
+        while k and reach[k - 1] > s and not yes:
+            k -= 1
+            s2, e2, _ = base[k]
+            yes = int(min(e, e2) - max(s, s2) >= (min(HELD, e2 - s2) if n > 1 else 1))
+        labels.append(yes)
+    return every, labels
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", texts: int = SAMPLE_TEXTS, sample: int = SAMPLE) -> Network:
@@ -231,14 +261,16 @@ def scan(docs: DataFrame, net: Network, doc_id: str = "doc_id", text: str = "tex
             net = shared.value
             texts = cols["text"]
             base = [base_spans(t) for t in texts]
-            candidates = [[m.span() for m in CANDIDATE.finditer(t)] for t in texts]
+            found = [candidates(t) for t in texts]
             likely = []
             for i in range(0, len(texts), 512):
-                x = np.concatenate([codes(t, c) for t, c in zip(texts[i : i + 512], candidates[i : i + 512])])
-                likely.append(net.probability(x) >= net.threshold)
+                part = found[i : i + 512]
+                p = net.probability(np.concatenate([codes(t, w) for t, (_, w, _) in zip(texts[i : i + 512], part)]))
+                n = np.array([n for _, _, counts in part for n in counts], np.int64)
+                likely.append((np.maximum.reduceat(p, np.cumsum(n) - n) if len(n) else p) >= net.threshold)
             yes, at = np.concatenate(likely), 0
             out: dict = {"doc_id": cols["doc_id"], "n_assign": [], "n_access": [], "n_hex": [], "base_sha256": [], "spans": [], "n_learned": []}
-            for t, b, c in zip(texts, base, candidates):
+            for t, b, (c, _, _) in zip(texts, base, found):
                 more = added_spans(t, b, c, yes[at : at + len(c)])
                 at += len(c)
                 for kind in ("assign", "access", "hex"):

@@ -113,6 +113,33 @@ def test_network_finds_what_patterns_miss():
     assert hit(fresh) >= 0.5
 
 
+def test_long_runs_are_seen_to_their_end(frames):
+    filler = "/".join(["tion", "ing", "her", "and"] * 8)
+    text = f"see {filler}/token=0123456789abcdef0123 here"
+    every, labels = secret_scan.labelled(text)
+    seen = {i for s, e in every for i in range(s, e)}
+    run = secret_scan.CANDIDATE.search(text)
+    assert seen == set(range(*run.span())) and all(e - s <= secret_scan.RUN for s, e in every)
+    assert labels[0] == 0 and labels[-1] == 1
+
+    r = random.Random(5)
+    hexes = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    plain = lambda n: "/".join(r.choice(["tion", "ing", "her", "and"]) for _ in range(n))
+    texts = [f"see {plain(14)}/token={hexes(30)} here" for _ in range(200)] + [f"other {plain(24)} text" for _ in range(200)]
+    made = [(secret_scan.codes(t, secret_scan.labelled(t)[0]), secret_scan.labelled(t)[1]) for t in texts]
+    net = secret_scan.train(np.concatenate([x for x, _ in made]), np.array([k for _, y in made for k in y], np.float32))
+    new = [(i, f"see {plain(14)}/{hexes(23)}Z here" if i < 20 else f"other {plain(24)} text", "en", "s") for i in range(40)]
+    got = {x["doc_id"]: x["n_learned"] for x in secret_scan.scan(frames(new), net).collect()}
+    assert sum(got[i] for i in range(20)) >= 15 and sum(got[i] for i in range(20, 40)) == 0
+
+
+def test_all_of_the_surroundings_count():
+    net = secret_scan.Network.fresh()
+    x = np.full((2, secret_scan.WIDTH), ord("a"), np.uint8)
+    x[1, -1] = ord("}")
+    assert abs(float(np.subtract(*net.forward(x)))) > 0
+
+
 def test_secret_gradients():
     net = secret_scan.Network.fresh()
     for k in net.p:
