@@ -2,10 +2,10 @@
 
 Candidates are all runs of secret-like characters of some length. For each, the network sees the run
 (a long one in overlapping windows, of which the likeliest counts) and the characters around it: embedded characters, one convolution, maximum and mean over places, a
-hidden layer. It is trained on labelled findings: candidates that a pattern finds are positive, an
-equal share of the others negative. One part of the findings sets the probability scale (a logistic
-fit), another the threshold, which never costs more recall than wanted. Candidates above it
-that no pattern covers are added; what the patterns find always stays.
+hidden layer. It is trained on labelled findings from all texts: windows that a pattern finds are positive,
+others negative, a bounded sample of each kind. One part of it sets the probability scale (a logistic
+fit); all labelled windows that training did not take set the threshold, which never costs more recall
+than wanted. Candidates above it that no pattern covers are added; what the patterns find always stays.
 """
 
 from __future__ import annotations
@@ -13,13 +13,15 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from dataclasses import dataclass
+from functools import reduce
 from hashlib import sha256
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabsmith.llm.common import column, map_batches
+from tabsmith.session import materialize
 
 #: Fixed patterns: kind, pattern, and the least length of the group that counts. In order of listing.
 PATTERNS = [
@@ -43,9 +45,12 @@ FILTERS = 16
 HIDDEN = 16
 #: Characters of a finding that a window of a long run must hold to be one, or the whole finding.
 HELD = 16
-#: Texts, and candidates of either label, that training takes at most.
-SAMPLE_TEXTS = 20_000
+#: Windows of each kind of finding, and of none, that training takes at most.
 SAMPLE = 3000
+#: Windows whose hash leaves so much modulo 10, or more, are kept from training.
+JUDGED = 8
+#: Parts of a unit of log odds in which windows are counted for the threshold.
+BINS = 1000
 EPOCHS = 6
 #: Steps of training at least, so that a small sample is gone through more often.
 STEPS = 400
@@ -124,10 +129,22 @@ class Network:
             np.add.at(g["char"], x[:, k : k + d_seen.shape[1]], d_seen[:, :, k])
         return g
 
-    def probability(self, x: np.ndarray) -> np.ndarray:
+    def odds(self, x: np.ndarray) -> np.ndarray:
+        """Log odds on the probability scale."""
         logits = [self.forward(x[i : i + 256]) for i in range(0, len(x), 256)]
         z = np.concatenate(logits).astype(np.float64) if logits else np.zeros(0)
-        return 1 / (1 + np.exp(-np.clip(self.scale * z + self.shift, -30, 30)))
+        return np.clip(self.scale * z + self.shift, -30, 30)
+
+    def probability(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-self.odds(x)))
+
+    def admit(self, most: float, others: float) -> None:
+        """Set the threshold from the probability that keeps the recall and that of the bulk of the others.
+
+        At most the first; halfway (in log odds) down to the second leaves room for new contexts.
+        """
+        odds = [np.log(q / (1 - q)) for q in np.clip([most, others], 1e-9, 1 - 1e-9)]
+        self.threshold = min(most, max(FLOOR, float(1 / (1 + np.exp(-np.mean(odds))))))
 
 
 def train(x: np.ndarray, y: np.ndarray, recall: float = RECALL) -> Network:
@@ -136,12 +153,22 @@ def train(x: np.ndarray, y: np.ndarray, recall: float = RECALL) -> Network:
     Of ten, seven train, one sets the scale and two the threshold: FLOOR or more, halfway between the
     positives and the bulk of the negatives, but never so high that `recall` of the positives is not kept.
     """
-    net = Network.fresh()
+    order = np.random.default_rng(3).permutation(len(y))
+    learned, scale, judge = np.split(order, [int(0.7 * len(y)), int(0.8 * len(y))])
+    net = learn(x, y, learned, scale)
+    if net is None:
+        return Network.fresh()
+    p, bad = net.probability(x[judge]), y[judge] == 0
+    if not bad.all():
+        net.admit(float(np.quantile(p[~bad], 1 - recall, method="lower")), float(np.quantile(p[bad], 0.99)) if bad.any() else 0.0)
+    return net
+
+
+def learn(x: np.ndarray, y: np.ndarray, fit: np.ndarray, scale: np.ndarray) -> Network | None:
+    """Weights from the rows `fit`, the probability scale from the rows `scale`; None for few rows or one label."""
     if len(y) < 20 or y.min() == y.max():
-        return net
-    rng = np.random.default_rng(3)
-    order = rng.permutation(len(y))
-    fit, scale, judge = np.split(order, [int(0.7 * len(y)), int(0.8 * len(y))])
+        return None
+    net, rng = Network.fresh(), np.random.default_rng(3)
     moment, step = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}, 0
     batches = max(1, len(fit) // 64)
     for _ in range(max(EPOCHS, -(-STEPS // batches))):
@@ -162,14 +189,6 @@ def train(x: np.ndarray, y: np.ndarray, recall: float = RECALL) -> Network:
         move = np.linalg.solve((a * (q * (1 - q))) @ a.T + 2 * np.eye(2), a @ (q - y[scale]) + 2 * (w - [1, 0]))
         w = w - np.clip(move, -0.5, 0.5)
     net.scale, net.shift = float(max(w[0], 0.1)), float(w[1])
-    p, bad = net.probability(x[judge]), y[judge] == 0
-    if bad.all():
-        return net
-    # at most this keeps the recall; halfway (in log odds) down to the bulk of the others leaves room for new contexts
-    most = float(np.quantile(p[~bad], 1 - recall, method="lower"))
-    others = float(np.quantile(p[bad], 0.99)) if bad.any() else 0.0
-    odds = [np.log(q / (1 - q)) for q in np.clip([most, others], 1e-9, 1 - 1e-9)]
-    net.threshold = min(most, max(FLOOR, float(1 / (1 + np.exp(-np.mean(odds))))))
     return net
 
 
@@ -188,52 +207,99 @@ def candidates(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]],
 
 
 def labelled(text: str) -> tuple[list[tuple[int, int]], list[int]]:
-    """Windows of the candidates of a text, and whether they hold a pattern's finding, or enough of one.
+    """Windows of the candidates of a text, and whether they hold a pattern's finding."""
+    every, kinds = with_kinds(text)
+    return every, [int(k > 0) for k in kinds]
+
+
+def with_kinds(text: str) -> tuple[list[tuple[int, int]], list[int]]:
+    """Windows of the candidates of a text, and the pattern (from 1) whose finding they hold, or enough of; 0 for none.
 
     Where a candidate is one window, any touch counts.
     """
     base = base_spans(text)
     begins, reach = [b[0] for b in base], np.maximum.accumulate([b[1] for b in base]).tolist() if base else []
     _, every, counts = candidates(text)
-    labels = []
+    kinds = []
     for (s, e), n in zip(every, [n for n in counts for _ in range(n)]):
         k, yes = bisect_right(begins, e - 1), 0
         while k and reach[k - 1] > s and not yes:
             k -= 1
-            s2, e2, _ = base[k]
-            yes = int(min(e, e2) - max(s, s2) >= (min(HELD, e2 - s2) if n > 1 else 1))
-        labels.append(yes)
-    return every, labels
+            s2, e2, kind = base[k]
+            if min(e, e2) - max(s, s2) >= (min(HELD, e2 - s2) if n > 1 else 1):
+                yes = 1 + KINDS[kind]
+        kinds.append(yes)
+    return every, kinds
 
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", texts: int = SAMPLE_TEXTS, sample: int = SAMPLE) -> Network:
-    """Train on candidates of at most `texts` texts, chosen by a hash, at most `sample` of either label.
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE, recall: float = RECALL) -> Network:
+    """Train on windows of all texts' candidates, at most `sample` of each kind of finding and of none, picked by a hash.
 
-    Equal candidates in equal surroundings count once. An empty table gives a network that adds nothing.
+    Equal windows in equal surroundings count once. All windows not trained on set the threshold; where none of them
+    is positive, all labelled ones do. An empty table gives a network that adds nothing.
     """
 
     def make():
         def run(cols):
-            rows = {"seen": [], "label": [], "order": []}
+            rows = {"seen": [], "kind": [], "order": []}
             for t in cols["text"]:
-                spans, labels = labelled(t)
-                for code, label in zip(codes(t, spans), labels):
+                spans, kinds = with_kinds(t)
+                for code, kind in zip(codes(t, spans), kinds):
                     raw = code.tobytes()
                     rows["seen"].append(raw)
-                    rows["label"].append(label)
+                    rows["kind"].append(kind)
                     rows["order"].append(int.from_bytes(sha256(raw).digest()[:7], "big"))
             return rows
 
         return run
 
-    narrow = docs.select(column(docs, doc_id).alias("doc_id"), column(docs, text).alias("text")).filter(F.col("text").isNotNull())
-    ids = narrow.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(texts)
-    chosen = narrow.join(F.broadcast(ids), "doc_id", "left_semi").select("text")
-    found = map_batches(chosen, "seen binary, label int, order long", make).dropDuplicates(["seen", "label"])
-    picked = [found.filter(F.col("label") == k).orderBy("order", "seen").limit(sample) for k in (0, 1)]
-    rows = sorted((r["order"], r["label"], bytes(r["seen"])) for r in picked[0].unionByName(picked[1]).collect())  # at most 2 samples
+    narrow = docs.select(column(docs, text).alias("text")).filter(F.col("text").isNotNull())
+    found = map_batches(narrow, "seen binary, kind int, order long", make)
+    found = found.groupBy("seen", "order", (F.col("kind") > 0).alias("label")).agg(F.min("kind").alias("kind"))
+    found = materialize(found, "windows")
+    kinds = range(1 + len(PATTERNS))
+    for judged in (F.col("order") % 10 >= JUDGED, F.lit(False)):  # all train where that leaves one label only
+        picked = [found.filter((F.col("kind") == k) & ~judged).orderBy("order", "seen").limit(sample) for k in kinds]
+        rows = sorted((r["order"], r["kind"], bytes(r["seen"])) for r in reduce(DataFrame.unionByName, picked).collect())  # a sample of each kind
+        y = np.array([r[1] > 0 for r in rows], np.float32)
+        if len(y) and y.min() < y.max():
+            break
     x = np.array([np.frombuffer(r[2], np.uint8) for r in rows], np.uint8).reshape(len(rows), WIDTH)
-    return train(x, np.array([r[1] for r in rows], np.float32))
+    net = learn(x, y, *np.split(np.random.default_rng(3).permutation(len(y)), [int(0.875 * len(y))]))
+    if net is None:
+        return Network.fresh()
+    last = [max(own) if len(own := [r[0] for r in rows if r[1] == k]) >= sample else None for k in kinds]
+    beyond = [(F.col("kind") == k) & (F.col("order") > at) for k, at in enumerate(last) if at is not None]
+    counts = _odds_counts(found.filter(reduce(Column.__or__, beyond, judged)), net)
+    if not any(yes for yes, _, _ in counts):
+        counts = _odds_counts(found, net)
+    most = _place(sorted((b, n) for yes, b, n in counts if yes), 1 - recall, np.floor)
+    others = _place(sorted((b + 1, n) for yes, b, n in counts if not yes), 0.99, np.ceil)
+    net.admit(*(1 / (1 + np.exp(-b / BINS)) for b in (most, others)))
+    return net
+
+
+def _odds_counts(found: DataFrame, net: Network) -> list[tuple[bool, int, int]]:
+    """How many windows of either label have their log odds in each bin: at most two times 60 BINS rows."""
+    shared = found.sparkSession.sparkContext.broadcast(net)
+
+    def make():
+        def run(cols):
+            x = np.frombuffer(b"".join(cols["seen"]), np.uint8).reshape(-1, WIDTH)
+            return {"label": cols["label"], "bin": np.floor(shared.value.odds(x) * BINS).astype(np.int64)}
+
+        return run
+
+    bins = map_batches(found.select("seen", "label"), "label boolean, bin long", make)
+    return [tuple(r) for r in bins.groupBy("label", "bin").count().collect()]
+
+
+def _place(counts: list[tuple[int, int]], share: float, whole) -> float:
+    """The bin in which a quantile lies, its place rounded by `whole`; the least log odds without any."""
+    if not counts:
+        return -30.0 * BINS
+    sums = np.cumsum([n for _, n in counts])
+    return float(counts[int(np.searchsorted(sums, whole((sums[-1] - 1) * share), side="right"))][0])
 
 
 def added_spans(text: str, base: list[tuple[int, int, str]], spans: list[tuple[int, int]], likely: np.ndarray) -> list[tuple[int, int, str]]:

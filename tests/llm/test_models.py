@@ -133,6 +133,25 @@ def test_long_runs_are_seen_to_their_end(frames):
     assert sum(got[i] for i in range(20)) >= 15 and sum(got[i] for i in range(20, 40)) == 0
 
 
+def test_threshold_counts_every_finding_not_trained_on(frames, monkeypatch):
+    r = random.Random(6)
+    hexes = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    texts = [f"token = {hexes(36)} and so on" for _ in range(300)] + [f"words {'ting/' * r.randint(4, 7)}{i} on" for i in range(300)]
+    df = frames([(i, t, "en", "s") for i, t in enumerate(texts)])
+    judged, learned = [], []
+    counts, learn = secret_scan._odds_counts, secret_scan.learn
+    monkeypatch.setattr(secret_scan, "_odds_counts", lambda f, net: judged.append(f.count()) or counts(f, net))
+    monkeypatch.setattr(secret_scan, "learn", lambda x, y, *of: learned.append(len(y)) or learn(x, y, *of))
+    net = secret_scan.fit(df, sample=40)
+    assert learned[0] >= 80 and judged[0] + learned[0] == len({secret_scan.codes(t, [s]).tobytes() for t in texts for s in secret_scan.labelled(t)[0]})
+    assert secret_scan.FLOOR <= net.threshold < 1
+    x = np.concatenate([secret_scan.codes(t, secret_scan.labelled(t)[0]) for t in texts[:300]])
+    assert np.mean(net.probability(x) >= net.threshold) >= 0.99
+    # two findings in many texts are enough to be looked for
+    few = secret_scan.fit(frames([(i, t, "en", "s") for i, t in enumerate(texts[298:])]))
+    assert few.threshold <= 1
+
+
 def test_all_of_the_surroundings_count():
     net = secret_scan.Network.fresh()
     x = np.full((2, secret_scan.WIDTH), ord("a"), np.uint8)
