@@ -16,7 +16,7 @@ links, never all pairs. Equal fingerprints are one node throughout.
 Three bits of 64 mean texts that are all but equal. For near copies in the sense of a Jaccard similarity
 of 0.8 over five-word shingles there are wide fingerprints of 256 bits: an angle that 0.8 stands for
 turns about 39 of them. No group of bits is sure to agree then, so keys sample bits, in as many tables
-as keep nineteen of twenty pairs of similarity 0.85; keys that more than ROOMY share
+as let nineteen of twenty pairs of similarity 0.8 meet, whatever the number of texts; keys that more than ROOMY share
 tie what is near to one representative each, and what is not near it meets all members by pairs of blocks.
 """
 
@@ -44,8 +44,8 @@ SEED = 42
 LANES = 4
 WIDE_SHINGLE = 5
 WIDE_RADIUS = 42
-#: Chance that two texts of similarity 0.85 agree in a bit, and expected tables in which such a pair meets.
-AGREE = 0.871
+#: Chance that two texts of similarity 0.8 agree in a bit, and expected tables in which such a pair meets.
+AGREE = 0.8485
 MEETINGS = 3.0
 #: Fingerprints of a block: a key that more share is taken by pairs of blocks.
 BLOCK = 4096
@@ -296,11 +296,16 @@ def link_fingerprints(nodes: DataFrame, radius: int = RADIUS, roomy: int = ROOMY
     return links.unionByName(plain(_block_links(inner, ["at", "cut", "key"], ["fp"], radius)))
 
 
+def tables_for(n: int) -> tuple[int, int]:
+    """Bits of a key and number of tables for n wide fingerprints."""
+    bits = max(12, n.bit_length())
+    return bits, -int(-MEETINGS // AGREE**bits)
+
+
 def wide_links(nodes: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
     """Links (a, b) among different wide fingerprints (columns l0, l1, ...) of at most `radius` differing bits."""
     lanes = [f"l{i}" for i in range(LANES)]
-    bits = max(12, nodes.count().bit_length())
-    tables = -int(-MEETINGS // AGREE**bits)
+    bits, tables = tables_for(nodes.count())
     rng, keys = np.random.default_rng(SEED), []
     for t in range(tables):
         masks = [0] * LANES

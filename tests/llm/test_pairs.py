@@ -109,6 +109,14 @@ def test_near_copies_go_and_others_stay(frames):
     assert sorted(k for k in kept if k is not None) == [*range(60), 2000] and kept.count(None) == 1
 
 
+@pytest.mark.parametrize("n", [100, 10_000, 30_000_000])
+def test_pairs_at_the_bound_meet_at_any_size(n):
+    bits, tables = simhash.tables_for(n)
+    # sets of Jaccard similarity 0.8 have a cosine of 2 * 0.8 / 1.8
+    agree = 1 - np.arccos(1.6 / 1.8) / np.pi
+    assert tables * agree**bits >= 0.999 * simhash.MEETINGS
+
+
 def test_hot_near_copies_by_representative(spark, monkeypatch):
     monkeypatch.setattr(simhash, "ROOMY", 5)
     base = np.random.default_rng(2).integers(0, 2**64, 4, dtype=np.uint64)
