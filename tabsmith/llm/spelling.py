@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from tabsmith.llm.common import column
 from tabsmith.session import materialize
 
-#: Words of one block of the index.
+#: Words of one block of the index, and rows of groups that one task searches.
 BLOCK = 8192
+TASK_ROWS = 50_000
 #: Letters of a word, after A-Z are lower-cased.
 LETTERS = r"a-zÀ-ÿ"
 
@@ -188,7 +189,9 @@ def near_words(vocabulary: DataFrame, block: int = BLOCK) -> DataFrame:
     in code-point order) as near, with near_n."""
     order = ["side", "short", "part", "block", "role"]
     rows = _groups(vocabulary, block).select(*order, "word", "n")
-    dealt = rows.repartition("side", "short", "part", "block").sortWithinPartitions(*order)
+    # the search costs far more than the bytes of its rows tell: tasks are sized by rows
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-4 * vocabulary.count() // TASK_ROWS))
+    dealt = rows.repartition(parts, "side", "short", "part", "block").sortWithinPartitions(*order)
     found = dealt.mapInArrow(_search, "word string, n_near long, near_n long, near string")
     best = F.min(F.struct((-F.col("near_n")).alias("size"), "near")).alias("best")
     return (
