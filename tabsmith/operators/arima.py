@@ -1,9 +1,12 @@
-"""ARIMA(p, d, q) for many series at once by two-stage least squares (Hannan-Rissanen).
+"""ARIMA(p, d, q) for many series at once, by exact maximum likelihood or by two-stage least squares.
 
-A long autoregression estimates the innovations, then values are regressed on their own lags and
-lagged innovations. Both regressions need one set of cross-products per series, summed by Spark;
-lags come from chunked windows, so a series of any length is spread over tasks. Estimates
-approximate maximum likelihood.
+Maximum likelihood: each series is stored as slices of consecutive values. A series of one slice is
+fitted whole by the task that holds it. Longer ones are fitted together: a search on the driver asks
+for the likelihood at several points, and one pass over the slices answers for all series by the
+associative filter scan of `kalman`; only a few numbers a series and point reach the driver.
+
+Two stages (Hannan-Rissanen): a long autoregression estimates the innovations, then values are
+regressed on their own lags and lagged innovations, from one set of cross-products a series.
 """
 
 from __future__ import annotations
@@ -14,8 +17,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabsmith.functions.scalars import number
+from tabsmith.operators import kalman
 from tabsmith.operators.models import gram, unpack
 from tabsmith.operators.slices import broadcast_if_small, join_null_safe, with_history
 from tabsmith.session import materialize
@@ -67,10 +72,210 @@ def _apply(beta: str, xs: list[str]):
     return out
 
 
+#: Values of a series that one task holds, and slices whose elements it joins at a time.
+SLICE_ROWS = 100_000
+FAN = 1024
+
+
+def _likelihood(z: np.ndarray, free: np.ndarray, p: int, q: int, constant: bool) -> kalman.Likelihood:
+    return kalman.likelihood(kalman.element(z, 0, kalman.Filter(*kalman.coefficients(free, p, q))), constant)
+
+
+def _fit_whole(p: int, q: int, constant: bool):
+    """Column function: the values of a whole series to its free numbers, mean, variance and log likelihood."""
+
+    @F.pandas_udf("array<double>")
+    def run(series: pd.Series) -> pd.Series:
+        def one(z):
+            z = np.asarray(z, dtype=float)
+            cost = lambda points: [-_likelihood(z, x, p, q, constant).loglik / len(z) for x in points]
+            free, _ = kalman.solve(kalman.search(np.zeros(p + q)), cost)
+            best = _likelihood(z, free, p, q, constant)
+            return [*free, best.mean, best.sigma2, best.loglik]
+
+        return series.map(one)
+
+    return run
+
+
+def _elements(points: dict[int, list], p: int, q: int):
+    """Column function: (series number, first position, values) to one element for each point of that series."""
+
+    @F.pandas_udf("array<array<double>>")
+    def run(number: pd.Series, start: pd.Series, values: pd.Series) -> pd.Series:
+        def one(i, t, z):
+            z = np.asarray(z, dtype=float)
+            filters = [kalman.Filter(*kalman.coefficients(np.asarray(x), p, q)) for x in points.get(int(i), [])]
+            return [kalman.element(z, int(t), f).numbers() for f in filters]
+
+        return pd.Series([one(*row) for row in zip(number, start, values)])
+
+    return run
+
+
+def _joined(parts: DataFrame, by: list[str], size: int, slices: int) -> DataFrame:
+    """Elements of (by, slice, e) joined in order until one is left for each `by`."""
+    fields = ", ".join(f"{c} int" for c in by)
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("slice")
+        whole = None
+        for e in pdf["e"]:
+            e = kalman.Element.of(e, size)
+            whole = e if whole is None else whole.then(e)
+        head = {c: [pdf[c].iloc[0]] for c in [*by, "block"]}
+        return pd.DataFrame(head | {"e": [whole.numbers()]}).rename(columns={"block": "slice"})
+
+    while True:
+        blocked = parts.withColumn("block", (F.col("slice") / FAN).cast("int"))
+        parts = blocked.groupBy(*by, "block").applyInPandas(join, f"{fields}, slice int, e array<double>")
+        slices = -(-slices // FAN)
+        if slices <= 1:
+            return parts
+
+
+def _start_states(parts: DataFrame, size: int, slices: int) -> DataFrame:
+    """For (number, slice, e): the filter's state before each slice, as a form of (series, ones), flattened."""
+
+    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("slice")
+        at = np.asarray(pdf["before"].iloc[0], dtype=float).reshape(size, 2)
+        out = []
+        for e in pdf["e"]:
+            out.append(at.ravel().tolist())
+            at = kalman.Element.of(e, size).state @ np.vstack([np.eye(2), at])
+        return pd.DataFrame({"number": pdf["number"], "slice": pdf["slice"], "state": out})
+
+    zero = F.array_repeat(F.lit(0.0), 2 * size)
+    blocked = parts.withColumn("block", (F.col("slice") / FAN).cast("int"))
+    if slices <= FAN:
+        blocked = blocked.withColumn("before", zero)
+    else:
+        upper = _joined(parts, ["number"], size, FAN)  # one level: one element a block
+        upper = _start_states(upper, size, -(-slices // FAN))
+        blocked = blocked.join(upper.select("number", F.col("slice").alias("block"), F.col("state").alias("before")), ["number", "block"])
+    return blocked.groupBy("number", "block").applyInPandas(scan, "number int, slice int, state array<double>")
+
+
+def _fit_long(cells: DataFrame, p: int, q: int, constant: bool, slices: int, rows: dict[int, int]):
+    """Fit the series of (number, slice, start, z) together: {number: estimates}, and (number, slice, state)."""
+    size = max(p, q + 1)
+
+    def answers(points: dict[int, list]) -> dict[tuple[int, int], kalman.Likelihood]:
+        found = cells.withColumn("all", _elements(points, p, q)("number", "start", "z"))
+        parts = found.select("number", "slice", F.posexplode("all").alias("point", "e"))
+        whole = _joined(parts, ["number", "point"], size, slices).collect()
+        return {(r["number"], r["point"]): kalman.likelihood(kalman.Element.of(r["e"], size), constant) for r in whole}
+
+    searches = {i: kalman.search(np.zeros(p + q)) for i in rows}
+    asked = {i: next(s) for i, s in searches.items()}
+    final = {}
+    while asked:
+        got = answers({i: [x.tolist() for x in points] for i, points in asked.items()})
+        for i in list(asked):
+            try:
+                asked[i] = searches[i].send([-got[i, k].loglik / rows[i] for k in range(len(asked[i]))])
+            except StopIteration as done:
+                final[i] = done.value[0]
+                del asked[i]
+    points = {i: [x.tolist()] for i, x in final.items()}
+    best = answers(points)
+    estimates = {i: [*final[i].tolist(), b.mean, b.sigma2, b.loglik] for (i, _), b in best.items()}
+    parts = cells.select("number", "slice", _elements(points, p, q)("number", "start", "z")[0].alias("e"))
+    return estimates, _start_states(parts, size, slices)
+
+
+def _errors(p: int, q: int):
+    """Column function: one-step prediction errors of a slice's values."""
+
+    @F.pandas_udf("array<double>")
+    def run(estimates: pd.Series, start: pd.Series, state: pd.Series, values: pd.Series) -> pd.Series:
+        def one(est, t, at, z):
+            ar, ma = kalman.coefficients(np.asarray(est[: p + q]), p, q)
+            f, mean = kalman.Filter(ar, ma), est[p + q]
+            _, forms = kalman.element(np.asarray(z, dtype=float), int(t), f, keep=True)
+            begin = np.asarray(at, dtype=float).reshape(f.size, 2) @ [1.0, -mean] if at is not None else np.zeros(f.size)
+            return (forms[:, 0] - mean * forms[:, 1] + forms[:, 2:] @ begin).tolist()
+
+        return pd.Series([one(*row) for row in zip(estimates, start, state, values)])
+
+    return run
+
+
+def _coefficients(p: int, q: int):
+    """Column function: estimates to const, the AR and the MA coefficients."""
+
+    @F.pandas_udf("array<double>")
+    def run(estimates: pd.Series) -> pd.Series:
+        def one(est):
+            ar, ma = kalman.coefficients(np.asarray(est[: p + q]), p, q)
+            return [float(est[p + q] * (1 - ar.sum())), *ar.tolist(), *ma.tolist()]
+
+        return estimates.map(one)
+
+    return run
+
+
+def _table(n, beta, sigma2, loglik, keys: list[str], p: int, q: int, count: int) -> list:
+    none = F.array().cast("array<double>")
+    return [
+        *keys, n.cast("long").alias("n"), beta[0].alias("const"),
+        (F.slice(beta, 2, p) if p else none).alias("ar"), (F.slice(beta, 2 + p, q) if q else none).alias("ma"),
+        sigma2.alias("sigma2"), (-2 * loglik + 2 * count).alias("aic"), (-2 * loglik + count * F.ln(n)).alias("bic"),
+        beta.alias("beta"),
+    ]
+
+
 def fit(
+    df: DataFrame, keys: list[str], value: str, order: list[str], p: int = 1, d: int = 1, q: int = 1,
+    constant: bool = True, slice_rows: int = SLICE_ROWS,
+) -> tuple[DataFrame, DataFrame]:
+    """(parameters per series, rows with one-step fits) by exact maximum likelihood of the d-th difference.
+
+    Parameters: const, ar, ma, sigma2, aic, bic and the number of fitted rows. `constant` fits the mean
+    of the difference (a drift for d = 1), else it is zero. Rows without a value are left out; a series
+    with at most d values has no row. Results do not depend on `slice_rows` beyond rounding.
+    """
+    ks = keys or ["_all"]
+    src = df if keys else df.withColumn("_all", F.lit(0))
+    z = difference(src, ks, value, order, d).where("z is not null")
+    t = F.col("rn") - d - 1
+    cell = F.struct("rn", *[c for c in order if c not in ks], "x", "z")
+    sliced = z.withColumn("_slice", F.floor(t / slice_rows).cast("int"))
+    cells = materialize(sliced.groupBy(*ks, "_slice").agg(F.array_sort(F.collect_list(cell)).alias("_rows")), "slices")
+    series = materialize(cells.groupBy(*ks).agg(F.max("_slice").alias("_last"), F.sum(F.size("_rows")).alias("_n")), "series")
+    cells = join_null_safe(cells, broadcast_if_small(series), ks)
+    short = cells.where("_last = 0").withColumn("_est", _fit_whole(p, q, constant)(F.col("_rows.z")))
+    fitted = materialize(short.withColumn("_state", F.lit(None).cast("array<double>")), "short")
+    # a long series fills at least one slice, so their number is the rows' divided by slice_rows
+    many = [(*[r[k] for k in ks], i, r["_n"], r["_last"]) for i, r in enumerate(series.where("_last > 0").collect())]
+    if many:
+        schema = T.StructType([*[series.schema[k] for k in ks], T.StructField("number", T.IntegerType())])
+        names = df.sparkSession.createDataFrame([m[:-2] for m in many], schema)
+        own = join_null_safe(cells.where("_last > 0"), broadcast_if_small(names), ks)
+        start = F.col("_slice").cast("long") * slice_rows
+        stored = materialize(own.select("number", F.col("_slice").alias("slice"), start.alias("start"), F.col("_rows.z").alias("z")), "long")
+        found, states = _fit_long(stored, p, q, constant, max(m[-1] for m in many) + 1, {m[-3]: m[-2] for m in many})
+        table = df.sparkSession.createDataFrame(list(found.items()), "number int, _est array<double>")
+        states = states.select("number", F.col("slice").alias("_slice"), F.col("state").alias("_state"))
+        done = own.join(table, "number").join(states, ["number", "_slice"]).select(*fitted.columns)
+        fitted = fitted.unionByName(materialize(done, "long_fits"))
+    est = F.col("_est")
+    first = fitted.where("_slice = 0").withColumn("_beta", _coefficients(p, q)("_est"))
+    count = p + q + int(constant) + 1
+    params = first.select(*_table(F.col("_n"), F.col("_beta"), est[p + q + 1], est[p + q + 2], ks, p, q, count))
+    errors = _errors(p, q)("_est", F.col("_slice").cast("long") * slice_rows, "_state", F.col("_rows.z"))
+    rows = fitted.select(*ks, F.explode(F.arrays_zip(F.col("_rows").alias("r"), errors.alias("e"))).alias("_c"))
+    rows = rows.select(*ks, "_c.r.*", F.col("_c.e").alias("error")).withColumn("fitted", F.col("x") - F.col("error"))
+    drop = [] if keys else ["_all"]
+    return broadcast_if_small(params.drop(*drop)), rows.drop(*drop)
+
+
+def fit_two_stage(
     df: DataFrame, keys: list[str], value: str, order: list[str], p: int = 1, d: int = 1, q: int = 1
 ) -> tuple[DataFrame, DataFrame]:
-    """(parameters per series, rows with one-step fits).
+    """(parameters per series, rows with one-step fits) by two-stage least squares: passes over the rows
+    do not depend on how hard the likelihood is to maximise.
 
     Parameters: const, ar, ma, sigma2, aic, bic and the number of fitted rows.
     """
@@ -93,17 +298,7 @@ def fit(
     n, k = F.col("n"), p + q + 1
     sigma2 = F.greatest(F.col("rss") / n, F.lit(1e-300))
     loglik = -n / 2 * (F.ln(2 * math.pi * sigma2) + 1)
-    params = solved.select(
-        *keys,
-        n.cast("long").alias("n"),
-        F.col("beta")[0].alias("const"),
-        F.slice("beta", 2, p).alias("ar") if p else F.array().cast("array<double>").alias("ar"),
-        F.slice("beta", 2 + p, q).alias("ma") if q else F.array().cast("array<double>").alias("ma"),
-        sigma2.alias("sigma2"),
-        (-2 * loglik + 2 * (k + 1)).alias("aic"),
-        (-2 * loglik + (k + 1) * F.ln(n)).alias("bic"),
-        F.col("beta").alias("beta"),
-    )
+    params = solved.select(*_table(n, F.col("beta"), sigma2, loglik, keys, p, q, k + 1))
     params = broadcast_if_small(params)
     joined = join_null_safe(rows, params.select(*keys, "beta"), keys) if keys else rows.withColumn(
         "beta", params.select("beta").scalar()
