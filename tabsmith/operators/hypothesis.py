@@ -13,6 +13,8 @@ from tabsmith.functions.scalars import number, present
 from tabsmith.functions.tails import chi2_p_value, f_p_value, kolmogorov_p_value, t_p_value
 from tabsmith.operators.association import chi_statistics, correlation_matrix, partial_matrix
 from tabsmith.operators.order_stats import cumulative_counts
+from tabsmith.operators.slices import broadcast_if_small, join_null_safe, with_position
+from tabsmith.session import materialize
 
 
 def _moments(x: Column) -> list[Column]:
@@ -152,8 +154,17 @@ def _blom_scores(df: DataFrame, column: str, block: int = 100_000) -> DataFrame:
     return blocks.select("x", rank, "_total").select("x", m.alias("m"))
 
 
+#: Sample sizes for which the approximation of the p-value holds.
+SHAPIRO_ROWS = (5, 5000)
+
+
 def shapiro_francia(df: DataFrame, column: str) -> DataFrame:
-    """W from Blom scores and Royston's normal approximation of its p-value."""
+    """W' from Blom scores and Royston's normal approximation of its p-value.
+
+    ln(1 - W') is about normal with a mean and a deviation that depend on ln n and ln ln n. The
+    approximation holds for 5 to 5000 rows: beyond, W' is given and p is NULL (`ks_normal` has no such
+    bound).
+    """
     x = number(df, column)
     base = df.agg(F.count(x).cast("double").alias("n"), F.avg(x).alias("mean"), F.var_pop(x).alias("v"))
     scores = _blom_scores(df, column)
@@ -161,18 +172,39 @@ def shapiro_francia(df: DataFrame, column: str) -> DataFrame:
     s = scores.withColumn("_mu", mean).agg(
         F.sum(F.col("m") * (F.col("x") - F.col("_mu"))).alias("mx"), F.sum(F.col("m") * F.col("m")).alias("mm")
     )
-    t = base.withColumn("_s", s.select(F.struct("*")).scalar())
+    return _royston(base.withColumn("_s", s.select(F.struct("*")).scalar()), [])
+
+
+def shapiro_francia_by(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """`shapiro_francia` for each key: keys, n, w, p. Ranks within a key are counted over slices of the
+    values, so a key of any size is spread over tasks."""
+    rows = df.select(*keys, number(df, column).alias("x"), F.monotonically_increasing_id().alias("_row")).where("x is not null")
+    ranked = with_position(materialize(rows, "ranks"), keys, ["x", "_row"], "_i")
+    base = rows.groupBy(*keys).agg(F.count("x").cast("double").alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("v"))
+    base = materialize(base, "moments")
+    t = join_null_safe(ranked, broadcast_if_small(base.select(*keys, "n", "mean")), keys)
+    m = coarse_quantile((F.col("_i") - 0.375) / (F.col("n") + 0.25))
+    sums = t.withColumn("_m", m).groupBy(*keys).agg(
+        F.struct(F.sum(F.col("_m") * (F.col("x") - F.col("mean"))).alias("mx"), F.sum(F.col("_m") * F.col("_m")).alias("mm")).alias("_s")
+    )
+    return _royston(join_null_safe(base, sums, keys), keys)
+
+
+def _royston(t: DataFrame, keys: list[str]) -> DataFrame:
+    """From n, v and the score sums _s to W' and its p-value."""
     n = F.col("n")
     # The scores sum to zero, so centring x leaves the product unchanged and is better behaved.
     w = F.least(F.lit(1.0), F.try_divide(F.col("_s.mx") * F.col("_s.mx") / F.col("_s.mm"), n * F.col("v")))
     w = F.when(F.col("v") > 0, w).otherwise(F.lit(1.0))
-    # Royston's published coefficients.
-    mu = -1.2725 + 1.0521 * F.ln(n)
-    sigma = 1.0308 - 0.26763 * F.ln(n)
-    t = t.where(n >= 3).select("n", w.alias("w"), mu.alias("_m"), sigma.alias("_sd"))
+    # Royston's approximation (1993) for samples of 5 to 5000.
+    log = F.ln(n)
+    mu = -1.2725 + 1.0521 * (F.ln(log) - log)
+    sigma = 1.0308 - 0.26758 * (F.ln(log) + 2 / log)
+    t = t.where(n >= 3).select(*keys, "n", w.alias("w"), mu.alias("_m"), sigma.alias("_sd"))
     z = (F.ln(1 - F.col("w")) - F.col("_m")) / F.col("_sd")
     p = F.when(F.col("w") >= 1, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - coarse_cdf(z))))
-    return t.select(F.col("n").cast("long").alias("n"), "w", p.alias("p"))
+    p = F.when(F.col("n").between(*SHAPIRO_ROWS), p)
+    return t.select(*keys, F.col("n").cast("long").alias("n"), "w", p.alias("p"))
 
 
 def ks_normal(df: DataFrame, column: str) -> DataFrame:

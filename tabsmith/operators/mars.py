@@ -20,7 +20,13 @@ from tabsmith.operators.order_stats import quantile_values
 from tabsmith.session import materialize
 
 RIDGE = 1e-8
+#: Shares of the target's variation: the least gain of a forward step, what counts as a better candidate,
+#: and the residual below which a fit is exact (there, sums differ by rounding only).
 MIN_GAIN = 1e-6
+BETTER = 1e-9
+EXACT = 1e-9
+#: Share of its own variation that a basis column must add to those before it.
+INDEPENDENT = 1e-10
 
 
 @dataclass
@@ -153,8 +159,16 @@ def fit(
     df: DataFrame, target: str, features: list[str], max_terms: int = 11, interaction: int = 2,
     penalty: float = 3.0, knots_per_feature: int = 20,
 ) -> Mars:
-    """Forward selection of hinge pairs, then backward pruning by GCV."""
-    data = materialize(df.select(*[number(df, c).alias(c) for c in [*features, target]]).dropna(), "mars")
+    """Forward selection of hinge pairs, then backward pruning by GCV.
+
+    The target is centred first and all thresholds are shares of its variation, so that terms do not
+    depend on the order in which partial sums are added. A constant target gives no terms.
+    """
+    data = df.select(*[number(df, c).alias(c) for c in [*features, target]]).dropna()
+    mean = data.agg(F.avg(target)).first()[0]
+    if mean is None:
+        raise ValueError("no complete rows to fit")
+    data = materialize(data.withColumn(target, F.col(target) - F.lit(mean)), "mars")
     grid = knots(data, features, knots_per_feature)
     model = Mars(features)
     terms = model.terms
@@ -171,14 +185,12 @@ def fit(
                     (parent, f, k) for f in range(len(features)) if f not in taken for k in grid[f]
                 ]
         sums = _collect_sums(data, features, target, terms, candidates)
-        if -1 not in sums:
-            raise ValueError("no complete rows to fit")
         m = len(terms) + 1
         g = sums[-1].reshape(m + 1, m + 1)
         base, xy, yy, n = g[:m, :m], g[:m, m], g[m, m], int(round(g[0, 0]))
         if best_rss is None:
             best_rss = _rss(base, xy, yy)
-        choice = None
+        choice, found = None, best_rss
         for i, cand in enumerate(candidates):
             s = sums[i].reshape(2, m + 2)
             big = np.zeros((m + 2, m + 2))
@@ -188,34 +200,64 @@ def fit(
             big[m, m], big[m + 1, m + 1] = s[0, -1], s[1, -1]
             if s[0, -1] <= 0 and s[1, -1] <= 0:
                 continue
-            rss = _rss(big, np.concatenate([xy, s[:, m]]), yy)
-            if rss < best_rss - MIN_GAIN * max(1.0, best_rss):
-                best_rss, choice = rss, cand
-        if choice is None:
+            rss = max(_rss(big, np.concatenate([xy, s[:, m]]), yy), EXACT * yy)
+            if rss < found - BETTER * yy:
+                found, choice = rss, cand
+        if choice is None or found > best_rss - MIN_GAIN * yy:
             break
+        best_rss = found
         parent, f, k = choice
         stem = list(terms[parent - 1]) if parent else []
         terms.append([*stem, Hinge(f, k, 1)])
         terms.append([*stem, Hinge(f, k, -1)])
-    return _prune(model, base, xy, yy, n, penalty)
+    model = _prune(model, base, xy, yy, n, penalty)
+    model.intercept += mean
+    return model
+
+
+def _independent(g: np.ndarray) -> list[int]:
+    """Columns of a centred Gram matrix that vary beyond what the kept ones before them explain."""
+    keep: list[int] = []
+    for j in range(len(g)):
+        own = left = g[j, j]
+        if keep and own > 0:
+            part = np.linalg.lstsq(g[np.ix_(keep, keep)], g[keep, j], rcond=None)[0]
+            left = own - part @ g[keep, j]
+        if own > 0 and left > INDEPENDENT * own:
+            keep.append(j)
+    return keep
 
 
 def _prune(model: Mars, g: np.ndarray, r: np.ndarray, yy: float, n: int, penalty: float) -> Mars:
-    keep = list(range(len(g)))
+    """Drop terms, the least useful first, while GCV does not rise; a residual below EXACT counts as EXACT,
+    so that terms which add only rounding go."""
+    mean = g[0, 1:] / n
+    scale = np.sqrt(np.maximum(np.diag(g)[1:], 1e-300))
+    centred = g[1:, 1:] - np.outer(mean, mean) * n
+    flat = np.diag(centred) <= INDEPENDENT * scale**2
+    c = centred / np.outer(scale, scale)
+    c[flat, :] = c[:, flat] = 0.0
+    y = (r[1:] - mean * r[0]) / scale
+    all_ = max(yy - r[0] ** 2 / n, 0.0)
+
+    def solve(idx: list[int]) -> np.ndarray:
+        return np.linalg.lstsq(c[np.ix_(idx, idx)], y[idx], rcond=None)[0] if idx else np.zeros(0)
 
     def score(idx: list[int]) -> float:
-        return gcv(_rss(g[np.ix_(idx, idx)], r[idx], yy), n, len(idx), penalty)
+        rss = max(all_ - float(solve(idx) @ y[idx]), EXACT * all_)
+        return gcv(rss, n, len(idx) + 1, penalty)
 
+    keep = _independent(c)
     best = score(keep)
-    while len(keep) > 1:
-        trials = [(score([k for k in keep if k != j]), j) for j in keep if j != 0]
-        value, drop = min(trials)
-        if value >= best:
+    while keep:
+        value, drop = min((score([k for k in keep if k != j]), j) for j in keep)
+        if value > best:
             break
         best, keep = value, [k for k in keep if k != drop]
-    beta = _solve(g[np.ix_(keep, keep)], r[keep])
-    model.terms = [model.terms[k - 1] for k in keep[1:]]
-    model.intercept, model.coefficients = float(beta[0]), [float(b) for b in beta[1:]]
+    beta = solve(keep) / scale[keep]
+    model.terms = [model.terms[k] for k in keep]
+    model.coefficients = [float(b) for b in beta]
+    model.intercept = float(r[0] / n - beta @ mean[keep])
     model.gcv = best
     return model
 

@@ -101,7 +101,7 @@ def insights(df: DataFrame) -> DataFrame:
     level = F.when(cpk < 1.33, "insufficient or marginal").otherwise("excellent")
     out = df.withColumns({"spread_insight": spread, "level_insight": level})
     if "p" in df.columns:
-        out = out.withColumn("shape_insight", F.when(F.col("p") > 0.05, "").otherwise("not normal"))
+        out = out.withColumn("shape_insight", F.when(F.col("p") > 0.05, "").when(F.col("p").isNull(), "not tested").otherwise("not normal"))
     return out
 
 

@@ -12,7 +12,7 @@ from tabsmith.operators import (
 from tabsmith.session import materialize, scratch_path
 from workload.base import GAPPY, KEY_SQL, ROW_KEY, query, quantile_sql, t_two_sided_sql
 from workload.preparation import DERIVED, derived, rounded
-from workload.statistics import SHAPIRO_SQL
+from workload.statistics import shapiro_sql
 
 # --- capability -----------------------------------------------------------------------------
 
@@ -77,10 +77,10 @@ def spc_sigma_level(t):
     return capability(t).select("event_type", "yield", "sigma_level")
 
 
-@query("spc_normality", f"SELECT *, p > 0.05 AS is_normal FROM ({SHAPIRO_SQL})")
+@query("spc_normality", f"SELECT *, p > 0.05 AS is_normal FROM ({shapiro_sql('event_type')})")
 def spc_normality(t):
-    """Shapiro-Francia over the whole column; `is_normal` at p > 0.05."""
-    w = rounded(hypothesis.shapiro_francia(t.events, "value"), 5, "w", "p")
+    """Shapiro-Francia for each type of event; `is_normal` at p > 0.05, NULL beyond 5000 rows."""
+    w = rounded(hypothesis.shapiro_francia_by(t.events, ["event_type"], "value"), 5, "w", "p")
     return w.withColumn("is_normal", F.col("p") > 0.05)
 
 

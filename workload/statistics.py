@@ -581,11 +581,17 @@ def coarse_quantile_sql(p: str) -> str:
     return f"CASE WHEN {p} < 0.5 THEN -{z} ELSE {z} END"
 
 
-SHAPIRO_SQL = f"""WITH r AS (SELECT v, row_number() OVER (ORDER BY v) AS i, count(*) OVER () AS n FROM (SELECT value AS v FROM events)),
-      m AS (SELECT v, n, {coarse_quantile_sql('((i - 0.375) / (n + 0.25))')} AS m FROM r),
-      s AS (SELECT any_value(n) AS n, least(1, pow(sum(m * v), 2) / sum(m * m) / (var_pop(v) * count(*))) AS w FROM m),
-      z AS (SELECT *, (ln(1 - w) - (-1.2725 + 1.0521 * ln(n))) / (1.0308 - 0.26763 * ln(n)) AS z FROM s)
-      SELECT n, round(w, 5) AS w, round({coarse_cdf_sql('-z')}, 5) AS p FROM z"""
+def shapiro_sql(key: str = "") -> str:
+    """W' and p over all events, or for each value of `key`."""
+    by, of, lead = (f"PARTITION BY {key} ", f" GROUP BY {key}", f"{key}, ") if key else ("", "", "")
+    return f"""WITH r AS (SELECT {lead}value AS v, row_number() OVER ({by}ORDER BY value) AS i, count(*) OVER ({by.strip()}) AS n FROM events),
+      m AS (SELECT {lead}v, n, {coarse_quantile_sql('((i - 0.375) / (n + 0.25))')} AS m FROM r),
+      s AS (SELECT {lead}any_value(n) AS n, least(1, pow(sum(m * v), 2) / sum(m * m) / (var_pop(v) * count(*))) AS w FROM m{of}),
+      z AS (SELECT *, (ln(1 - w) - (-1.2725 + 1.0521 * (ln(ln(n)) - ln(n)))) / (1.0308 - 0.26758 * (ln(ln(n)) + 2 / ln(n))) AS z FROM s)
+      SELECT {lead}n, round(w, 5) AS w, CASE WHEN n BETWEEN 5 AND 5000 THEN round({coarse_cdf_sql('-z')}, 5) END AS p FROM z"""
+
+
+SHAPIRO_SQL = shapiro_sql()
 
 
 @query("shapiro_francia", SHAPIRO_SQL)
