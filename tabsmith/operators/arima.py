@@ -75,10 +75,16 @@ def _apply(beta: str, xs: list[str]):
 #: Values of a series that one task holds, and slices whose elements it joins at a time.
 SLICE_ROWS = 100_000
 FAN = 1024
+#: Gain in log likelihood below which a search ends.
+GAIN = 1e-5
 
 
-def _likelihood(z: np.ndarray, free: np.ndarray, p: int, q: int, constant: bool) -> kalman.Likelihood:
-    return kalman.likelihood(kalman.element(z, 0, kalman.Filter(*kalman.coefficients(free, p, q))), constant)
+def _filters(points: list, p: int, q: int) -> list[kalman.Filter]:
+    return [kalman.Filter(*kalman.coefficients(np.asarray(x, dtype=float), p, q)) for x in points]
+
+
+def _likelihoods(z: np.ndarray, points: list, p: int, q: int, constant: bool) -> list[kalman.Likelihood]:
+    return [kalman.likelihood(e, constant) for e in kalman.elements(z, 0, _filters(points, p, q))]
 
 
 def _fit_whole(p: int, q: int, constant: bool):
@@ -88,9 +94,9 @@ def _fit_whole(p: int, q: int, constant: bool):
     def run(series: pd.Series) -> pd.Series:
         def one(z):
             z = np.asarray(z, dtype=float)
-            cost = lambda points: [-_likelihood(z, x, p, q, constant).loglik / len(z) for x in points]
-            free, _ = kalman.solve(kalman.search(np.zeros(p + q)), cost)
-            best = _likelihood(z, free, p, q, constant)
+            cost = lambda points: [-x.loglik / len(z) for x in _likelihoods(z, points, p, q, constant)]
+            free, _ = kalman.solve(kalman.search(np.zeros(p + q), GAIN / len(z)), cost)
+            best = _likelihoods(z, [free], p, q, constant)[0]
             return [*free, best.mean, best.sigma2, best.loglik]
 
         return series.map(one)
@@ -105,8 +111,7 @@ def _elements(points: dict[int, list], p: int, q: int):
     def run(number: pd.Series, start: pd.Series, values: pd.Series) -> pd.Series:
         def one(i, t, z):
             z = np.asarray(z, dtype=float)
-            filters = [kalman.Filter(*kalman.coefficients(np.asarray(x), p, q)) for x in points.get(int(i), [])]
-            return [kalman.element(z, int(t), f).numbers() for f in filters]
+            return [e.numbers() for e in kalman.elements(z, int(t), _filters(points.get(int(i), []), p, q))]
 
         return pd.Series([one(*row) for row in zip(number, start, values)])
 
@@ -167,7 +172,7 @@ def _fit_long(cells: DataFrame, p: int, q: int, constant: bool, slices: int, row
         whole = _joined(parts, ["number", "point"], size, slices).collect()
         return {(r["number"], r["point"]): kalman.likelihood(kalman.Element.of(r["e"], size), constant) for r in whole}
 
-    searches = {i: kalman.search(np.zeros(p + q)) for i in rows}
+    searches = {i: kalman.search(np.zeros(p + q), GAIN / rows[i]) for i in rows}
     asked = {i: next(s) for i, s in searches.items()}
     final = {}
     while asked:
@@ -191,9 +196,8 @@ def _errors(p: int, q: int):
     @F.pandas_udf("array<double>")
     def run(estimates: pd.Series, start: pd.Series, state: pd.Series, values: pd.Series) -> pd.Series:
         def one(est, t, at, z):
-            ar, ma = kalman.coefficients(np.asarray(est[: p + q]), p, q)
-            f, mean = kalman.Filter(ar, ma), est[p + q]
-            _, forms = kalman.element(np.asarray(z, dtype=float), int(t), f, keep=True)
+            (f,), mean = _filters([est[: p + q]], p, q), est[p + q]
+            forms = kalman.innovations(np.asarray(z, dtype=float), int(t), f)
             begin = np.asarray(at, dtype=float).reshape(f.size, 2) @ [1.0, -mean] if at is not None else np.zeros(f.size)
             return (forms[:, 0] - mean * forms[:, 1] + forms[:, 2:] @ begin).tolist()
 
@@ -245,7 +249,9 @@ def fit(
     cells = materialize(sliced.groupBy(*ks, "_slice").agg(F.array_sort(F.collect_list(cell)).alias("_rows")), "slices")
     series = materialize(cells.groupBy(*ks).agg(F.max("_slice").alias("_last"), F.sum(F.size("_rows")).alias("_n")), "series")
     cells = join_null_safe(cells, broadcast_if_small(series), ks)
-    short = cells.where("_last = 0").withColumn("_est", _fit_whole(p, q, constant)(F.col("_rows.z")))
+    # fitting costs far more than the bytes of a series tell: spread them by number
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    short = cells.where("_last = 0").repartition(parts, *ks).withColumn("_est", _fit_whole(p, q, constant)(F.col("_rows.z")))
     fitted = materialize(short.withColumn("_state", F.lit(None).cast("array<double>")), "short")
     # a long series fills at least one slice, so their number is the rows' divided by slice_rows
     many = [(*[r[k] for k in ks], i, r["_n"], r["_last"]) for i, r in enumerate(series.where("_last > 0").collect())]

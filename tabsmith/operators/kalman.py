@@ -19,7 +19,7 @@ import numpy as np
 #: Rows of a block that is filtered by matrix products once the gains stand still.
 BLOCK = 256
 #: Relative change of the covariance below which gains stand still, and steps after which they do anyway.
-STILL, MOST_STEPS = 1e-13, 20_000
+STILL, MOST_STEPS = 1e-11, 20_000
 
 
 def coefficients(free: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +55,7 @@ class Filter:
     ar: np.ndarray
     ma: np.ndarray
     variances: list[float] = field(default_factory=list)
-    gains: list[np.ndarray] = field(default_factory=list)
+    gains: list[list[float]] = field(default_factory=list)
     still: int | None = None
 
     def __post_init__(self):
@@ -64,27 +64,30 @@ class Filter:
         self.move[: len(self.ar), 0] = self.ar
         self.move[:-1, 1:] = np.eye(r - 1)
         shock = np.concatenate([[1.0], self.ma, np.zeros(r - 1 - len(self.ma))])
-        self.noise = np.outer(shock, shock)
+        noise = np.outer(shock, shock)
         lift = np.eye(r * r) - np.kron(self.move, self.move)
-        self._cover = np.linalg.solve(lift, self.noise.ravel()).reshape(r, r)
-
-    def at(self, t: int) -> tuple[float, np.ndarray]:
-        while self.still is None and len(self.variances) <= t:
-            cover = self._cover
-            f = max(float(cover[0, 0]), 1e-300)
-            gain = self.move @ cover[:, 0] / f
+        self._noise, self._cover = noise.tolist(), np.linalg.solve(lift, noise.ravel()).reshape(r, r).tolist()
+
+    def upto(self, t: int) -> int:
+        """Work out the gains of positions before `t`; the number known (the last holds for all later ones)."""
+        first, r, cover, noise = self.move[:, 0].tolist(), self.size, self._cover, self._noise
+        places = range(r)
+        while self.still is None and len(self.variances) < t:
+            f = max(cover[0][0], 1e-300)
+            ahead = [[first[i] * cover[0][j] + (cover[i + 1][j] if i + 1 < r else 0.0) for j in places] for i in places]
+            gain = [ahead[i][0] / f for i in places]
             self.variances.append(f)
             self.gains.append(gain)
-            new = self.move @ cover @ self.move.T - np.outer(gain, gain) * f + self.noise
-            self._cover = (new + new.T) / 2
-            if np.abs(self._cover - cover).max() <= STILL * max(1.0, f) or len(self.variances) >= MOST_STEPS:
+            new = [
+                [ahead[i][0] * (first[j] - gain[j]) + (ahead[i][j + 1] if j + 1 < r else 0.0) + noise[i][j] for j in places]
+                for i in places
+            ]
+            change = max(abs(new[i][j] - cover[i][j]) for i in places for j in range(i + 1))
+            cover = [[(new[i][j] + new[j][i]) / 2 for j in places] for i in places]
+            if change <= STILL * max(1.0, f) or len(self.variances) >= MOST_STEPS:
                 self.still = len(self.variances) - 1
-        k = t if self.still is None else min(t, self.still)
-        return self.variances[k], self.gains[k]
-
-    def stands_at(self, t: int) -> bool:
-        self.at(t)
-        return self.still is not None and t >= self.still
+        self._cover = cover
+        return len(self.variances)
 
 
 @dataclass
@@ -125,24 +128,48 @@ def _blocks(f: Filter, gain: np.ndarray, m: int):
     return step, reach, push, lower
 
 
-def element(z: np.ndarray, start: int, f: Filter, keep: bool = False):
-    """The element of consecutive rows z that begin at position `start`; with `keep` also the innovations
-    as (rows x (2 + r)) forms of (series, ones, start state)."""
-    r, n = f.size, len(z)
-    state = np.hstack([np.zeros((r, 2)), np.eye(r)])
-    squares, logs, i, kept = np.zeros((r + 2, r + 2)), 0.0, 0, []
-    while i < n and not f.stands_at(start + i):
-        variance, gain = f.at(start + i)
-        v = -state[0]
-        v[0] += z[i]
-        v[1] += 1.0
-        squares += np.outer(v, v) / variance
-        logs += np.log(variance)
-        state = f.move @ state + np.outer(gain, v)
-        kept.append(v[None, :])
-        i += 1
+def _moving(z: np.ndarray, start: int, filters: list[Filter]):
+    """The rows of z during which some gains still move, for all filters in one loop: forms (rows x filters x
+    (2 + r)) and end states. Once a filter's gains stand still its last ones hold."""
+    r, n = filters[0].size, len(z)
+    known = [f.upto(start + n) for f in filters]
+    moving = max(0, min(n, max(known) - start))
+    last = [np.minimum(np.arange(start, start + moving), k - 1) for k in known]
+    variances = np.array([np.array(f.variances)[k] for f, k in zip(filters, last)])
+    gains = np.array([np.array(f.gains)[k] for f, k in zip(filters, last)]).reshape(len(filters), moving, r).transpose(1, 0, 2)[..., None]
+    moves = np.array([f.move for f in filters])
+    state = np.broadcast_to(np.hstack([np.zeros((r, 2)), np.eye(r)]), (len(filters), r, r + 2))
+    forms = np.empty((moving, len(filters), 1, r + 2))
+    for v, value, gain in zip(forms, z.tolist(), gains):
+        np.negative(state[:, :1], out=v)
+        v[:, 0, 0] += value
+        v[:, 0, 1] += 1.0
+        state = moves @ state + gain * v
+    return forms[:, :, 0], variances.reshape(len(filters), moving), state
+
+
+def elements(z: np.ndarray, start: int, filters: list[Filter]) -> list[Element]:
+    """The elements of consecutive rows z that begin at position `start`, for filters of one size."""
+    if not filters:
+        return []
+    forms, variances, states = _moving(z, start, filters)
+    return [_rest(z, f, forms[:, k], variances[k], states[k])[0] for k, f in enumerate(filters)]
+
+
+def innovations(z: np.ndarray, start: int, f: Filter) -> np.ndarray:
+    """The innovations of the rows as (rows x (2 + r)) forms of (series, ones, start state)."""
+    forms, variances, states = _moving(z, start, [f])
+    kept = _rest(z, f, forms[:, 0], variances[0], states[0], keep=True)[1]
+    return np.vstack(kept)
+
+
+def _rest(z: np.ndarray, f: Filter, forms: np.ndarray, variances: np.ndarray, state: np.ndarray, keep: bool = False):
+    """Go on from the moving rows, in blocks by matrix products."""
+    n, i = len(z), len(forms)
+    squares, logs = forms.T @ (forms / variances[:, None]), float(np.log(variances).sum())
+    kept = [forms]
     if i < n:
-        variance, gain = f.at(start + i)
+        variance, gain = f.variances[-1], np.array(f.gains[-1])
         m = min(BLOCK, n - i)
         step, reach, push, lower = _blocks(f, gain, m)
         leap = np.linalg.matrix_power(step, m)
@@ -172,8 +199,7 @@ def element(z: np.ndarray, start: int, f: Filter, keep: bool = False):
             if keep:
                 kept.append(v)
         logs += (n - i) * np.log(variance)
-    out = Element(state, squares, logs, n)
-    return (out, np.vstack(kept) if kept else np.zeros((0, r + 2))) if keep else out
+    return Element(state, squares, logs, n), kept
 
 
 @dataclass
@@ -197,11 +223,11 @@ STEPS = (1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 1e-3)
 WIDTH = 1e-4
 
 
-def search(x: np.ndarray, most: int = 60, gain: float = 1e-10) -> Generator[list[np.ndarray], list[float], tuple[np.ndarray, float]]:
+def search(x: np.ndarray, gain: float = 1e-10, most: int = 60) -> Generator[list[np.ndarray], list[float], tuple[np.ndarray, float]]:
     """Quasi-Newton minimisation as a coroutine: it yields points and is sent their values.
 
     All points of a round can be evaluated together, by one pass over the data; several searches can
-    share the pass.
+    share the pass. It ends when a round lowers the value by less than `gain`.
     """
     k = len(x)
     (best,) = yield [x]

@@ -40,7 +40,7 @@ def test_elements_join_to_the_sequential_filter(ar, ma):
     for cuts in ([0, 1500], [0, 1, 2, 300, 301, 1100, 1500]):
         whole = None
         for a, b in zip(cuts, cuts[1:]):
-            e = kalman.Element.of(kalman.element(z[a:b], a, kalman.Filter(np.array(ar), np.array(ma))).numbers(), f.size)
+            e = kalman.Element.of(kalman.elements(z[a:b], a, [kalman.Filter(np.array(ar), np.array(ma))])[0].numbers(), f.size)
             whole = e if whole is None else whole.then(e)
         got = kalman.likelihood(whole, True)
         want, s2, _ = plain_loglik(z, np.array(ar), np.array(ma), got.mean)

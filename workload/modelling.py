@@ -699,7 +699,7 @@ def mars_(t):
 
 @query("arima")
 def arima_(t):
-    params, fitted = arima.fit(t.events, ["event_type"], "value", ORDER, 1, 1, 1)
+    params, fitted = arima.fit(t.events, ["event_type"], "value", ORDER, 1, 1, 1, constant=False)
     f = arima.forecast(params, fitted, ["event_type"], 1, 1, 1, 10)
     return f.groupBy("event_type").agg(
         F.array_sort(F.collect_list(F.struct("step", "forecast"))).alias("forecast")
