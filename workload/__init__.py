@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("preparation", "shaping", "measures", "statistics", "modelling", "streams")
+MODULES = ("preparation", "shaping", "measures", "statistics", "modelling", "tuning", "streams")
 
 
 def _load():

@@ -477,16 +477,6 @@ def model_facts(t, build, least: float = 0.95):
     return m.select("part", "n", (F.col("r2") > least).alias("good"), F.lit(strongest).alias("strongest"))
 
 
-@query("ridge", FACTS)
-def ridge(t):
-    return model_facts(t, lambda train: models.ridge(train.count(), 1.0))
-
-
-@query("lasso", FACTS)
-def lasso(t):
-    return model_facts(t, lambda train: models.lasso(0.5))
-
-
 @query("ridge_coefficients")
 def ridge_coefficients(t):
     return coefs_and_metrics(t, lambda train: models.ridge(train.count(), 1.0))
@@ -507,22 +497,6 @@ def gbt_regression_lgbm(t):
     return model_facts(t, lambda _: models.gbt_lgbm_preset(), 0.9)
 
 
-@query("cross_validate")
-def cross_validate(t):
-    train, _, _ = regression_data(t)
-    return models.cross_validate(features.split_kfold(train, SPLIT_KEY, 3), models.ridge(train.count(), 1.0), "fold", 3)
-
-
-@query("auto_tune")
-def auto_tune(t):
-    train, _, _ = regression_data(t)
-    folded = features.split_kfold(train, SPLIT_KEY, 5)
-    n = train.count()
-    grid = {"regParam": [a / n for a in (0.01, 0.1, 1.0, 10.0, 100.0)]}
-    _, scores = models.auto_tune(folded, models.ridge(n, 1.0), grid, 5, fold="fold")
-    return scores
-
-
 @query("replace_importance")
 def replace_importance(t):
     train, test, names = regression_data(t)
