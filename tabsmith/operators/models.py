@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import (
@@ -14,7 +12,7 @@ from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import (
-    DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor,
+    DecisionTreeRegressor, LinearRegression, RandomForestRegressor,
 )
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
@@ -108,22 +106,6 @@ def rf_regression(trees: int = 100, depth: int = 8) -> RandomForestRegressor:
     return RandomForestRegressor(featuresCol=FEATURES, labelCol="label", numTrees=trees, maxDepth=depth, seed=SEED)
 
 
-def gbt_xgb_preset(rounds: int = 100, eta: float = 0.1, depth: int = 6, subsample: float = 0.8) -> GBTRegressor:
-    return GBTRegressor(
-        featuresCol=FEATURES, labelCol="label", maxIter=rounds, stepSize=eta, maxDepth=depth,
-        subsamplingRate=subsample, seed=SEED,
-    )
-
-
-def gbt_lgbm_preset(
-    rounds: int = 120, eta: float = 0.05, leaves: int = 31, feature_fraction: float = 0.8
-) -> GBTRegressor:
-    return GBTRegressor(
-        featuresCol=FEATURES, labelCol="label", maxIter=rounds, stepSize=eta,
-        maxDepth=math.ceil(math.log2(leaves)), featureSubsetStrategy=str(feature_fraction), seed=SEED,
-    )
-
-
 def logistic(rows: int, c: float = 1.0, max_iter: int = 100) -> LogisticRegression:
     return LogisticRegression(
         featuresCol=FEATURES, labelCol="label", family="auto", regParam=1.0 / (c * max(rows, 1)),
@@ -224,14 +206,19 @@ def replace_importance(model: Transformer, df: DataFrame, names: list[str]) -> D
     return g.select(label.alias("feature"), "importance")
 
 
+def pdp_grid(df: DataFrame, slot: int, points: int = 20) -> list[float]:
+    """An even grid between a feature's 5th and 95th percentile."""
+    x = vector_to_array(FEATURES)[slot]
+    lo, hi = df.select(x.alias("x")).agg(F.percentile_approx("x", [0.05, 0.95], 10_000)).first()[0]
+    return [lo + (hi - lo) * i / (points - 1) for i in range(points)]
+
+
 def pdp(model: Transformer, df: DataFrame, slot: int, name: str, points: int = 20) -> DataFrame:
-    """Partial dependence on an even grid between the 5th and 95th percentile.
+    """Partial dependence of any model on an even grid between the 5th and 95th percentile.
 
-    Prediction is averaged over all rows; the grid is a literal array, so rows expand in place.
+    For trees, `trees.dependence_table` needs no data. Prediction is averaged over all rows; the grid is a literal array, so rows expand in place.
     """
-    x = vector_to_array(FEATURES)[slot]
-    lo, hi = df.select(x.alias("x")).agg(F.percentile_approx("x", [0.05, 0.95], 10_000)).first()[0]
-    grid = [lo + (hi - lo) * i / (points - 1) for i in range(points)]
+    grid = pdp_grid(df, slot, points)
     wide = df.select(FEATURES).withColumn("grid", F.explode(F.array(*[F.lit(float(v)) for v in grid])))
     scored = model.transform(with_slot(wide, F.lit(slot), F.col("grid")))
     return scored.groupBy("grid").agg(F.avg("prediction").alias("response")).withColumn("feature", F.lit(name))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsmith.functions.scalars import number
-from tabsmith.operators import features, models
+from tabsmith.operators import features, models, trees as tree_tables
 from tabsmith.operators.relational import derive_expr
 from tabsmith.session import materialize
 
@@ -36,8 +36,10 @@ def industrial_effect(
     importance = models.importance_table(model, names, train)
     rules = models.joint_rules(train.unionByName(test), names, rule_depth, higher_better)
     pdp = None
+    forest = tree_tables.from_forest(df.sparkSession, model, len(names))
     for f in focus or names:
-        one = models.pdp(model, train, names.index(f), f)
+        slot = names.index(f)
+        one = tree_tables.dependence_table(train, forest, slot, f, models.pdp_grid(train, slot))
         pdp = one if pdp is None else pdp.unionByName(one)
     notes = [("skipped formula", p) for p in problems]
     if scores["train"] - scores["test"] > 0.15:

@@ -7,7 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tabsmith.operators import (
-    arima, encoding, evaluation, features, hypothesis, mars, models, rules, spc,
+    arima, boosting, encoding, evaluation, features, hypothesis, mars, models, rules, spc, trees,
 )
 from tabsmith.session import materialize, scratch_path
 from workload.base import GAPPY, KEY_SQL, ROW_KEY, query, quantile_sql, t_two_sided_sql
@@ -487,14 +487,24 @@ def rf_regression(t):
     return model_facts(t, lambda _: models.rf_regression(), 0.9)
 
 
+def boosted_facts(t, settings):
+    """`model_facts` of a boosted ensemble: scores by its own trees, strongest input by exact Shapley values."""
+    train, test, names = regression_data(t)
+    model = boosting.fit(train, settings, ROW_KEY)
+    both = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+    m = evaluation.metrics_regression(trees.with_prediction(both, model), "label", "prediction", ["part"])
+    strongest = trees.shapley_importance(test, model, names).orderBy(F.desc("importance")).first()["feature"]
+    return m.select("part", "n", (F.col("r2") > 0.9).alias("good"), F.lit(strongest).alias("strongest"))
+
+
 @query("gbt_regression_xgb", FACTS)
 def gbt_regression_xgb(t):
-    return model_facts(t, lambda _: models.gbt_xgb_preset(), 0.9)
+    return boosted_facts(t, boosting.xgb())
 
 
 @query("gbt_regression_lgbm", FACTS)
 def gbt_regression_lgbm(t):
-    return model_facts(t, lambda _: models.gbt_lgbm_preset(), 0.9)
+    return boosted_facts(t, boosting.lgbm())
 
 
 @query("replace_importance")
@@ -505,17 +515,19 @@ def replace_importance(t):
 
 @query("shap_importance")
 def shap_importance(t):
-    """Model importance beside the replacement importance; exact tree SHAP is not built."""
+    """Mean absolute exact Shapley values of a boosted ensemble over all test rows."""
     train, test, names = regression_data(t)
-    model = models.rf_regression().fit(train)
-    own = models.importance_table(model, names, train).withColumnRenamed("importance", "model_importance")
-    return models.replace_importance(model, test, names).join(own, "feature")
+    model = boosting.fit(train, boosting.xgb(rounds=30), ROW_KEY)
+    return trees.shapley_importance(test, model, names)
 
 
 @query("pdp")
 def pdp(t):
+    """Partial dependence of a forest from its trees alone; only the grid's ends read rows."""
     train, test, names = regression_data(t)
-    return models.pdp(models.rf_regression().fit(train), test, names.index("l_quantity"), "l_quantity", 20)
+    slot = names.index("l_quantity")
+    forest = trees.from_forest(t.spark, models.rf_regression(30).fit(train), len(names))
+    return trees.dependence_table(test, forest, slot, "l_quantity", models.pdp_grid(test, slot, 20))
 
 
 @query("batch_score")
