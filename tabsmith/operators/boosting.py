@@ -90,10 +90,12 @@ def feature_cuts(df: DataFrame, features: str = FEATURES, bins: int = BINS) -> l
     from the missing. With fewer than `bins` different values, each common one is a cut."""
     x = df.select(vector_to_array(features).alias("x"))
     width = x.agg(F.max(F.size("x"))).first()[0] or 0
-    shares, out = [i / bins for i in range(1, bins)], []  # the largest value makes the last of `bins`
+    # one text for the shares: a long list of literals is slow to build; the largest value makes the last cut
+    shares, out = ", ".join(str(i / bins) for i in range(1, bins)), []
     for start in range(0, width, CUT_COLUMNS):
-        cells = [F.when(~F.isnan(F.col("x")[i]), F.col("x")[i]) for i in range(start, min(start + CUT_COLUMNS, width))]
-        found = x.agg(*[F.struct(F.percentile_approx(c, shares, ACCURACY), F.max(c)) for c in cells]).first()
+        some = range(start, min(start + CUT_COLUMNS, width))
+        cells = x.select(*[F.when(~F.isnan(F.col("x")[i]), F.col("x")[i]).alias(f"c{i}") for i in some])
+        found = cells.agg(*[F.expr(f"struct(percentile_approx(c{i}, array({shares}), {ACCURACY}), max(c{i}))") for i in some]).first()
         out += [sorted({*(at or []), top} - {None}) for at, top in found]
     return out
 
@@ -302,15 +304,17 @@ def fit(df: DataFrame, settings: Settings, key: list[str] = (), features: str =
                         total[0] += np.bincount(at.ravel(), np.repeat(g, width), size)
                         total[1] += np.bincount(at.ravel(), minlength=size)
                 chunks = total.reshape(2, len(wanted), -1).transpose(1, 2, 0).reshape(len(wanted), -1)
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(wanted)), pa.int32()), pa.array(chunks.tolist(), pa.list_(pa.float64()))], ["node", "sums"])
+                cells = pa.array([c.tobytes() for c in chunks], pa.binary()) if few else pa.array(chunks.tolist(), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(wanted)), pa.int32()), cells], ["node", "sums"])
 
-            parts = blocks.mapInArrow(sums, "node int, sums array<double>")
+            parts = blocks.mapInArrow(sums, f"node int, sums {'binary' if few else 'array<double>'}")
             if not few:  # one row a node and position: summed before they reach the driver
                 cells = parts.select("node", F.posexplode("sums").alias("i", "v")).groupBy("node", "i").agg(F.sum("v").alias("v"))
                 parts = cells.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda c: c["v"]).alias("sums"))
             out = np.zeros((len(wanted), width, 256, 2))
-            for r in parts.toArrow().to_pylist():
-                out[r["node"]] += np.array(r["sums"]).reshape(width, 256, 2)
+            for r in parts.collect():
+                own = np.frombuffer(r["sums"]) if few else np.array(r["sums"])
+                out[r["node"]] += own.reshape(width, 256, 2)
             return out
 
         tree, cut = _Grower(read, cuts, chosen, s).grow(cuts)
