@@ -4,9 +4,11 @@ The encoding of a text's prefix ends in one token whose removal leaves the encod
 prefix, and a row of tokens is the encoding exactly if each two neighbours are the encoding of their
 own bytes. So a nondeterministic transducer needs only the last complete token and the bytes read
 since, a node of the vocabulary's trie. Its determinised states are the sets of such readings still
-alive, each with the tokens not emitted yet; tokens are emitted as soon as all readings agree, after
-at most the longest token's bytes. States and moves are made when a text first needs them, up to a
-bound; moves beyond it follow the same readings without storing them.
+alive. A move names, for each reading of the next state, the one it came from, and the token that the
+newest one completes; the tokens themselves belong to the path, not to the state, so that equal futures
+share one state. They are emitted by following these links back as soon as one reading is left, after at
+most the longest token's bytes, or at the end. States and moves are made when a text first needs them, up
+to a bound; moves beyond it follow the same readings without storing them.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from tabsmith.llm.common import column, map_batches
 
 #: States of the transducer, judged pairs and encoded pieces that a Python worker keeps.
-STATES = 40_000
+STATES = 300_000
 PAIRS = 1_000_000
 PIECES = 500_000
 #: Longer pieces are encoded without being kept.
@@ -80,18 +82,17 @@ class Transducer:
         self.spines: dict[int, tuple | None] = {}
         self.state: dict[tuple, int] = {}
         self.reading: list[tuple] = []
-        self.move: list[dict[int, tuple[int, tuple[int, ...]]]] = []
-        self.final: list[tuple[int, ...]] = []
-        self._state((((), 0),))
+        self.move: list[dict[int, tuple[int, tuple[int, ...], int, int]]] = []
+        self.links: dict[tuple, tuple] = {}
+        self._state(((-1, 0),))
 
     def _state(self, readings: tuple) -> int:
-        """readings: (tokens not emitted, trie node of the bytes after them); the last has the root."""
+        """readings: (last complete token, trie node of the bytes after it); the last has the root."""
         at = self.state.get(readings)
         if at is None:
             at = self.state[readings] = len(self.reading)
             self.reading.append(readings)
             self.move.append({})
-            self.final.append(readings[-1][0])
         return at
 
     def _spine(self, token: int) -> tuple | None:
@@ -148,32 +149,31 @@ class Transducer:
             ok = self.fits[pair] = self._fit(left, right)
         return ok
 
-    def _step(self, at: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        alive, whole = [], None
-        for tokens, node in self.reading[at]:
+    def _step(self, at: int, byte: int) -> tuple[int, tuple[int, ...], int, int]:
+        """Next state, where its readings but the newest came from, where the newest did, and its token."""
+        alive, came, source, done = [], [], -1, -1
+        for k, (last, node) in enumerate(self.reading[at]):
             node = self.child[node].get(byte)
             if node is None:
                 continue
             if self.child[node]:
-                alive.append((tokens, node))
+                alive.append((last, node))
+                came.append(k)
             token = self.token[node]
-            if whole is None and token >= 0 and self._fits(tokens[-1] if tokens else -1, token):
-                whole = (*tokens, token)
-        alive.append((whole, 0))
-        # emit what all agree on, but for the last agreed token, the left neighbour of the next
-        agreed, most = 0, min(len(t) for t, _ in alive)
-        while agreed < most and all(t[agreed] == whole[agreed] for t, _ in alive):
-            agreed += 1
-        agreed = max(0, agreed - 1)
-        out = (self._state(tuple((t[agreed:], n) for t, n in alive)), whole[:agreed])
-        self.move[at][byte] = out
+            if source < 0 and token >= 0 and self._fits(last, token):
+                source, done = k, token
+        alive.append((done, 0))
+        links = self.links.setdefault(tuple(came), tuple(came))
+        out = self.move[at][byte] = (self._state(tuple(alive)), links, source, done)
         return out
 
-    def _simulate(self, readings: tuple, rest: bytes) -> list[int]:
-        """The readings followed without making states: for moves beyond the table's bound."""
+    def _simulate(self, readings: tuple, rest: bytes) -> tuple[int, list[int]]:
+        """The readings followed without making states, for moves beyond the table's bound: the reading the
+        path came from, and its tokens."""
         child, token, fits, span = self.child, self.token, self.fits, self.span
-        last = [t[-1] if t else -1 for t, _ in readings]
-        back = [-1] * len(last)
+        last = [t for t, _ in readings]
+        first = len(last)
+        back = [-1] * first
         alive = [(k, node) for k, (_, node) in enumerate(readings)]
         for byte in rest:
             going, whole = [], False
@@ -192,25 +192,44 @@ class Transducer:
             going.append((len(last) - 1, 0))
             alive = going
         out, k = [], alive[-1][0]
-        while back[k] >= 0:
+        while k >= first:
             out.append(last[k])
             k = back[k]
-        return [*readings[k][0], *reversed(out)]
+        out.reverse()
+        return k, out
 
     def encode(self, piece: bytes) -> list[int]:
         out: list[int] = []
-        at, move = 0, self.move
+        path: list[tuple] = []
+        end: list[int] = []
+        at, k, move = 0, -1, self.move
         for i, byte in enumerate(piece):
             step = move[at].get(byte)
             if step is None:
                 if len(self.reading) >= self.most:
-                    out.extend(self._simulate(self.reading[at], piece[i:]))
-                    return out
+                    k, end = self._simulate(self.reading[at], piece[i:])
+                    break
                 step = self._step(at, byte)
             at = step[0]
-            if step[1]:
-                out.extend(step[1])
-        out.extend(self.final[at])
+            path.append(step)
+            if not step[1]:  # one reading is left: all before it is settled
+                out += self._tokens(path, -1)
+                path.clear()
+        out += self._tokens(path, k)
+        out += end
+        return out
+
+    @staticmethod
+    def _tokens(path: list[tuple], k: int) -> list[int]:
+        """Follow the links back from reading k (-1: the newest) of the state that the path leads to."""
+        out = []
+        for _, came, source, token in reversed(path):
+            if k < 0 or k == len(came):
+                out.append(token)
+                k = source
+            else:
+                k = came[k]
+        out.reverse()
         return out
 
 
