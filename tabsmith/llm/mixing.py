@@ -101,12 +101,13 @@ class Mix:
 
 
 def mix(rows: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block: int = BLOCK, seed: int = 42) -> Mix:
-    """Deal the words of rows (row_no, doc_id, source, size) to shards.
+    """Deal the words of rows (row_no, doc_id, digest, source, size) to shards.
 
     A source's words taken equal its rounded target; a pass takes no word twice, so no document
     gives more than ceil(`most`) times its size. Rows without words give nothing. NULL and empty
-    sources are sources of their own. Reruns over the same rows agree; an empty table gives empty
-    results. `rows` must be a stored table, as it is read more than once.
+    sources are sources of their own. The order of a source's rows follows from doc_id and `digest` (of
+    the text); row_no only parts rows that are equal in both, so reruns agree however the rows are
+    stored. An empty table gives empty results. `rows` must be a stored table, as it is read more than once.
     """
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows")), weights, share, most)
     targets = materialize(targets, "targets")
@@ -117,12 +118,12 @@ def mix(rows: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     # a source is cut into as many slices as its rows need, so that no window holds a hot source
     slices = F.ceil(F.col("rows") / WINDOW_ROWS)
     placed = rows.filter("size > 0").select(
-        "number", "row_no", "size", F.xxhash64(F.lit(seed), "doc_id", "row_no").alias("order"), slices.alias("slices")
+        "number", "row_no", "doc_id", "digest", "size", F.xxhash64(F.lit(seed), "doc_id", "digest").alias("order"), slices.alias("slices")
     ).withColumn("slice", F.pmod("order", "slices"))
     slice_sizes = placed.groupBy("number", "slice").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("number").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = slice_sizes.select("number", "slice", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("number", "slice").orderBy("order", "row_no")
+    inside = Window.partitionBy("number", "slice").orderBy("order", "doc_id", "digest", "size", "row_no")
     placed = (
         placed.withColumn("upto", F.sum("size").over(inside))
         .join(starts, ["number", "slice"])
@@ -176,6 +177,7 @@ def mix_sizes(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", t
         column(docs, doc_id).alias("doc_id"),
         column(docs, source).alias("source"),
         word_count(column(docs, text)).alias("size"),
+        F.xxhash64(column(docs, text)).alias("digest"),
         F.monotonically_increasing_id().alias("row_no"),
     )
     return mix(materialize(rows, "sizes"), **options)
@@ -188,11 +190,11 @@ def mix_texts(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", t
     joined by spaces. Documents without words give no row. The rows are stored once with their
     numbers, so that both reads agree whatever happens to executors.
     """
-    rows = packed(docs, row_no=F.monotonically_increasing_id(), size=word_count(column(docs, text)))
+    rows = packed(docs, row_no=F.monotonically_increasing_id(), size=word_count(column(docs, text)), digest=F.xxhash64(column(docs, text)))
     rows = materialize(rows, "rows")
     cells = F.col("row")
     narrow = rows.select(
-        cells.getField(doc_id).alias("doc_id"), cells.getField(source).alias("source"), "size", "row_no"
+        cells.getField(doc_id).alias("doc_id"), cells.getField(source).alias("source"), "size", "digest", "row_no"
     )
     cut = (
         mix(narrow, **options)

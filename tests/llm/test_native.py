@@ -91,6 +91,16 @@ def test_mix_meets_its_targets(frames, odd_rows, block):
     assert all(abs(taken[s] - target[s]) <= 0.5001 for s in sizes)
 
 
+def test_mix_agrees_in_any_layout(spark, odd_rows):
+    rows = odd_rows + [(300 + i, f"some words of row {i} " * (1 + i % 7), "en", f"s{i % 4}") for i in range(400)]
+    runs, texts = [], []
+    for parts in (1, 3, 11):
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(parts)
+        runs.append(sorted(map(str, mixing.mix_sizes(df, block=16).taken().collect())))
+        texts.append(sorted(map(str, mixing.mix_texts(df, block=16).collect())))
+    assert runs[0] == runs[1] == runs[2] and texts[0] == texts[1] == texts[2]
+
+
 def test_mix_reruns_agree_and_shards_are_mixed(spark):
     df = spark.range(3000).selectExpr("id AS doc_id", "concat('s', id % 4) AS source", "repeat('w ', cast(20 + id % 90 AS int)) AS text")
     a, b = (mixing.mix_sizes(df, block=8).taken() for _ in range(2))
