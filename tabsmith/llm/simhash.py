@@ -1,9 +1,10 @@
 """SimHash near-duplicates by pivot distance tables.
 
 Each text gets a 64-bit fingerprint. For every distinct fingerprint the Hamming distances to many
-reference fingerprints (pivots) are tabulated: the zero fingerprint, the 64 with a single bit set,
-and a set of pseudorandom ones. Distances to two pivots differ by at most the distance of the two
-fingerprints, so a pair whose rows differ by more than the radius in any coordinate is discarded.
+reference fingerprints (pivots) count: the zero fingerprint, the 64 with a single bit set, and a set of
+pseudorandom ones, whose distances are tabulated. Two fingerprints' distances to a pivot differ by at most
+their own distance, so a pair whose rows differ by more than the radius in any coordinate is discarded
+before its distance is computed.
 
 The pairs to look at come from the same table. Differences of the coordinates to the first 65 pivots
 are the bits themselves; cut into six groups of coordinates, two fingerprints within three bits agree
@@ -15,8 +16,8 @@ links, never all pairs. Equal fingerprints are one node throughout.
 
 Three bits of 64 mean texts that are all but equal. For near copies in the sense of a Jaccard similarity
 of 0.8 over five-word shingles there are wide fingerprints of 256 bits: an angle that 0.8 stands for
-turns about 39 of them. No group of bits is sure to agree then, so keys sample bits, in as many tables
-as let nineteen of twenty pairs of similarity 0.8 meet, whatever the number of texts; keys that more than ROOMY share
+turns about 39 of them, 48 or fewer for 19 of 20 such pairs. No group of bits is sure to agree then, so keys
+sample bits, in as many tables as let 97 of 100 pairs of similarity 0.8 meet, whatever the number of texts; keys that more than ROOMY share
 tie what is near to one representative each, and what is not near it meets all members by pairs of blocks.
 """
 
@@ -43,10 +44,10 @@ SEED = 42
 #: Wide fingerprints: words of 64 bits, words of a shingle, bits that two near copies may differ in.
 LANES = 4
 WIDE_SHINGLE = 5
-WIDE_RADIUS = 42
+WIDE_RADIUS = 48
 #: Chance that two texts of similarity 0.8 agree in a bit, and expected tables in which such a pair meets.
 AGREE = 0.8485
-MEETINGS = 3.0
+MEETINGS = 3.5
 #: Fingerprints of a block: a key that more share is taken by pairs of blocks.
 BLOCK = 4096
 #: Rows of a table of keys that may be broadcast.
@@ -135,7 +136,10 @@ def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def distances(prints: np.ndarray, refs: np.ndarray) -> np.ndarray:
     """Table of Hamming distances, one row per fingerprint and one column per pivot."""
-    return hamming(prints[:, None, :], refs[None, :, :])
+    out = np.empty((len(prints), len(refs)), np.int16)
+    for i, ref in enumerate(refs):
+        out[:, i] = hamming(prints, ref)
+    return out
 
 
 def _groups(free: list[int], parts: int = 6) -> list[list[int]]:
@@ -163,13 +167,24 @@ def _keyed(nodes: DataFrame, masks: list[int], own: str = "at") -> DataFrame:
     return nodes.select("fp", F.explode(F.array(*cells)).alias("cell")).select("fp", "cell.*")
 
 
-def forest(prints: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+def close(table: np.ndarray, x: np.ndarray, y: np.ndarray, radius: int) -> np.ndarray:
+    """Whether rows x and y of a pivot table differ by at most `radius` in every coordinate; the first few
+    coordinates settle most pairs."""
+    ok = np.flatnonzero((np.abs(table[x, :4] - table[y, :4]) <= radius).all(axis=-1))
+    ok = ok[(np.abs(table[x[ok], 4:] - table[y[ok], 4:]) <= radius).all(axis=-1)]
+    out = np.zeros(len(x), bool)
+    out[ok] = True
+    return out
+
+
+def forest(prints: np.ndarray, radius: int = RADIUS, table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Spanning forest of the links among different fingerprints (places of both ends), breadth first.
 
     Each step takes one fingerprint against those not reached yet: first the pseudorandom pivots'
     coordinates, then the true distance of the survivors.
     """
-    table = distances(prints, pivots(prints.shape[1])[-16:])
+    if table is None:
+        table = distances(prints, pivots(prints.shape[1])[-16:])
     left = np.arange(len(prints))
     a, b = [], []
     queue: list[int] = []
@@ -178,11 +193,7 @@ def forest(prints: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.nda
             queue.append(int(left[0]))
             left = left[1:]
         here = queue.pop()
-        maybe = left
-        for k in range(4):
-            maybe = maybe[np.abs(table[maybe, k] - table[here, k]) <= radius]
-        if len(maybe):
-            maybe = maybe[(np.abs(table[maybe] - table[here]) <= radius).all(axis=1)]
+        maybe = left[close(table, left, np.full(len(left), here), radius)]
         near = maybe[hamming(prints[maybe], prints[here]) <= radius]
         if len(near):
             a.append(np.full(len(near), here))
@@ -194,22 +205,27 @@ def forest(prints: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.nda
 
 
 def _link_runs(keys: np.ndarray, prints: np.ndarray, radius: int, few: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Links within runs of equal keys; rows come sorted by key. Long runs give spanning forests."""
+    """Links within runs of equal keys; rows come sorted by key. Long runs give spanning forests.
+
+    The rows' distances to the pseudorandom pivots are tabulated once. A pair whose rows differ by more than
+    the radius anywhere is discarded; only the survivors' own distance is ever computed.
+    """
     starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)]) if len(keys) else np.zeros(0, np.int64)
     sizes = np.diff(np.r_[starts, len(keys)])
-    refs, a, b = pivots(prints.shape[1])[-16:], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    table = distances(prints, pivots(prints.shape[1])[-16:])
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for step in range(1, few):
         chosen = (sizes > step) & (sizes <= few)
         of, n = starts[chosen], sizes[chosen] - step
         if not len(of):
             break
         x = np.repeat(of, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        ok = hamming(prints[x], prints[x + step])
-        x = x[(np.abs(distances(prints[x], refs) - distances(prints[x + step], refs)) <= radius).all(axis=1) & (ok <= radius)]
+        x = x[close(table, x, x + step, radius)]
+        x = x[hamming(prints[x], prints[x + step]) <= radius]
         a.append(x)
         b.append(x + step)
     for s, n in zip(starts[sizes > few], sizes[sizes > few]):
-        x, y = forest(prints[s : s + n], radius)
+        x, y = forest(prints[s : s + n], radius, table[s : s + n])
         a.append(x + s)
         b.append(y + s)
     return prints[np.concatenate(a)], prints[np.concatenate(b)]
