@@ -16,8 +16,8 @@ links, never all pairs. Equal fingerprints are one node throughout.
 
 Three bits of 64 mean texts that are all but equal. For near copies in the sense of a Jaccard similarity
 of 0.8 over five-word shingles there are wide fingerprints of 256 bits: an angle that 0.8 stands for
-turns about 39 of them, 48 or fewer for 19 of 20 such pairs. No group of bits is sure to agree then, so keys
-sample bits, in as many tables as let 97 of 100 pairs of similarity 0.8 meet, whatever the number of texts; keys that more than ROOMY share
+turns about 39 of them. No group of bits is sure to agree then, so keys sample bits, in as many tables
+as let nineteen of twenty pairs of similarity 0.8 meet, whatever the number of texts; keys that more than ROOMY share
 tie what is near to one representative each, and what is not near it meets all members by pairs of blocks.
 """
 
@@ -44,10 +44,10 @@ SEED = 42
 #: Wide fingerprints: words of 64 bits, words of a shingle, bits that two near copies may differ in.
 LANES = 4
 WIDE_SHINGLE = 5
-WIDE_RADIUS = 48
+WIDE_RADIUS = 42
 #: Chance that two texts of similarity 0.8 agree in a bit, and expected tables in which such a pair meets.
 AGREE = 0.8485
-MEETINGS = 3.5
+MEETINGS = 3.0
 #: Fingerprints of a block: a key that more share is taken by pairs of blocks.
 BLOCK = 4096
 #: Rows of a table of keys that may be broadcast.
@@ -193,7 +193,11 @@ def forest(prints: np.ndarray, radius: int = RADIUS, table: np.ndarray | None =
             queue.append(int(left[0]))
             left = left[1:]
         here = queue.pop()
-        maybe = left[close(table, left, np.full(len(left), here), radius)]
+        maybe = left
+        for k in range(4):
+            maybe = maybe[np.abs(table[maybe, k] - table[here, k]) <= radius]
+        if len(maybe):
+            maybe = maybe[(np.abs(table[maybe] - table[here]) <= radius).all(axis=1)]
         near = maybe[hamming(prints[maybe], prints[here]) <= radius]
         if len(near):
             a.append(np.full(len(near), here))
