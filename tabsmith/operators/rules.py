@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabsmith.functions.scalars import is_numeric, number, present
 from tabsmith.operators.encoding import bin_labels, case_chain, quantile_cuts
+from tabsmith.operators.fptree import frequent_itemsets
 from tabsmith.session import materialize
 
 JOINER = " & "
@@ -68,38 +67,6 @@ def count_baskets(items: DataFrame, columns: list[str]) -> DataFrame:
     return materialize(g.select(F.array_sort(_item_list(columns)).alias("items"), F.col("_rows").alias("c")), "baskets")
 
 
-def frequent_itemsets(counted: DataFrame, min_support: float = 0.05) -> DataFrame:
-    """Frequent itemsets as sorted arrays with their row counts, for baskets of any length.
-
-    Level by level: a row is a frequent prefix and the items after it in a basket, with the basket's
-    count. Prefixes grow by one item, are counted, and only frequent ones go on; since every subset of
-    a frequent set is frequent, each set is reached along its own prefixes. Equal rows are summed first.
-    """
-    total = counted.agg(F.sum("c")).first()[0]
-    if not total:
-        return counted.select("items", F.col("c").alias("n"))
-    least = math.ceil(min_support * total - 1e-9)
-    single = counted.select(F.explode("items").alias("item"), "c").groupBy("item").agg(F.sum("c").alias("n"))
-    known = single.where(F.col("n") >= least).agg(F.collect_set("item")).scalar()  # few: width / support at most
-    rows = counted.select(F.array().cast("array<string>").alias("prefix"), F.array_intersect("items", known).alias("rest"), "c")
-    found = None
-    while True:
-        grown = (
-            rows.groupBy("prefix", "rest").agg(F.sum("c").alias("c"))
-            .select("prefix", "rest", "c", F.posexplode("rest").alias("_at", "_item"))
-            .select(
-                F.concat("prefix", F.array("_item")).alias("prefix"),
-                F.slice("rest", F.col("_at") + 2, F.size("rest")).alias("rest"), "c",
-            )
-        )
-        grown = materialize(grown, "prefixes")
-        level = materialize(grown.groupBy("prefix").agg(F.sum("c").alias("n")).where(F.col("n") >= least), "itemsets")
-        found = level if found is None else found.unionByName(level)
-        rows = grown.where(F.size("rest") > 0).join(level.select("prefix"), "prefix", "left_semi")
-        if level.isEmpty() or rows.isEmpty():
-            return found.select(F.col("prefix").alias("items"), "n")
-
-
 def _key(items: Column) -> Column:
     return F.array_join(items, JOINER)
 
