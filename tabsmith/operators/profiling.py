@@ -180,25 +180,11 @@ def profile_columns(df: DataFrame, columns: list[str] | None = None) -> DataFram
 
 
 def profile_approx(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """The profile in a single scan with sketches for distinct counts and quartiles."""
-    columns = columns or df.columns
+    """The profile in a single scan with mergeable sketches for distinct counts and quartiles."""
+    from tabsmith.operators.profile_state import profile_state, read_states
 
-    t = per_column(
-        df,
-        columns,
-        {
-            "row_count": lambda x, p: F.count(F.lit(1)),
-            "null_count": lambda x, p: F.count_if(p.isNull()),
-            "unique_count": lambda x, p: F.approx_count_distinct(p, 0.02),
-            "mean": lambda x, p: F.avg(x),
-            "std": lambda x, p: F.stddev_samp(x),
-            "min": lambda x, p: F.min(x),
-            "_q": lambda x, p: F.percentile_approx(x, [0.25, 0.5, 0.75], 2_000),
-            "max": lambda x, p: F.max(x),
-        },
-    )
-    quartiles = {n: F.get("_q", F.lit(i)) for i, n in enumerate(("q1", "median", "q3"))}
-    return t.withColumns(quartiles).drop("_q")
+    names = ["column", "row_count", "null_count", "unique_count", "mean", "std", "min", "q1", "median", "q3", "max"]
+    return read_states(profile_state(df, columns)).select(*names)
 
 
 def quality_table(df: DataFrame, columns: list[str] | None = None, share: float = 0.7) -> DataFrame:
