@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabsmith.operators import cleaning, encoding, profiling
+from tabsmith.operators import cleaning, encoding, profile_state, profiling
 from workload.base import GAPPY, KEY_SQL, ROW_KEY, TEXTY, query, quantile_sql
 
 NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -100,6 +100,21 @@ def profile_approx(t):
     return profiling.profile_approx(t.gappy_lineitem, [*NUM, "l_returnflag"])
 
 
+@query(
+    "profile_merged",
+    union_columns(
+        "SELECT '{c}' AS \"column\", count(*) AS row_count, count(*) - count({c}) AS null_count,"
+        " round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, min({c}) AS min, max({c}) AS max FROM " + GAPPY,
+        NUM,
+    ),
+)
+def profile_merged(t):
+    """States of each month merged; the sketched figures, which SQL cannot repeat, are left to the tests."""
+    states = profile_state.profile_state(t.gappy_lineitem, NUM, F.date_format("l_shipdate", "yyyy-MM"))
+    whole = profile_state.read_states(profile_state.merge_states(states))
+    return rounded(whole.select("column", "row_count", "null_count", "mean", "std", "min", "max"), 4, "mean", "std")
+
+
 QUALITY_COLS = ["q_text", "f_text", "l_tax", "l_linestatus"]
 
 
