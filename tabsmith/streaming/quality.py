@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tabsmith.session import scratch_path
 
@@ -21,13 +22,15 @@ def read_files(spark: SparkSession, folder: str, glob: str, schema, per_trigger:
     return r.parquet(folder)
 
 
-def run_to_end(stream: DataFrame, mode: str, sink: Callable | None = None) -> DataFrame:
+def run_to_end(stream: DataFrame, mode: str, sink: Callable | None = None, folder: str | None = None) -> DataFrame:
     """Process everything available into Parquet and read the result back.
 
-    `_batch` tells the micro-batch, so that the newest version of an updated row can be kept.
+    `_batch` tells the micro-batch, so that the newest version of an updated row can be kept. With the `folder`
+    of an earlier run, which holds its results and its checkpoint, the stream goes on where that run ended.
     """
     spark = stream.sparkSession
-    out, state = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-state")
+    folder = folder or scratch_path(spark, "stream")
+    out, state = f"{folder}/out", f"{folder}/state"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         (sink(batch) if sink else batch).withColumn("_batch", F.lit(batch_id)).write.mode(
@@ -106,44 +109,108 @@ def score(stream: DataFrame, model: PipelineModel) -> DataFrame:
 
 
 MR_OUT = "key string, ts timestamp, id long, value double, mr double, late long"
-MR_STATE = "last double, pend_ts array<double>, pend_id array<long>, pend_v array<double>, late long"
-
-
-def _release(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Hold rows until the watermark passes them, then emit them in event-time order."""
-    last, ts, ids, vs, late = state.get if state.exists else (None, [], [], [], 0)
-    rows = list(zip(ts or [], ids or [], vs or []))
-    mark = state.getCurrentWatermarkMs() / 1000.0
-    for pdf in batches:
-        t = pdf["ts"].astype("datetime64[us]").astype("int64") / 1e6
-        fresh = t > mark
-        late += int((~fresh).sum())
-        rows += list(zip(t[fresh], pdf["id"][fresh], pdf["value"][fresh]))
-    rows.sort()
-    ready = [r for r in rows if r[0] <= mark]
-    rest = rows[len(ready):]
-    out = []
-    for t, i, v in ready:
-        out.append((key[0], pd.Timestamp(round(t * 1e6), unit="us"), int(i), float(v),
-                    abs(v - last) if last is not None else None, late))
-        last = float(v)
-    state.update((last, [float(r[0]) for r in rest], [int(r[1]) for r in rest], [float(r[2]) for r in rest], late))
-    if rest:
-        state.setTimeoutTimestamp(int(max(mark, rest[0][0]) * 1000) + 1)
-    if out:
-        yield pd.DataFrame(out, columns=["key", "ts", "id", "value", "mr", "late"])
+MR_KEPT = "last double, passed long, late long, earliest array<long>"
+MR_ROW = "at long, id long, value double"
+#: Lists of pending rows a key; a slot of time goes to list `slot % RING`.
+RING = 16
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def moving_range(stream: DataFrame, key: str, ts: str, row_id: str, value: str, delay: str) -> DataFrame:
-    """Point-to-point moving range per key on out-of-order input.
+class MovingRange(StatefulProcessor):
+    """Holds rows until the watermark passes them, then emits them in order of time and id.
 
-    State per key is the last released value and the rows younger than the watermark; rows that
-    arrive after their time has passed are dropped and counted in `late`.
+    Pending rows lie in RING lists by slot of time. Arrivals are appended to their list; a release reads the
+    lists of the slots that have come due and writes back what is younger than the watermark, so one slot's rows
+    a batch. Beside the lists a key keeps its last value, the time up to which it was released, the count of late
+    rows and the earliest time in each list, for which a timer stands.
     """
+
+    def __init__(self, width: int):
+        self.width = width  # microseconds of a slot
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.kept = handle.getValueState("kept", MR_KEPT)
+        self.lists = [handle.getListState(f"slot{i}", MR_ROW) for i in range(RING)]
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last, passed, late, earliest = self._load()
+        for pdf in rows:
+            at = pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy()
+            fresh = np.ones(len(at), bool) if passed is None else at > passed
+            late += int((~fresh).sum())
+            at, pdf = at[fresh], pdf[fresh]
+            place = at // self.width % RING
+            for i in np.unique(place).tolist():
+                here = place == i
+                cells = zip(at[here].tolist(), pdf["id"][here], pdf["value"][here])
+                self.lists[i].appendList([(t, _or_none(n, int), _or_none(v, float)) for t, n, v in cells])
+                first = int(at[here].min())
+                earliest[i] = first if earliest[i] is None else min(first, earliest[i])
+        yield from self._release(key, timerValues, (last, passed, late, earliest))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._release(key, timerValues, self._load())
+
+    def _load(self) -> tuple:
+        if not self.kept.exists():
+            return None, None, 0, [None] * RING
+        last, passed, late, earliest = self.kept.get()
+        return last, passed, late, list(earliest)
+
+    def _release(self, key, timer_values, kept: tuple) -> Iterator[pd.DataFrame]:
+        last, passed, late, earliest = kept
+        mark = timer_values.getCurrentWatermarkInMs() * 1000
+        ready: list[tuple] = []
+        for i in range(RING):
+            if earliest[i] is None or earliest[i] > mark:
+                continue
+            rows = list(self.lists[i].get())
+            rest = [r for r in rows if r[0] > mark]
+            ready += [r for r in rows if r[0] <= mark]
+            if rest:
+                self.lists[i].put(rest)
+            else:
+                self.lists[i].clear()
+            earliest[i] = min((r[0] for r in rest), default=None)
+        if ready or passed is not None:
+            passed = mark if passed is None else max(passed, mark)
+        ready.sort(key=lambda r: tuple((x is not None, x) for x in r))
+        out = []
+        for at, row_id, value in ready:
+            mr = None if last is None or value is None else abs(value - last)
+            out.append((key[0], pd.Timestamp(at, unit="us"), row_id, value, mr, late))
+            last = value
+        self.kept.update((last, passed, late, earliest))
+        pending = [t for t in earliest if t is not None]
+        if pending:
+            self.handle.registerTimer(-(-min(pending) // 1000))
+        if out:
+            frame = pd.DataFrame(out, columns=["key", "ts", "id", "value", "mr", "late"])
+            yield frame.astype({"id": "Int64", "value": "Float64", "mr": "Float64", "late": "int64"})
+
+
+def _or_none(x, kind: type):
+    return None if pd.isna(x) else kind(x)
+
+
+def moving_range(stream: DataFrame, key: str, ts: str, row_id: str, value: str, delay: str) -> DataFrame:
+    """Point-to-point moving range per key on out-of-order input, released as the watermark passes.
+
+    A row that comes after its key was released beyond its time is dropped and counted in `late`; so is, by
+    Spark, one behind the watermark of the batch before. Rows without a time never come due and are left out.
+    A NULL (or NaN) value gives a NULL range for its row and the next, as `lag` does; rows of equal time go by
+    id, then value. State lies in RocksDB, which this sets for the session's streams started from now on: it
+    grows with the rows younger than the watermark only, and no batch rewrites more than the slot the watermark
+    stands in. A slot is an eighth of `delay`.
+    """
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    span = spark.sql(f"SELECT unix_micros(timestamp'1970-01-01 00:00:00 UTC' + interval {delay}) AS n").first()["n"]
     src = stream.select(
         F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("ts"),
         F.col(row_id).cast("long").alias("id"), F.col(value).cast("double").alias("value"),
-    ).withWatermark("ts", delay)
-    return src.groupBy("key").applyInPandasWithState(
-        _release, MR_OUT, MR_STATE, "append", GroupStateTimeout.EventTimeTimeout
+    ).where("ts IS NOT NULL").withWatermark("ts", delay)
+    return src.groupBy("key").transformWithStateInPandas(
+        MovingRange(max(span // 8, 1000)), MR_OUT, "append", "eventTime"
     )
