@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from tabsmith.operators import cleaning, encoding, profiling, relational
 from tabsmith.operators.slices import with_history
 from tabsmith.plans import steps
 from tabsmith.session import scratch_path
-from tabsmith.sources import files, jdbc, versions
+from tabsmith.sources import files, jdbc, keyed, ragged, versions
 from workload.base import GAPPY, KEY_SQL, ROW_KEY, query, quantile_sql
 from workload.preparation import (
     CLEAN_COLS, LABEL_SQL, MODE, STANDARD_SQL, base, keyed_sql, minmax_sql, rounded,
@@ -159,6 +160,48 @@ def upsert_by_id(t):
     )
 
 
+@query(
+    "upsert_indexed",
+    """SELECT event_id, ts, value FROM events WHERE ts < (SELECT max(ts) - INTERVAL 3 DAY FROM events)
+      UNION ALL SELECT event_id, ts, value + 1000 FROM events WHERE ts >= (SELECT max(ts) - INTERVAL 3 DAY FROM events)
+      UNION ALL SELECT -1 - event_id, ts, value FROM events WHERE event_type = 'click'""",
+)
+def upsert_indexed(t):
+    """All events, of which those of the last three days change and the clicks come again under new ids."""
+    e = t.events.select("event_id", "ts", "value", "event_type")
+    store = keyed.KeyedStore(t.spark, scratch_path(t.spark, "keyed"), "event_id")
+    store.create(e.drop("event_type"))
+    since = e.agg(F.max("ts") - F.expr("INTERVAL 3 DAYS")).scalar()
+    changed = e.where(F.col("ts") >= since).withColumn("value", F.col("value") + 1000)
+    again = e.where("event_type = 'click'").withColumn("event_id", -1 - F.col("event_id"))
+    store.upsert(changed.unionByName(again).drop("event_type"))
+    return store.read()
+
+
+@query(
+    "scan_ragged_files",
+    """SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus AS status, o_orderpriority || chr(10) || 'no "' || o_custkey || '", checked' AS note
+      FROM orders WHERE o_orderstatus <> 'O' AND o_orderstatus >= 'A'""",
+)
+def scan_ragged_files(t):
+    """Orders as text files with quoted line breaks, read by ranges of 64 KB; the filter is pushed to the tasks."""
+    path = scratch_path(t.spark, "ragged")
+    note = F.concat(F.lit('"'), "o_orderpriority", F.lit('\nno ""'), "o_custkey", F.lit('"", checked"'))
+    lines = t.orders.select(F.concat(F.col("o_orderkey").cast("string"), F.lit("\t\t"), "o_orderstatus", F.lit("\t"), note))
+    lines.write.option("lineSep", "\n").text(path)
+    rows = ragged.scan_ragged_files(t.spark, path, quoted=True, width=1 << 16, names=["id", "status", "note"], header=False)
+    return rows.where("status <> 'O' AND status >= 'A'").drop("_path", "_at")
+
+
+@query("jdbc_splits", "SELECT l_returnflag, count(*) AS n, sum(l_quantity)::DOUBLE AS quantity FROM lineitem GROUP BY 1")
+def jdbc_splits(t):
+    """The splits of a database scan on the rows' own quantiles; no database is at hand, so they read Parquet."""
+    splits = jdbc.split_predicates("l_orderkey", jdbc.key_cuts(t.lineitem, "l_orderkey", 6))
+    parts = [t.lineitem.where(p).select("l_returnflag", "l_quantity") for p in splits]
+    whole = reduce(lambda a, b: a.unionByName(b), parts)
+    return whole.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").cast("double").alias("quantity"))
+
+
 # --- step lists -----------------------------------------------------------------------------
 
 
