@@ -121,8 +121,28 @@ def rf_classification(trees: int = 100, depth: int = 8) -> RandomForestClassifie
     return RandomForestClassifier(featuresCol=FEATURES, labelCol="label", numTrees=trees, maxDepth=depth, seed=SEED)
 
 
+def class_coefficients(model, names: list[str], df: DataFrame) -> DataFrame:
+    """(class, feature, coefficient, odds_ratio) of a logistic model, `(intercept)` among the features.
+
+    With two classes there is one equation, that of class 1. With more there is one a class; their scores' softmax
+    are the probabilities, so only differences between classes have a meaning.
+    """
+    matrix, intercepts = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    classes = [1] if len(matrix) == 1 else range(len(matrix))
+    rows = [
+        (int(c), n, float(v))
+        for c, row, first in zip(classes, matrix, intercepts)
+        for n, v in [("(intercept)", first), *zip(names, row)]
+    ]
+    t = df.sparkSession.createDataFrame(rows, "class int, feature string, coefficient double")
+    return t.withColumn("odds_ratio", F.exp("coefficient"))
+
+
 def coefficient_table(model, names: list[str], df: DataFrame) -> DataFrame:
-    values = model.coefficients.toArray() if not hasattr(model, "coefficientMatrix") else model.coefficientMatrix.toArray().mean(axis=0)
+    """Coefficients of a model with one equation; `class_coefficients` gives those of several classes."""
+    if hasattr(model, "coefficientMatrix") and model.coefficientMatrix.numRows > 1:
+        raise ValueError("one equation a class: use class_coefficients")
+    values = model.coefficients.toArray()
     rows = [(n, float(v)) for n, v in zip(names, values)]
     t = df.sparkSession.createDataFrame(rows, "feature string, coefficient double")
     return t.withColumn("selected", F.abs("coefficient") > 1e-8).orderBy(F.desc(F.abs("coefficient")))

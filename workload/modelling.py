@@ -575,6 +575,17 @@ def logistic(t):
     return class_metrics(model, test).unionByName(area).unionByName(coef)
 
 
+@query("logistic_classes")
+def logistic_classes(t):
+    """Coefficients of each order status (F, O, P) on price and year."""
+    o = t.orders.withColumn("label", F.when(F.col("o_orderstatus") == "F", 0.0).when(F.col("o_orderstatus") == "O", 1.0).otherwise(2.0))
+    o = o.withColumn("year", F.year("o_orderdate").cast("double"))
+    prep = features.fit_features(o, ["o_totalprice", "year"], [], scale="standard")
+    ready = materialize(features.apply_features(prep, o, ["o_totalprice", "year"], []).select("features", "label"), "statuses")
+    model = models.logistic(ready.count()).fit(ready)
+    return models.class_coefficients(model, ["o_totalprice", "year"], ready)
+
+
 @query(
     "cross_validate_classes",
     """SELECT CAST(('0x' || substr(md5(concat_ws('|', o_orderkey, 42)), 1, 8))::BIGINT % 3 AS INTEGER) AS fold,
