@@ -1,10 +1,10 @@
 """Gradient boosting of regression trees on binned features, depth-wise or leaf-wise.
 
-Features are cut once at quantiles and stored as one byte a cell, in blocks of rows with the target and
-the prediction so far. A pass adds up, for the nodes it is asked for, gradients and counts by (feature,
-bin): tasks return fixed-size histograms and Spark sums them. Of two children only the smaller is read,
-the other is its parent minus the sibling. Missing values have a bin of their own, and each split learns
-to which side they go.
+Features are cut once at quantiles and stored as one byte a cell, in blocks of rows with the gradient so
+far; each finished tree moves the gradients once, into cached blocks that the next tree reads. A pass adds
+up, for the nodes it is asked for, gradients and counts by (feature, bin): tasks return fixed-size
+histograms and Spark sums them. Of two children only the smaller is read, the other is its parent minus the
+sibling. Missing values have a bin of their own, and each split learns to which side they go.
 
 Leaf-wise growth takes the leaf of largest gain first. That order is replayed on the driver over the nodes
 known so far; leaves it needs whose children are unknown are all read in the next pass. The tree is that
@@ -28,8 +28,8 @@ from tabsmith.operators.trees import Ensemble, Tree
 from tabsmith.session import materialize
 
 MISSING, BINS = 255, 254
-#: Trees after which predictions are stored anew, rows of a block, and parts whose histograms the driver adds itself.
-STORE_TREES, BLOCK_ROWS, FEW_PARTS = 20, 10_000, 64
+#: Trees after which gradients are stored anew, rows of a block, and parts whose histograms the driver adds itself.
+STORE_TREES, BLOCK_ROWS, FEW_PARTS = 20, 50_000, 64
 #: Columns whose quantiles one aggregate finds, and their precision.
 CUT_COLUMNS, ACCURACY = 100, 20_000
 #: Gains closer than this share count as equal: the first candidate wins, whatever the order of sums.
@@ -101,45 +101,66 @@ def feature_cuts(df: DataFrame, features: str = FEATURES, bins: int = BINS) -> l
 
 
 def _blocks(df: DataFrame, cuts: list[list[float]], features: str, label: str, key: list[str], seed: int, base: float) -> DataFrame:
-    """Blocks of rows as bytes: n, bins (one a cell), y, id and pred (eight a row)."""
+    """Blocks of rows as bytes: n, bins (one a cell, feature by feature), g (the gradient) and id (eight a row)."""
     edges, width = [np.array(c) for c in cuts], len(cuts)
     of = [F.col(k) for k in key] if key else [vector_to_array(features), F.col(label)]
     rows = df.where(F.col(label).isNotNull()).select(
         vector_to_array(features).alias("x"), F.col(label).cast("double").alias("y"), F.xxhash64(F.lit(seed), *of).alias("id")
     )
 
+    def block(parts: list) -> pa.RecordBatch:
+        bins, g, ids = (np.concatenate(c, axis=-1) for c in zip(*parts))
+        cells = [np.ascontiguousarray(bins), g, ids]
+        return pa.RecordBatch.from_arrays([pa.array([len(g)], pa.int32()), *[pa.array([c.tobytes()], pa.binary()) for c in cells]], ["n", "bins", "g", "id"])
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for batch in batches:
             for i in range(0, batch.num_rows, BLOCK_ROWS):
                 part = batch.slice(i, BLOCK_ROWS)
                 n = part.num_rows
                 x = part.column(0).flatten().to_numpy(zero_copy_only=False).reshape(n, width)
-                bins = np.empty((n, width), np.uint8)
+                bins = np.empty((width, n), np.uint8)
                 for j, e in enumerate(edges):
-                    bins[:, j] = np.where(np.isnan(x[:, j]), MISSING, np.searchsorted(e, x[:, j], side="left"))
-                cells = [bins, part.column(1).to_numpy(zero_copy_only=False), part.column(2).to_numpy(zero_copy_only=False), np.full(n, base)]
-                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), *[pa.array([c.tobytes()], pa.binary()) for c in cells]], ["n", "bins", "y", "id", "pred"])
+                    bins[j] = np.where(np.isnan(x[:, j]), MISSING, np.searchsorted(e, x[:, j], side="left"))
+                parts.append((bins, base - part.column(1).to_numpy(zero_copy_only=False), part.column(2).to_numpy(zero_copy_only=False)))
+                held += n
+                if held >= BLOCK_ROWS:
+                    yield block(parts)
+                    parts, held = [], 0
+        if held:
+            yield block(parts)
 
-    return rows.mapInArrow(pack, "n int, bins binary, y binary, id binary, pred binary")
+    return rows.mapInArrow(pack, "n int, bins binary, g binary, id binary")
 
 
 def _unpack(batch: pa.RecordBatch, width: int):
-    for n, bins, y, ids, pred in zip(*[c.to_pylist() for c in batch.columns]):
-        yield n, np.frombuffer(bins, np.uint8).reshape(n, width), np.frombuffer(y), np.frombuffer(ids, np.int64), np.frombuffer(pred)
-
-
-def _walk(tree: Tree, cut: list[int], bins: np.ndarray) -> np.ndarray:
-    """The leaf of each row, by bins."""
-    feature, at_most, default = np.array(tree.feature), np.array(cut), np.array(tree.missing_left)
-    left, right = np.array(tree.left), np.array(tree.right)
-    at, rows = np.zeros(len(bins), dtype=np.int64), np.arange(len(bins))
-    while True:
-        inner = left[at] >= 0
-        if not inner.any():
-            return at
-        b = bins[rows, np.maximum(feature[at], 0)]
-        goes = np.where(b == MISSING, default[at], b <= at_most[at])
-        at = np.where(inner, np.where(goes, left[at], right[at]), at)
+    for n, bins, g, ids in zip(*batch.columns):
+        bins = np.frombuffer(bins.as_buffer(), np.uint8).reshape(width, n.as_py())
+        yield bins, np.frombuffer(g.as_buffer()), np.frombuffer(ids.as_buffer(), np.int64)
+
+
+def _rows_of(tree: Tree, cut: list[int], bins: np.ndarray, wanted: list[int], rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(node, its rows) for the wanted nodes; only their branches are followed."""
+    asked, needed = set(wanted), set(wanted)
+    for i in reversed(range(len(tree.left))):  # children come after their parent
+        if tree.left[i] >= 0 and (tree.left[i] in needed or tree.right[i] in needed):
+            needed.add(i)
+    stack = [(0, rows)] if 0 in needed else []
+    while stack:
+        i, rows = stack.pop()
+        if i in asked:
+            yield i, rows
+        if tree.left[i] < 0:
+            continue
+        left, right = tree.left[i] in needed, tree.right[i] in needed
+        if left or right:
+            b = bins[tree.feature[i]][rows]
+            goes = (b <= cut[i]) | (b == MISSING) if tree.missing_left[i] else b <= cut[i]
+            if left:
+                stack.append((tree.left[i], rows[goes]))
+            if right:
+                stack.append((tree.right[i], rows[~goes]))
 
 
 def drawn(ids: np.ndarray, seed: int, tree: int, share: float) -> np.ndarray:
@@ -187,7 +208,7 @@ class _Grower:
         self._new((0.0, 0.0), 0)
         self._learn([0])
         h = self.nodes[0].histogram
-        self.nodes[0].sums = tuple(h[0].sum(axis=0).tolist()) if len(h) else (0.0, 0.0)
+        self.nodes[0].sums = tuple(h[chosen[0]].sum(axis=0).tolist()) if chosen else (0.0, 0.0)
         self._judge(0)
 
     def _new(self, sums, depth: int) -> int:
@@ -273,37 +294,36 @@ def fit(df: DataFrame, settings: Settings, key: list[str] = (), features: str =
     width, base = len(cuts), df.agg(F.avg(F.col(label).cast("double"))).first()[0]
     if base is None:
         return Ensemble([], s.rate, float("nan"), width)
-    blocks = materialize(_blocks(df, cuts, features, label, list(key), s.seed, base), "binned").persist()
+    # the passes are many and the same: an equal share of the blocks for each core
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    blocks = materialize(_blocks(df, cuts, features, label, list(key), s.seed, base).repartition(cores), "binned").coalesce(cores).persist()
     few = blocks.rdd.getNumPartitions() <= FEW_PARTS
     random = np.random.default_rng(s.seed)
     trees: list[Tree] = []
-    done: list[tuple[Tree, list[int]]] = []
-
-    def added(pred: np.ndarray, bins: np.ndarray, since) -> np.ndarray:
-        for tree, cut in since:
-            pred = pred + s.rate * np.array(tree.value)[_walk(tree, cut, bins)]
-        return pred
+    stale: list[DataFrame] = []
+    sizes = [len(c) for c in cuts]
 
     for number in range(s.rounds):
         chosen = sorted(random.permutation(width)[: max(1, round(s.features * width))].tolist()) if width else []
+        # the bins of the chosen features one after the other, each with its missing last
+        starts = np.cumsum([0, *[sizes[f] + 1 for f in chosen]]).tolist()
 
-        def read(tree: Tree, cut: list[int], wanted: list[int], number=number):
-            place = np.full(len(tree.value), -1)
-            place[wanted] = np.arange(len(wanted))
-            size, since = len(wanted) * width * 256, list(done)
+        def read(tree: Tree, cut: list[int], wanted: list[int], number=number, blocks=blocks, chosen=chosen, starts=starts):
+            place = {i: k for k, i in enumerate(wanted)}
 
             def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                total = np.zeros((2, size))
+                total = np.zeros((len(wanted), starts[-1], 2))
                 for batch in batches:
-                    for _, bins, y, ids, pred in _unpack(batch, width):
-                        slot = place[_walk(tree, cut, bins)]
-                        mine = (slot >= 0) & drawn(ids, s.seed, number, s.rows)
-                        bins = bins[mine]
-                        g = (added(pred[mine], bins, since) - y[mine])
-                        at = slot[mine][:, None] * (width * 256) + np.arange(width) * 256 + bins
-                        total[0] += np.bincount(at.ravel(), np.repeat(g, width), size)
-                        total[1] += np.bincount(at.ravel(), minlength=size)
-                chunks = total.reshape(2, len(wanted), -1).transpose(1, 2, 0).reshape(len(wanted), -1)
+                    for bins, g, ids in _unpack(batch, width):
+                        drew = np.flatnonzero(drawn(ids, s.seed, number, s.rows)).astype(np.int32)
+                        for i, rows in _rows_of(tree, cut, bins, wanted, drew):
+                            own = g[rows]
+                            for f, at in zip(chosen, starts):
+                                b, k = bins[f][rows], sizes[f]
+                                for side, found in ((0, np.bincount(b, own, 256)), (1, np.bincount(b, minlength=256))):
+                                    total[place[i], at : at + k, side] += found[:k]
+                                    total[place[i], at + k, side] += found[MISSING]
+                chunks = total.reshape(len(wanted), -1)
                 cells = pa.array([c.tobytes() for c in chunks], pa.binary()) if few else pa.array(chunks.tolist(), pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(wanted)), pa.int32()), cells], ["node", "sums"])
 
@@ -311,29 +331,40 @@ def fit(df: DataFrame, settings: Settings, key: list[str] = (), features: str =
             if not few:  # one row a node and position: summed before they reach the driver
                 cells = parts.select("node", F.posexplode("sums").alias("i", "v")).groupBy("node", "i").agg(F.sum("v").alias("v"))
                 parts = cells.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda c: c["v"]).alias("sums"))
-            out = np.zeros((len(wanted), width, 256, 2))
+            found = np.zeros((len(wanted), starts[-1], 2))
             for r in parts.collect():
-                own = np.frombuffer(r["sums"]) if few else np.array(r["sums"])
-                out[r["node"]] += own.reshape(width, 256, 2)
+                found[r["node"]] += (np.frombuffer(r["sums"]) if few else np.array(r["sums"])).reshape(starts[-1], 2)
+            out = np.zeros((len(wanted), width, 256, 2))
+            for f, at in zip(chosen, starts):
+                out[:, f, : sizes[f]], out[:, f, MISSING] = found[:, at : at + sizes[f]], found[:, at + sizes[f]]
             return out
 
         tree, cut = _Grower(read, cuts, chosen, s).grow(cuts)
+        while stale:  # the root's pass has filled the cache of the present blocks
+            stale.pop().unpersist()
         trees.append(tree)
         if len(tree.value) == 1 and s.rows >= 1 and s.features >= 1:
             break  # nothing is left to gain, and the next round would see the same
-        done.append((tree, cut))
-        if len(done) == STORE_TREES and number + 1 < s.rounds:
-            since = list(done)
-
-            def store(batches: Iterator[pa.RecordBatch], since=since) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    pred = [added(p, bins, since).tobytes() for _, bins, _, _, p in _unpack(batch, width)]
-                    yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(pred, pa.binary())], batch.schema.names)
-
-            stored = materialize(blocks.mapInArrow(store, blocks.schema), "boosted").persist()
-            blocks.unpersist()
-            blocks, done = stored, []
-    blocks.unpersist()
+        if number + 1 == s.rounds:
+            break
+
+        def move(batches: Iterator[pa.RecordBatch], tree=tree, cut=cut) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                moved = []
+                for bins, g, ids in _unpack(batch, width):
+                    g = g.copy()
+                    for i, rows in _rows_of(tree, cut, bins, tree.leaves(), np.arange(len(g), dtype=np.int32)):
+                        g[rows] += s.rate * tree.value[i]
+                    moved.append(g.tobytes())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(moved, pa.binary()), batch.column(3)], batch.schema.names)
+
+        stale.append(blocks)
+        blocks = blocks.mapInArrow(move, blocks.schema)
+        if (number + 1) % STORE_TREES == 0:
+            blocks = materialize(blocks, "boosted").coalesce(cores)
+        blocks = blocks.persist()
+    for b in (*stale, blocks):
+        b.unpersist()
     return Ensemble(trees, s.rate, float(base), width)
 
 

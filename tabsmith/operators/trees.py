@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from tabsmith.operators.features import FEATURES
 from tabsmith.session import scratch_path
 
-#: Rows that are worked on at a time.
-ROWS = 8192
+#: Rows that are worked on at a time, and cells of a batch of features from many rows.
+ROWS, CHUNK_CELLS = 8192, 1_000_000
+#: Numbers in the Shapley values of a tree's grid, and in all grids that a task keeps.
+GRID, KEPT = 1 << 21, 1 << 23
 
 
 @dataclass
@@ -125,12 +127,7 @@ class Ensemble:
     def shapley(self, x: np.ndarray) -> np.ndarray:
         """Exact Shapley values, rows x features, of the game in which absent features follow the training
         counts at the splits. A row's values add up to its prediction minus `expected`."""
-        out = np.zeros((len(x), self.width))
-        for t in self.trees:
-            for leaf in leaf_table(t):
-                if leaf.features:
-                    _add_leaf(out, x, leaf, self.weight)
-        return out
+        return _Shapley(self).values(x)
 
     def dependence(self, feature: int, grid: list[float]) -> list[float]:
         """Mean prediction when a feature has each value of the grid, other splits weighted by training counts."""
@@ -147,6 +144,71 @@ class Ensemble:
         return out.tolist()
 
 
+class _Shapley:
+    """Shapley values of rows. A tree sees of a row only between which of its thresholds each feature lies; where
+    the grid of these intervals is not much larger than the rows, its values are worked out once, leaf by leaf,
+    and looked up. Grids are kept for later rows as far as there is room."""
+
+    def __init__(self, ensemble: Ensemble):
+        self.of, self.grids, self.room = ensemble, {}, KEPT
+
+    def values(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(x), self.of.width))
+        rows = range(0, len(x), ROWS)
+        axes = {}
+        for f in sorted({f for t in self.of.trees for f, at in zip(t.feature, t.left) if at >= 0}):
+            # each feature is placed once among the thresholds of all trees, the missing last
+            cuts = np.unique([c for t in self.of.trees for g, c, at in zip(t.feature, t.threshold, t.left) if g == f and at >= 0])
+            axes[f] = cuts, np.where(np.isnan(x[:, f]), len(cuts) + 1, np.searchsorted(cuts, x[:, f], side="left"))
+        for number, t in enumerate(self.of.trees):
+            grid = self.grids.get(number) or self._grid(number, t, len(x))
+            if grid is None:
+                for leaf in leaf_table(t):
+                    for i in rows if leaf.features else ():
+                        _add_leaf(out[i : i + ROWS], x[i : i + ROWS], leaf, self.of.weight)
+                continue
+            used, cuts, table = grid
+            if not used:
+                continue
+            cell = 0
+            for f, own in zip(used, cuts):
+                every, place = axes[f]
+                # an interval among all thresholds lies in one of the tree's own
+                to = np.append(np.searchsorted(own, every, side="left"), [len(own), len(own) + 1])
+                cell = cell * (len(own) + 2) + to[place]
+            found = table[cell]
+            for k, f in enumerate(used):
+                out[:, f] += found[:, k]
+        return out
+
+    def _grid(self, number: int, tree: Tree, rows: int):
+        """Used features, their thresholds, and a row of values for each cell; None if that is too much."""
+        used = sorted({f for f, at in zip(tree.feature, tree.left) if at >= 0})
+        cuts = [np.unique([c for g, c, at in zip(tree.feature, tree.threshold, tree.left) if g == f and at >= 0]) for f in used]
+        shape = [len(c) + 2 for c in cuts]
+        cells = int(np.prod(shape, dtype=float)) if len(used) <= 12 else GRID
+        if cells > 4 * rows or cells * len(used) > GRID:
+            return None
+        # a value of each interval: its upper end, beyond the last threshold infinity, and the missing
+        ends = [np.concatenate([c, [inf, np.nan]]) for c in cuts]
+        out = np.zeros((len(used), *shape))
+        for leaf in leaf_table(tree):
+            m, code = len(leaf.features), 0
+            for j, f in enumerate(leaf.features):
+                k = used.index(f)
+                meets = np.where(np.isnan(ends[k]), leaf.missing[j], (ends[k] > leaf.low[j]) & (ends[k] <= leaf.high[j]))
+                code = code + (meets.astype(np.int64) << j).reshape([-1 if i == k else 1 for i in range(len(used))])
+            if m:
+                patterns = (np.arange(2**m)[:, None] >> np.arange(m)) & 1
+                values = _coefficients(patterns.astype(float), np.array(leaf.share)) * (self.of.weight * leaf.value)
+                for j, f in enumerate(leaf.features):
+                    out[used.index(f)] += values[code, j]
+        grid = used, cuts, np.ascontiguousarray(out.reshape(len(used), -1).T)
+        if out.size <= self.room:
+            self.grids[number], self.room = grid, self.room - out.size
+        return grid
+
+
 def _coefficients(passes: np.ndarray, share: np.ndarray) -> np.ndarray:
     """For rows of 0/1 `passes`: the weight of each feature in the leaf's Shapley values.
 
@@ -209,13 +271,24 @@ def with_shapley(df: DataFrame, ensemble: Ensemble, features: str = FEATURES, na
 def shapley_importance(df: DataFrame, ensemble: Ensemble, names: list[str], features: str = FEATURES) -> DataFrame:
     """feature, importance: the mean absolute Shapley value over all rows, from one sum a task and feature."""
     width = ensemble.width
+    most = max(ROWS, CHUNK_CELLS // max(width, 1))
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(width), 0
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        held, n = [], 0
         for batch in batches:
             for i in range(0, batch.num_rows, ROWS):
-                x = _matrix(batch.column(0).slice(i, ROWS), width)
-                total, n = total + np.abs(ensemble.shapley(x)).sum(axis=0), n + len(x)
+                held.append(_matrix(batch.column(0).slice(i, ROWS), width))
+                n += len(held[-1])
+                if n >= most:
+                    yield np.concatenate(held)
+                    held, n = [], 0
+        if held:
+            yield np.concatenate(held)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n, shapley = np.zeros(width), 0, _Shapley(ensemble)
+        for x in chunks(batches):
+            total, n = total + np.abs(shapley.values(x)).sum(axis=0), n + len(x)
         yield pa.RecordBatch.from_pydict({"slot": pa.array(range(width), pa.int32()), "s": pa.array(total), "n": pa.array([n] * width, pa.int64())})
 
     parts = df.select(vector_to_array(features).alias("x")).mapInArrow(sums, "slot int, s double, n long")

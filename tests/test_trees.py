@@ -181,3 +181,27 @@ def test_dependence_is_the_weighted_traversal(ensembles, kind):
         x[:, f] = grid
         want = [e.base + e.weight * sum(subset_value(t, row, {f}) for t in e.trees) for row in x]
         assert e.dependence(f, grid) == pytest.approx(want, abs=1e-9)
+
+
+def test_blocks_hold_gradients_of_many_batches(spark):
+    x = np.arange(60_000, dtype=float).reshape(-1, 2)
+    df = frame(spark, x, np.ones(len(x)), 1)
+    blocks = boosting._blocks(df, [[1.0, 70_000.0]] * 2, "features", "label", ["id"], 42, 3.0)
+    assert blocks.columns == ["n", "bins", "g", "id"], "the trees so far are in the gradient, not walked in each pass"
+    (only,) = blocks.collect()
+    assert only["n"] == len(x) and set(np.frombuffer(only["g"])) == {2.0}
+
+
+@pytest.mark.parametrize("kind", ["forest", "boosted"])
+def test_shapley_grids_spare_the_leaves_of_many_rows(ensembles, kind, monkeypatch):
+    e, x, *_ = ensembles[kind]
+    want = e.shapley(x[:40])
+    monkeypatch.setattr(trees, "GRID", 0)
+    assert e.shapley(x[:40]) == pytest.approx(want, abs=1e-9)
+    monkeypatch.undo()
+    monkeypatch.setattr(trees, "_add_leaf", None)
+    many = np.tile(x, (30, 1))
+    many[-1] = [np.inf, -1e300, np.nan, 0.0]
+    got = e.shapley(many)
+    assert got[:40] == pytest.approx(want, abs=1e-9)
+    assert got.sum(axis=1) + e.expected() == pytest.approx(e.predict(many), abs=1e-9)
