@@ -105,13 +105,18 @@ def _fit_whole(p: int, q: int, constant: bool):
 
 
 def _elements(points: dict[int, list], p: int, q: int):
-    """Column function: (series number, first position, values) to one element for each point of that series."""
+    """Column function: (series number, first position, values) to one element for each point of that series.
+
+    Gains depend on the point and the position alone: a task works them out once for all its slices of a series."""
+    filters: dict[int, list[kalman.Filter]] = {}
 
     @F.pandas_udf("array<array<double>>")
     def run(number: pd.Series, start: pd.Series, values: pd.Series) -> pd.Series:
         def one(i, t, z):
-            z = np.asarray(z, dtype=float)
-            return [e.numbers() for e in kalman.elements(z, int(t), _filters(points.get(int(i), []), p, q))]
+            z, i = np.asarray(z, dtype=float), int(i)
+            if i not in filters:
+                filters[i] = _filters(points.get(i, []), p, q)
+            return [e.numbers() for e in kalman.elements(z, int(t), filters[i])]
 
         return pd.Series([one(*row) for row in zip(number, start, values)])
 
@@ -192,11 +197,16 @@ def _fit_long(cells: DataFrame, p: int, q: int, constant: bool, slices: int, row
 
 def _errors(p: int, q: int):
     """Column function: one-step prediction errors of a slice's values."""
+    kept: dict[tuple, kalman.Filter] = {}
 
     @F.pandas_udf("array<double>")
     def run(estimates: pd.Series, start: pd.Series, state: pd.Series, values: pd.Series) -> pd.Series:
         def one(est, t, at, z):
-            (f,), mean = _filters([est[: p + q]], p, q), est[p + q]
+            free, mean = tuple(est[: p + q]), est[p + q]
+            if free not in kept:  # the gains of the last series only: its slices follow each other
+                kept.clear()
+                (kept[free],) = _filters([free], p, q)
+            f = kept[free]
             forms = kalman.innovations(np.asarray(z, dtype=float), int(t), f)
             begin = np.asarray(at, dtype=float).reshape(f.size, 2) @ [1.0, -mean] if at is not None else np.zeros(f.size)
             return (forms[:, 0] - mean * forms[:, 1] + forms[:, 2:] @ begin).tolist()
@@ -260,7 +270,9 @@ def fit(
         names = df.sparkSession.createDataFrame([m[:-2] for m in many], schema)
         own = join_null_safe(cells.where("_last > 0"), broadcast_if_small(names), ks)
         start = F.col("_slice").cast("long") * slice_rows
-        stored = materialize(own.select("number", F.col("_slice").alias("slice"), start.alias("start"), F.col("_rows.z").alias("z")), "long")
+        # slices of a series lie together, so that a task works out the gains of few series
+        dealt = own.select("number", F.col("_slice").alias("slice"), start.alias("start"), F.col("_rows.z").alias("z"))
+        stored = materialize(dealt.repartitionByRange(parts, "number", "slice"), "long")
         found, states = _fit_long(stored, p, q, constant, max(m[-1] for m in many) + 1, {m[-3]: m[-2] for m in many})
         table = df.sparkSession.createDataFrame(list(found.items()), "number int, _est array<double>")
         states = states.select("number", F.col("slice").alias("_slice"), F.col("state").alias("_state"))

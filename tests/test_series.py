@@ -98,3 +98,23 @@ def test_two_stages_are_near_the_maximum(spark):
     df = spark.createDataFrame([("k", i, float(v)) for i, v in enumerate(series(11, 3000, [0.6], [0.3]))], "k string, i long, v double")
     a, b = (f(df, ["k"], "v", ["i"], 1, 0, 1)[0].first() for f in (arima.fit, arima.fit_two_stage))
     assert a["ar"][0] == pytest.approx(b["ar"][0], abs=0.05) and a["ma"][0] == pytest.approx(b["ma"][0], abs=0.05)
+
+
+def test_a_task_works_out_the_gains_of_a_series_once(monkeypatch):
+    import pandas as pd
+
+    made, plain = [], arima._filters
+    monkeypatch.setattr(arima, "_filters", lambda points, p, q: made.append(len(points)) or plain(points, p, q))
+    z = series(4, 600, [0.5], [0.3])
+    numbers, starts, slices = pd.Series([7] * 6), pd.Series(range(0, 600, 100)), pd.Series([z[i : i + 100] for i in range(0, 600, 100)])
+    found = arima._elements({7: [[0.2, 0.1], [0.4, 0.3]]}, 1, 1).func(numbers, starts, slices)
+    assert made == [2], "not once a slice"
+    want = kalman.elements(z, 0, plain([[0.4, 0.3]], 1, 1))[0]
+    whole = None
+    for row in found:
+        e = kalman.Element.of(row[1], want.state.shape[0])
+        whole = e if whole is None else whole.then(e)
+    assert whole.squares == pytest.approx(want.squares, rel=1e-9) and whole.rows == 600
+    made.clear()
+    errors = arima._errors(1, 1).func(pd.Series([[0.4, 0.3, 0.0, 1.0, 0.0]] * 6), starts, pd.Series([None] * 6), slices)
+    assert made == [1] and len(errors[0]) == 100
