@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -161,33 +162,63 @@ class MovingRange(StatefulProcessor):
     def _release(self, key, timer_values, kept: tuple) -> Iterator[pd.DataFrame]:
         last, passed, late, earliest = kept
         mark = timer_values.getCurrentWatermarkInMs() * 1000
-        ready: list[tuple] = []
+        ready: list[np.ndarray] = []
         for i in range(RING):
             if earliest[i] is None or earliest[i] > mark:
                 continue
-            rows = list(self.lists[i].get())
-            rest = [r for r in rows if r[0] > mark]
-            ready += [r for r in rows if r[0] <= mark]
-            if rest:
-                self.lists[i].put(rest)
-            else:
-                self.lists[i].clear()
-            earliest[i] = min((r[0] for r in rest), default=None)
-        if ready or passed is not None:
+            rest, due = [], []
+            for rows in _packed(self.lists[i].get()):  # a few numbers a row, never a list of all
+                due.append(rows[rows["at"] <= mark])
+                rest.append(rows[rows["at"] > mark])
+            ready += due
+            young = [r for r in rest if len(r)]
+            self.lists[i].clear()
+            for rows in young:
+                self.lists[i].appendList(_plain(rows))
+            earliest[i] = min((int(r["at"].min()) for r in young), default=None)
+        rows = np.concatenate(ready) if ready else np.empty(0, PACKED)
+        del ready
+        if len(rows) or passed is not None:
             passed = mark if passed is None else max(passed, mark)
-        ready.sort(key=lambda r: tuple((x is not None, x) for x in r))
-        out = []
-        for at, row_id, value in ready:
-            mr = None if last is None or value is None else abs(value - last)
-            out.append((key[0], pd.Timestamp(at, unit="us"), row_id, value, mr, late))
-            last = value
+        rows = rows[np.lexsort((rows["value"], rows["has_value"], rows["id"], rows["has_id"], rows["at"]))]
+        begun, last = last, _last(rows, last)
         self.kept.update((last, passed, late, earliest))
         pending = [t for t in earliest if t is not None]
         if pending:
             self.handle.registerTimer(-(-min(pending) // 1000))
-        if out:
-            frame = pd.DataFrame(out, columns=["key", "ts", "id", "value", "mr", "late"])
-            yield frame.astype({"id": "Int64", "value": "Float64", "mr": "Float64", "late": "int64"})
+        for i in range(0, len(rows), RELEASED):
+            part = rows[i : i + RELEASED]
+            before = _last(rows[:i][-1:], begun)
+            value = np.where(part["has_value"], part["value"], np.nan)
+            mr = np.abs(value - np.concatenate([[np.nan if before is None else before], value[:-1]]))
+            # NaN stands for NULL, as rows with NaN are stored without a value
+            yield pd.DataFrame(
+                {
+                    "key": key[0], "ts": part["at"].astype("datetime64[us]"), "id": pd.arrays.IntegerArray(part["id"].copy(), ~part["has_id"]),
+                    "value": pd.arrays.FloatingArray(value, ~part["has_value"]), "mr": pd.arrays.FloatingArray(mr, np.isnan(mr)), "late": np.int64(late),
+                }
+            )
+
+
+#: A pending row in memory, and rows that are read, written or given out at a time.
+PACKED = np.dtype([("at", "i8"), ("id", "i8"), ("value", "f8"), ("has_id", "?"), ("has_value", "?")])
+RELEASED = 10_000
+
+
+def _packed(rows: Iterator[tuple]) -> Iterator[np.ndarray]:
+    while some := list(islice(rows, RELEASED)):
+        yield np.array([(at, i or 0, v or 0.0, i is not None, v is not None) for at, i, v in some], PACKED)
+
+
+def _plain(rows: np.ndarray) -> list[tuple]:
+    return [(at, i if has_id else None, v if has_value else None) for at, i, v, has_id, has_value in rows.tolist()]
+
+
+def _last(rows: np.ndarray, before: float | None) -> float | None:
+    """The value of the last row, or what was before the first."""
+    if not len(rows):
+        return before
+    return float(rows["value"][-1]) if rows["has_value"][-1] else None
 
 
 def _or_none(x, kind: type):

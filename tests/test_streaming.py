@@ -95,3 +95,66 @@ def pending(spark, state, batch):
         read = spark.read.format("statestore").option("stateVarName", f"slot{i}").option("batchId", batch)
         total += read.load(str(state)).count()
     return total
+
+
+class Kept:
+    """A state variable of one key, in memory."""
+
+    def __init__(self):
+        self.rows = None
+
+    def exists(self):
+        return self.rows is not None
+
+    def get(self):
+        return iter(self.rows) if isinstance(self.rows, list) else self.rows
+
+    def update(self, row):
+        self.rows = row
+
+    def clear(self):
+        self.rows = None
+
+    def appendList(self, rows):
+        self.rows = [*(self.rows or []), *rows]
+
+
+class Handle:
+    def __init__(self):
+        self.timers = []
+
+    def getValueState(self, name, schema):
+        return Kept()
+
+    getListState = getValueState
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+
+class Mark:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_moving_range_gives_out_many_rows_in_parts(monkeypatch):
+    monkeypatch.setattr(quality, "RELEASED", 70, raising=False)
+    job, handle = quality.MovingRange(1_000_000), Handle()
+    job.init(handle)
+    rng = random.Random(8)
+    rows = [(rng.randrange(1, 401) * 100_000, None if i % 50 == 7 else i, None if i % 11 == 3 else rng.random()) for i in range(1000)]
+    pdf = pd.DataFrame(rows, columns=["at", "id", "value"]).assign(ts=lambda d: pd.to_datetime(d["at"], unit="us"))
+    assert not list(job.handleInputRows(("k",), iter([pdf]), Mark(0)))
+    assert handle.timers
+    parts = [p for ms in (25_000, 60_000) for p in job.handleExpiredTimer(("k",), Mark(ms), None)]
+    assert max(map(len, parts)) <= 70, "a key's rows are never one frame"
+    got = pd.concat(parts).astype(object).where(lambda d: d.notna(), None)
+    want, last = [], None
+    for at, i, v in sorted(rows, key=lambda r: tuple((x is not None, x) for x in r)):
+        want.append((pd.Timestamp(at, unit="us"), i, v, None if last is None or v is None else abs(v - last)))
+        last = v
+    assert list(got[["ts", "id", "value", "mr"]].itertuples(index=False, name=None)) == want
+    assert all(not k.exists() for k in job.lists)
