@@ -100,7 +100,7 @@ def test_two_stages_are_near_the_maximum(spark):
     assert a["ar"][0] == pytest.approx(b["ar"][0], abs=0.05) and a["ma"][0] == pytest.approx(b["ma"][0], abs=0.05)
 
 
-def test_a_task_works_out_the_gains_of_a_series_once(monkeypatch):
+def test_a_task_works_out_the_gains_of_a_series_once(spark, monkeypatch):
     import pandas as pd
 
     made, plain = [], arima._filters
