@@ -163,12 +163,17 @@ def _rows_of(tree: Tree, cut: list[int], bins: np.ndarray, wanted: list[int], ro
                 stack.append((tree.right[i], rows[~goes]))
 
 
-def drawn(ids: np.ndarray, seed: int, tree: int, share: float) -> np.ndarray:
-    """Rows that a tree reads: a share of all, by a hash of the row and the tree (splitmix64)."""
-    z = ids.astype(np.uint64) + np.uint64((seed * 1_000_003 + tree) * 0x9E3779B97F4A7C15 % 2**64)
+def mixed(ids: np.ndarray, salt: int) -> np.ndarray:
+    """A hash of each id and the salt (splitmix64)."""
+    z = ids.astype(np.uint64) + np.uint64(salt * 0x9E3779B97F4A7C15 % 2**64)
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return (z ^ (z >> np.uint64(31))) >= np.uint64(int((1 - share) * 2**64)) if share < 1 else np.ones(len(ids), bool)
+    return z ^ (z >> np.uint64(31))
+
+
+def drawn(ids: np.ndarray, seed: int, tree: int, share: float) -> np.ndarray:
+    """Rows that a tree reads: a share of all, by a hash of the row and the tree."""
+    return mixed(ids, seed * 1_000_003 + tree) >= np.uint64(int((1 - share) * 2**64)) if share < 1 else np.ones(len(ids), bool)
 
 
 def best_split(histogram: np.ndarray, sums: tuple[float, float], cuts: list[int], chosen: list[int], s: Settings) -> Split | None:

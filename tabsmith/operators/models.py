@@ -11,9 +11,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import (
-    DecisionTreeRegressor, LinearRegression, RandomForestRegressor,
-)
+from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +20,7 @@ from tabsmith.functions.scalars import number
 from tabsmith.functions.tails import t_two_sided
 from tabsmith.operators import evaluation
 from tabsmith.operators.features import FEATURES
+from tabsmith.operators.forest import ForestRegressor
 
 SEED = 42
 
@@ -102,8 +101,8 @@ def lasso(alpha: float = 1.0, max_iter: int = 200) -> LinearRegression:
     )
 
 
-def rf_regression(trees: int = 100, depth: int = 8) -> RandomForestRegressor:
-    return RandomForestRegressor(featuresCol=FEATURES, labelCol="label", numTrees=trees, maxDepth=depth, seed=SEED)
+def rf_regression(trees: int = 100, depth: int = 8) -> ForestRegressor:
+    return ForestRegressor(featuresCol=FEATURES, labelCol="label", numTrees=trees, maxDepth=depth, seed=SEED)
 
 
 def logistic(rows: int, c: float = 1.0, max_iter: int = 100) -> LogisticRegression:

@@ -119,6 +119,15 @@ class Ensemble:
             out += self.weight * np.array(t.value)[t.walk(x)]
         return out
 
+    def cuts(self) -> dict[int, np.ndarray]:
+        """The thresholds of all trees, ascending, of each feature that they split on."""
+        found: dict[int, set] = {}
+        for t in self.trees:
+            for f, c, at in zip(t.feature, t.threshold, t.left):
+                if at >= 0:
+                    found.setdefault(f, set()).add(c)
+        return {f: np.array(sorted(found[f])) for f in sorted(found)}
+
     def expected(self) -> float:
         """The mean prediction by the training counts in the nodes."""
         tables = (leaf for t in self.trees for leaf in leaf_table(t))
@@ -144,6 +153,42 @@ class Ensemble:
         return out.tolist()
 
 
+def _place(cuts: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Between which thresholds each value lies, the missing last."""
+    return np.where(np.isnan(x), len(cuts) + 1, np.searchsorted(cuts, x, side="left"))
+
+
+class _Cells:
+    """Predictions of rows. Trees see of a row only between which thresholds each feature lies, so rows that agree on
+    this have one prediction: it is worked out once, and kept for later rows as far as there is room."""
+
+    def __init__(self, ensemble: Ensemble):
+        self.of, self.axes = ensemble, ensemble.cuts()
+        self.codes, self.found = np.empty(0, np.int64), np.empty(0)
+        self.fits = np.prod([len(c) + 2.0 for c in self.axes.values()]) < 2**62
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        if not self.fits:
+            return self.of.predict(x)
+        code = np.zeros(len(x), np.int64)
+        for f, cuts in self.axes.items():
+            code = code * (len(cuts) + 2) + _place(cuts, x[:, f])
+        out = np.empty(len(x))
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        known = self.codes[at] == code if len(self.codes) else np.zeros(len(x), bool)
+        out[known] = self.found[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            codes, first, back = np.unique(code[new], return_index=True, return_inverse=True)
+            values = self.of.predict(x[new[first]])
+            out[new] = values[back]
+            if len(self.codes) + len(codes) <= KEPT // 8:
+                both = np.concatenate([self.codes, codes])
+                order = np.argsort(both, kind="stable")
+                self.codes, self.found = both[order], np.concatenate([self.found, values])[order]
+        return out
+
+
 class _Shapley:
     """Shapley values of rows. A tree sees of a row only between which of its thresholds each feature lies; where
     the grid of these intervals is not much larger than the rows, its values are worked out once, leaf by leaf,
@@ -155,11 +200,8 @@ class _Shapley:
     def values(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros((len(x), self.of.width))
         rows = range(0, len(x), ROWS)
-        axes = {}
-        for f in sorted({f for t in self.of.trees for f, at in zip(t.feature, t.left) if at >= 0}):
-            # each feature is placed once among the thresholds of all trees, the missing last
-            cuts = np.unique([c for t in self.of.trees for g, c, at in zip(t.feature, t.threshold, t.left) if g == f and at >= 0])
-            axes[f] = cuts, np.where(np.isnan(x[:, f]), len(cuts) + 1, np.searchsorted(cuts, x[:, f], side="left"))
+        # each feature is placed once among the thresholds of all trees
+        axes = {f: (cuts, _place(cuts, x[:, f])) for f, cuts in self.of.cuts().items()}
         for number, t in enumerate(self.of.trees):
             grid = self.grids.get(number) or self._grid(number, t, len(x))
             if grid is None:
@@ -260,7 +302,7 @@ def _scored(ensemble: Ensemble, how, kind: str) -> Column:
 
 
 def with_prediction(df: DataFrame, ensemble: Ensemble, features: str = FEATURES, name: str = "prediction") -> DataFrame:
-    return df.withColumn(name, _scored(ensemble, ensemble.predict, "double")(vector_to_array(features)))
+    return df.withColumn(name, _scored(ensemble, _Cells(ensemble).predict, "double")(vector_to_array(features)))
 
 
 def with_shapley(df: DataFrame, ensemble: Ensemble, features: str = FEATURES, name: str = "shapley") -> DataFrame:
@@ -303,7 +345,9 @@ def dependence_table(df: DataFrame, ensemble: Ensemble, feature: int, name: str,
 
 
 def from_forest(spark: SparkSession, model, width: int) -> Ensemble:
-    """An MLlib regression tree or forest; its splits must be on numbers (or on two categories)."""
+    """A fitted regression tree or forest; the splits of one of MLlib must be on numbers (or on two categories)."""
+    if hasattr(model, "ensemble"):
+        return model.ensemble
     path = scratch_path(spark, "forest")
     model.write().save(path)
     data = spark.read.parquet(f"{path}/data")

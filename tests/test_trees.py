@@ -10,7 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
-from tabsmith.operators import boosting, trees
+from tabsmith.operators import boosting, forest, models, trees
 
 
 def frame(spark, x, y, parts=4):
@@ -205,3 +205,99 @@ def test_shapley_grids_spare_the_leaves_of_many_rows(ensembles, kind, monkeypatc
     got = e.shapley(many)
     assert got[:40] == pytest.approx(want, abs=1e-9)
     assert got.sum(axis=1) + e.expected() == pytest.approx(e.predict(many), abs=1e-9)
+
+
+def plain_gains(x, y, w, node, features, cuts):
+    """The best split's gain of the rows of one node by trying all cuts."""
+    best = 0.0
+    score = lambda rows: (w[rows] @ y[rows]) ** 2 / w[rows].sum()
+    for f in features:
+        for c in cuts[f]:
+            left, right = node & (x[:, f] <= c), node & (x[:, f] > c)
+            if w[left].sum() and w[right].sum():
+                best = max(best, score(left) + score(right) - score(node))
+    return best
+
+
+@pytest.mark.parametrize("block", [7, 200_000])
+def test_forest_trees_split_best_by_their_bootstrap_rows(spark, monkeypatch, block):
+    r = np.random.default_rng(5)
+    x = np.column_stack([r.integers(0, 6, 600), r.integers(0, 3, 600), r.normal(size=600)]).astype(float)
+    y = np.round(x[:, 0] * 2 + (x[:, 1] == 1) * x[:, 2] + r.normal(size=600))
+    monkeypatch.setattr(forest, "BLOCK_UNITS", block)
+    df = frame(spark, x, y)
+    for count in (1, 4):
+        e, gains = forest.fit(df, count, 3, seed=9)
+        cuts, base, variance = forest.feature_cuts(df, "features", "label")
+        assert [len(c) for c in cuts] == [5, 2, forest.BINS - 1] and cuts[1] == [0.5, 1.5]
+        assert (base, variance) == (pytest.approx(y.mean()), pytest.approx(y.var()))
+        units = forest._units(df, cuts, "features", "label", 9).toPandas()
+        assert units["c"].sum() == 600 and units["c"].max() > 1
+        sums = np.zeros(3)
+        for t, tree in enumerate(e.trees):
+            w = forest.drawn_counts(units["id"].to_numpy(), units["c"].to_numpy(), 9, t).astype(float)
+            b = np.array([list(v) for v in units["bins"]], float)
+            edges = [np.arange(len(c)) for c in cuts]
+            rows, own = {0: np.ones(len(w), bool)}, np.zeros(3)
+            for i in range(len(tree.left)):
+                n = w[rows[i]].sum()
+                assert tree.cover[i] == n and tree.value[i] == pytest.approx(w[rows[i]] @ units["y"][rows[i]] / n)
+                if tree.left[i] < 0:
+                    continue
+                f = tree.feature[i]
+                c = cuts[f].index(tree.threshold[i])
+                left, right = rows[i] & (b[:, f] <= c), rows[i] & (b[:, f] > c)
+                rows[tree.left[i]], rows[tree.right[i]] = left, right
+                yy = units["y"].to_numpy() - base
+                got = (w[left] @ yy[left]) ** 2 / w[left].sum() + (w[right] @ yy[right]) ** 2 / w[right].sum() - (w[rows[i]] @ yy[rows[i]]) ** 2 / n
+                asked = range(3) if count == 1 else [f]  # a third of three features is one
+                assert got == pytest.approx(plain_gains(b, yy, w, rows[i], asked, edges), rel=1e-6)
+                own[f] += got
+            sums += own / own.sum()
+        assert gains == pytest.approx(sums / sums.sum())
+
+
+def test_forest_does_not_depend_on_the_layout_and_is_stored(spark, tmp_path):
+    r = np.random.default_rng(6)
+    x = np.round(r.normal(size=(900, 4)), 1)
+    y = x[:, 0] * x[:, 1] + 3 * x[:, 2]
+    one, many = (models.rf_regression(6, 5).fit(frame(spark, x, y, parts)) for parts in (1, 9))
+    assert one.ensemble.predict(x) == pytest.approx(many.ensemble.predict(x), abs=1e-9)
+    assert list(one.featureImportances) == pytest.approx(list(many.featureImportances), abs=1e-9)
+    one.write().save(f"{tmp_path}/forest")
+    again = forest.ForestModel.load(f"{tmp_path}/forest")
+    got = {q["id"]: q["prediction"] for q in again.transform(frame(spark, x, y)).select("id", "prediction").collect()}
+    assert [got[i] for i in range(len(x))] == pytest.approx(list(one.ensemble.predict(x)), abs=1e-9)
+    theirs = RandomForestRegressor(numTrees=60, maxDepth=5, seed=1).fit(frame(spark, x, y))
+    ours = models.rf_regression(60, 5).fit(frame(spark, x, y))
+    assert list(ours.featureImportances) == pytest.approx(list(theirs.featureImportances), abs=0.06)
+    assert trees.from_forest(spark, ours, 4).predict(x) == pytest.approx(trees.from_forest(spark, theirs, 4).predict(x), abs=1.5)
+
+
+def test_forest_draws_equal_rows_as_one(spark):
+    ids = np.arange(200_000)
+    for c in (1, 5, 1000):
+        w = forest.drawn_counts(ids, np.full(len(ids), c), 1, 0)
+        assert (w.mean(), w.var()) == (pytest.approx(c, rel=0.01), pytest.approx(c, rel=0.03))
+    ones = forest.drawn_counts(ids, np.ones(len(ids), int), 1, 0)
+    assert np.bincount(ones)[:3] / len(ids) == pytest.approx([np.exp(-1), np.exp(-1), np.exp(-1) / 2], abs=0.005)
+    x, y = np.tile([[0.0], [1.0]], (3000, 1)), np.tile([1.0, 2.0], 3000)
+    df = frame(spark, x, y, 3)
+    units = forest._units(df, [[0.5]], "features", "label", 1).collect()
+    assert sorted((r["y"], r["c"]) for r in units) == [(1.0, 3000), (2.0, 3000)], "a pass visits two units, not 6000 rows"
+    e, gains = forest.fit(df, 3, 4)
+    assert e.predict(np.array([[0.0], [1.0]])) == pytest.approx([1.0, 2.0]) and list(gains) == [1.0]
+    assert all(abs(t.cover[0] - 6000) < 500 for t in e.trees)
+    for lost in (df.where("id < 0"), df.withColumn("label", F.when(F.col("id") != 3, F.col("label"))), frame(spark, np.array([[np.nan], [1.0]]), [1.0, 2.0])):
+        with pytest.raises(ValueError):
+            forest.fit(lost, 2, 2)
+
+
+@pytest.mark.parametrize("kind", ["forest", "boosted"])
+def test_rows_of_one_cell_are_predicted_once(ensembles, kind, monkeypatch):
+    e, x, *_ = ensembles[kind]
+    want, cells = e.predict(x), trees._Cells(e)
+    assert cells.predict(x[:150]) == pytest.approx(want[:150], abs=1e-12)
+    assert cells.predict(x) == pytest.approx(want, abs=1e-12)
+    monkeypatch.setattr(trees.Ensemble, "predict", None)
+    assert cells.predict(np.tile(x, (9, 1))) == pytest.approx(np.tile(want, 9), abs=1e-12)
