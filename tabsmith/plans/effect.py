@@ -32,7 +32,9 @@ def industrial_effect(
     )
     model = models.rf_regression(trees).fit(train)
     metrics = models.evaluate_regression(model, train, test)
-    scores = {r["part"]: r["r2"] for r in metrics.collect()}
+    found = metrics.collect()  # a row a part: the report need not score all rows again
+    metrics = df.sparkSession.createDataFrame(found, metrics.schema)
+    scores = {r["part"]: r["r2"] for r in found}
     importance = models.importance_table(model, names, train)
     rules = models.joint_rules(train.unionByName(test), names, rule_depth, higher_better)
     pdp = None
