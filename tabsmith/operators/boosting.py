@@ -1,7 +1,8 @@
 """Gradient boosting of regression trees on binned features, depth-wise or leaf-wise.
 
 Features are cut once at quantiles and stored as one byte a cell, in blocks of rows with the gradient so
-far; each finished tree moves the gradients once, into cached blocks that the next tree reads. A pass adds
+far; each finished tree moves the gradients once, into cached blocks that the next tree reads. Rows of equal bins
+that are many become one cell, with the sums of the rows that each tree draws. A pass adds
 up, for the nodes it is asked for, gradients and counts by (feature, bin): tasks return fixed-size
 histograms and Spark sums them. Of two children only the smaller is read, the other is its parent minus the
 sibling. Missing values have a bin of their own, and each split learns to which side they go.
@@ -30,6 +31,8 @@ from tabsmith.session import materialize
 MISSING, BINS = 255, 254
 #: Trees after which gradients are stored anew, rows of a block, and parts whose histograms the driver adds itself.
 STORE_TREES, BLOCK_ROWS, FEW_PARTS = 20, 50_000, 64
+#: Rows that a task holds to see whether they collapse to cells, and bytes of the sums by cell that it keeps.
+GATHER_ROWS, HELD = 1 << 21, 1 << 27
 #: Columns whose quantiles one aggregate finds, and their precision.
 CUT_COLUMNS, ACCURACY = 100, 20_000
 #: Gains closer than this share count as equal: the first candidate wins, whatever the order of sums.
@@ -135,9 +138,77 @@ def _blocks(df: DataFrame, cuts: list[list[float]], features: str, label: str, k
 
 
 def _unpack(batch: pa.RecordBatch, width: int):
-    for n, bins, g, ids in zip(*batch.columns):
+    """bins, g, id and drawn of each block; cells have no id, rows nothing drawn (see `_collapsed`)."""
+    for n, bins, g, ids, sums in zip(*batch.columns):
         bins = np.frombuffer(bins.as_buffer(), np.uint8).reshape(width, n.as_py())
-        yield bins, np.frombuffer(g.as_buffer()), np.frombuffer(ids.as_buffer(), np.int64)
+        yield bins, np.frombuffer(g.as_buffer()), np.frombuffer(ids.as_buffer(), np.int64), np.frombuffer(sums.as_buffer()).reshape(2, -1, n.as_py())
+
+
+def _collapsed(blocks: DataFrame, sizes: list[int], s: Settings) -> DataFrame:
+    """Blocks with a column `drawn`: where many rows of a task have equal bins, they are replaced by cells. A cell's g is
+    what the trees have moved its rows by; for each tree to come, `drawn` has the number of its rows that the tree
+    reads, and the sum of their first gradients. Where this would take more room than the rows, they stay."""
+    width = len(sizes)
+    fits = np.prod([k + 2.0 for k in sizes]) < 2**62
+
+    def record(n: int, bins: bytes, g: bytes, ids: bytes, sums: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), *[pa.array([c], pa.binary()) for c in (bins, g, ids, sums)]], ["n", "bins", "g", "id", "drawn"])
+
+    def cells(bins: np.ndarray, g: np.ndarray, ids: np.ndarray):
+        """Codes, bins and sums (2 x trees x cells) of the cells of rows; None if there are too many."""
+        code = np.zeros(len(g), np.int64)
+        for k, b in zip(sizes, bins):
+            code = code * (k + 2) + np.where(b == MISSING, k + 1, b)
+        codes, first, of = np.unique(code, return_index=True, return_inverse=True)
+        if len(codes) * s.rounds > len(g):
+            return None
+        sums = np.empty((2, s.rounds, len(codes)))
+        for tree in range(s.rounds):
+            drew = drawn(ids, s.seed, tree, s.rows)
+            sums[0, tree] = np.bincount(of[drew], minlength=len(codes))
+            sums[1, tree] = np.bincount(of[drew], g[drew], len(codes))
+        return codes, bins[:, first], sums
+
+    def joined(one, two):
+        codes, first, of = np.unique(np.concatenate([one[0], two[0]]), return_index=True, return_inverse=True)
+        sums = np.zeros((2, s.rounds, len(codes)))
+        sums[:, :, of[: len(one[0])]] += one[2]
+        sums[:, :, of[len(one[0]) :]] += two[2]
+        return codes, np.concatenate([one[1], two[1]], axis=1)[:, first], sums
+
+    def collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, held, n = None, [], 0
+
+        def settle():
+            nonlocal kept, held, n
+            parts = [(np.frombuffer(b, np.uint8).reshape(width, k), np.frombuffer(g), np.frombuffer(i, np.int64)) for k, b, g, i in held]
+            found = cells(*(np.concatenate(c, axis=-1) for c in zip(*parts))) if fits and s.rounds and width else None
+            if found is None:
+                yield from (record(*h, b"") for h in held)
+            else:
+                kept = found if kept is None else joined(kept, found)
+                if kept[2].nbytes > HELD:
+                    yield stored()
+            held, n = [], 0
+
+        def stored() -> pa.RecordBatch:
+            nonlocal kept
+            codes, bins, sums = kept
+            kept = None
+            return record(len(codes), np.ascontiguousarray(bins).tobytes(), np.zeros(len(codes)).tobytes(), b"", sums.tobytes())
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                held.append(row)
+                n += row[0]
+                if n >= GATHER_ROWS:
+                    yield from settle()
+        if held:
+            yield from settle()
+        if kept is not None:
+            yield stored()
+
+    return blocks.mapInArrow(collapse, "n int, bins binary, g binary, id binary, drawn binary")
 
 
 def _rows_of(tree: Tree, cut: list[int], bins: np.ndarray, wanted: list[int], rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -301,7 +372,8 @@ def fit(df: DataFrame, settings: Settings, key: list[str] = (), features: str =
         return Ensemble([], s.rate, float("nan"), width)
     # the passes are many and the same: an equal share of the blocks for each core
     cores = df.sparkSession.sparkContext.defaultParallelism
-    blocks = materialize(_blocks(df, cuts, features, label, list(key), s.seed, base).repartition(cores), "binned").coalesce(cores).persist()
+    rows = _blocks(df, cuts, features, label, list(key), s.seed, base).repartition(cores)
+    blocks = materialize(_collapsed(rows, [len(c) for c in cuts], s), "binned").coalesce(cores).persist()
     few = blocks.rdd.getNumPartitions() <= FEW_PARTS
     random = np.random.default_rng(s.seed)
     trees: list[Tree] = []
@@ -319,13 +391,18 @@ def fit(df: DataFrame, settings: Settings, key: list[str] = (), features: str =
             def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 total = np.zeros((len(wanted), starts[-1], 2))
                 for batch in batches:
-                    for bins, g, ids in _unpack(batch, width):
-                        drew = np.flatnonzero(drawn(ids, s.seed, number, s.rows)).astype(np.int32)
+                    for bins, g, ids, cells in _unpack(batch, width):
+                        if cells.size:
+                            count, g = cells[0, number], cells[1, number] + cells[0, number] * g
+                            drew = np.flatnonzero(count).astype(np.int32)
+                        else:
+                            count = None
+                            drew = np.flatnonzero(drawn(ids, s.seed, number, s.rows)).astype(np.int32)
                         for i, rows in _rows_of(tree, cut, bins, wanted, drew):
-                            own = g[rows]
+                            own, times = g[rows], None if count is None else count[rows]
                             for f, at in zip(chosen, starts):
                                 b, k = bins[f][rows], sizes[f]
-                                for side, found in ((0, np.bincount(b, own, 256)), (1, np.bincount(b, minlength=256))):
+                                for side, found in ((0, np.bincount(b, own, 256)), (1, np.bincount(b, times, 256))):
                                     total[place[i], at : at + k, side] += found[:k]
                                     total[place[i], at + k, side] += found[MISSING]
                 chunks = total.reshape(len(wanted), -1)
@@ -356,12 +433,12 @@ def fit(df: DataFrame, settings: Settings, key: list[str] = (), features: str =
         def move(batches: Iterator[pa.RecordBatch], tree=tree, cut=cut) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 moved = []
-                for bins, g, ids in _unpack(batch, width):
+                for bins, g, _, _ in _unpack(batch, width):
                     g = g.copy()
                     for i, rows in _rows_of(tree, cut, bins, tree.leaves(), np.arange(len(g), dtype=np.int32)):
                         g[rows] += s.rate * tree.value[i]
                     moved.append(g.tobytes())
-                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(moved, pa.binary()), batch.column(3)], batch.schema.names)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(moved, pa.binary()), *batch.columns[3:]], batch.schema.names)
 
         stale.append(blocks)
         blocks = blocks.mapInArrow(move, blocks.schema)

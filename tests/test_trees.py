@@ -301,3 +301,34 @@ def test_rows_of_one_cell_are_predicted_once(ensembles, kind, monkeypatch):
     assert cells.predict(x) == pytest.approx(want, abs=1e-12)
     monkeypatch.setattr(trees.Ensemble, "predict", None)
     assert cells.predict(np.tile(x, (9, 1))) == pytest.approx(np.tile(want, 9), abs=1e-12)
+
+
+@pytest.mark.parametrize("share", [0.7, 1.0])
+def test_boosting_from_cells_equals_boosting_from_rows(spark, monkeypatch, share):
+    r = np.random.default_rng(8)
+    x = np.column_stack([r.integers(0, 8, 4000), r.integers(0, 3, 4000)]).astype(float)
+    x[r.random(x.shape) < 0.1] = np.nan
+    y = np.nan_to_num(x[:, 0], nan=9.0) * 2 + np.nan_to_num(x[:, 1]) + r.normal(size=4000)
+    df, s = frame(spark, x, y, 3), boosting.xgb(rounds=6, rows=share, depth=3)
+    got = {}
+    for kind, room, held in (("rows", 0, 1 << 27), ("cells", 1 << 21, 1 << 27), ("parts", 900, 0), ("joined", 900, 1 << 27)):
+        monkeypatch.setattr(boosting, "GATHER_ROWS", room or 1 << 21)
+        monkeypatch.setattr(boosting, "HELD", held)
+        monkeypatch.setattr(boosting, "BLOCK_ROWS", 300)
+        if not room:
+            monkeypatch.setattr(boosting, "_collapsed", lambda blocks, *_: blocks.withColumn("drawn", F.lit(b"")))
+        got[kind] = boosting.fit(df, s, ["id"])
+        monkeypatch.undo()
+    for e in got.values():
+        assert [t.threshold for t in e.trees] == [t.threshold for t in got["rows"].trees]
+        assert [t.cover for t in e.trees] == [t.cover for t in got["rows"].trees]
+        assert e.predict(x) == pytest.approx(got["rows"].predict(x), abs=1e-9)
+    cuts = boosting.feature_cuts(df)
+    blocks = boosting._blocks(df, cuts, "features", "label", ["id"], 42, 0.0).coalesce(1)
+    (cell,) = boosting._collapsed(blocks, [len(c) for c in cuts], s).collect()
+    assert cell["n"] == 9 * 4, "passes visit 36 cells, not 4000 rows"
+    wide = frame(spark, r.normal(size=(500, 2)), r.normal(size=500), 1)
+    cuts = boosting.feature_cuts(wide)
+    blocks = boosting._blocks(wide, cuts, "features", "label", ["id"], 42, 0.0)
+    (only,) = boosting._collapsed(blocks, [len(c) for c in cuts], s).collect()
+    assert (only["n"], len(only["drawn"]), len(only["id"])) == (500, 0, 4000), "rows that do not collapse stay"
